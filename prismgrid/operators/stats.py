@@ -23,6 +23,11 @@ def _bucket(value: Column, edges: Column, steps: int) -> Column:
     )
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one row per key; without keys ``per_key`` is a single row."""
+    return df.join(per_key, keys, how) if keys else df.join(F.broadcast(per_key))
+
+
 def value_edges(df: DataFrame, keys: list[str], value: str, steps: int) -> DataFrame:
     """Approximate equi-depth edges per key: one array of ``2**steps - 1`` values."""
     n = 2**steps
@@ -44,7 +49,7 @@ def running_totals(
     Peers (equal ``value``) share one total.  Adds ``cum_<name>`` columns.
     """
     edges = value_edges(df, keys, value, steps)
-    b = df.join(edges, keys).withColumn(
+    b = attach(df, edges, keys).withColumn(
         "_b", _bucket(F.col(value), F.col("_edges"), steps)
     ).drop("_edges")
     order = F.col("_b").desc() if descending else F.col("_b")
@@ -85,7 +90,7 @@ def exact_quantiles(
     edges = present.groupBy(*keys).agg(
         F.percentile_approx("_v", probes, 10000).alias("_edges"), F.sum("_w").alias("n")
     )
-    b = present.join(edges, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_edges"), steps)).drop("_edges")
+    b = attach(present, edges, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_edges"), steps)).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = b.groupBy(*keys, "n", "_b").agg(F.sum("_w").alias("_bw"))
     hist = hist.withColumn("_start", F.coalesce(F.sum("_bw").over(before), F.lit(0)))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES
-from . import spectra  # noqa: F401
+from . import spectra, agreement, blocked  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]

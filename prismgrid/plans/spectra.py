@@ -325,9 +325,9 @@ def a32(spark, d):
 
 
 @query("j20_frozen_endmembers", """SELECT f.mineral, f.sample, p.vec_id IS NOT NULL AS found, round(p.refl[1], 6) + 0.0 AS first_band FROM
- (SELECT CAST(o_custkey % 10 AS INTEGER) AS mineral, max(o_custkey) AS sample FROM orders GROUP BY 1) f LEFT JOIN pix p ON p.label = f.mineral AND p.vec_id = f.sample""")
+ (SELECT DISTINCT CAST(o_custkey % 10 AS INTEGER) AS mineral, o_custkey AS sample FROM orders) f LEFT JOIN pix p ON p.label = f.mineral AND p.vec_id = f.sample""")
 def j20(spark, d):
-    frozen = table(spark, d, "orders").groupBy((F.col("o_custkey") % 10).cast("int").alias("mineral")).agg(F.max("o_custkey").alias("sample"))
+    frozen = table(spark, d, "orders").select((F.col("o_custkey") % 10).cast("int").alias("mineral"), F.col("o_custkey").alias("sample")).distinct()
     j = L.lookup_endmembers(frozen, library(spark, d))
     return j.select("mineral", "sample", "found", r6(F.col("refl")[0]).alias("first_band"))
 
