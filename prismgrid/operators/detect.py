@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import col
-from .stats import exact_quantiles
+from .stats import exact_quantiles, top_rows
 
 # fixed values: indicator minerals of the ordinal tier, most acidic first
 TIER_HIGH = ["jarosite"]
@@ -112,16 +112,8 @@ def opacity(strength: Column, vmax: Column) -> Column:
 
 
 def strongest(scores: DataFrame, keys: list[str], value: str, q: float, top_n: int, tie: list[str]) -> DataFrame:
-    """The ``top_n`` strongest rows per key among those at or above the ``q`` quantile of positive values.
-
-    Rows are first cut by the floor, then ranked inside hash salts, so the final window sees at most
-    ``top_n`` rows per salt and key.
-    """
-    floors = exact_quantiles(scores.where(F.col(value) > 0), keys, value, {"_floor": q}).drop("n")
-    kept = scores.where(F.col(value) > 0).join(floors, keys).where(F.col(value) >= F.col("_floor")).drop("_floor")
-    order = [F.col(value).desc(), *tie]
-    salted = kept.withColumn("_salt", F.pmod(F.hash(*tie), F.lit(64)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    first = salted.withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= top_n).drop("_rn", "_salt")
-    return first.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n)
+    """The ``top_n`` strongest rows per key among those at or above the ``q`` quantile of positive values."""
+    positive = scores.where(F.col(value) > 0)
+    floors = exact_quantiles(positive, keys, value, {"_floor": q}).drop("n")
+    kept = positive.join(floors, keys).where(F.col(value) >= F.col("_floor")).drop("_floor")
+    return top_rows(kept, keys, [F.col(value).desc()], tie, top_n)

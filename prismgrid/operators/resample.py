@@ -173,10 +173,9 @@ def block_orderings(blocks: DataFrame, keys: list[str], replicates: int, seed) -
     orders = sizes.where(F.col("n_blocks") <= few).select(*keys, "n_blocks", F.array().cast("array<int>").alias("o"))
     for _ in range(few):
         rest = F.array_except(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")), F.col("o"))
-        grown = orders.where(F.size("o") < F.col("n_blocks")).select(*keys, "n_blocks", "o", F.explode(rest).alias("x")).select(
-            *keys, "n_blocks", F.array_append("o", F.col("x")).alias("o")
-        )
-        orders = orders.where(F.size("o") == F.col("n_blocks")).unionByName(grown)
+        grown = F.transform(rest, lambda x: F.array_append("o", x))
+        step = F.when(F.size("o") < F.col("n_blocks"), grown).otherwise(F.array("o"))
+        orders = orders.select(*keys, "n_blocks", F.explode(step).alias("o"))
     w = Window.partitionBy(*keys).orderBy("o")
     full = orders.withColumn("rep", F.row_number().over(w) - 1).select(*keys, "rep", F.posexplode("o").alias("t", "s"))
     idx = ib.select(*keys, F.col("idx").cast("int").alias("idx"), "block_id")

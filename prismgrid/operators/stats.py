@@ -208,3 +208,12 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: str | None
         "n",
         F.when((F.col("n") >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va) / F.sqrt(vb)).alias("rho"),
     )
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], tie: list[str], n: int) -> DataFrame:
+    """First ``n`` rows per key with their ``rank``; ranked inside hash salts first, so no window sees a whole key."""
+    salted = df.withColumn("_salt", F.pmod(F.hash(*tie), F.lit(64)))
+    by = [*order, *[F.col(t) for t in tie]]
+    first = Window.partitionBy(*keys, "_salt").orderBy(*by)
+    kept = salted.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= n)
