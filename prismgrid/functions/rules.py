@@ -126,3 +126,103 @@ def claim_gate(
 
 def gate_status(gate: Column) -> Column:
     return F.when(gate.isNull(), "unavailable").when(gate, "pass").otherwise("fail")
+
+
+def pair_gate(spearman_lower: Column, balanced_lower: Column, iou: Column, iou_null_upper: Column) -> dict[str, Column]:
+    """Three-part gate of one date pair: ``evaluable`` and ``passed``."""
+    known = spearman_lower.isNotNull() & balanced_lower.isNotNull() & iou.isNotNull() & iou_null_upper.isNotNull()
+    good = (spearman_lower > 0) & (balanced_lower > CHANCE) & (iou > iou_null_upper)
+    return {"evaluable": known, "passed": known & F.coalesce(good, F.lit(False))}
+
+
+def repeatability_class(n_passed: Column, all_evaluable: Column, n_pairs: Column, expected: int = 4) -> Column:
+    """strong / date-dependent / unsupported / unavailable from the gates of the primary pairs."""
+    return (
+        F.when(n_pairs != expected, F.lit(None))
+        .when(n_passed == expected, "strong")
+        .when(n_passed >= 1, "date-dependent")
+        .when(all_evaluable, "unsupported")
+        .otherwise("unavailable")
+    )
+
+
+def public_gate(external_status: Column, repeatability: Column) -> Column:
+    """Combined decision of the external-reference gate and the repeatability class."""
+    strong, passed = repeatability == "strong", external_status == "pass"
+    return (
+        F.when((external_status == "unavailable") | (repeatability == "unavailable") | repeatability.isNull(), "unavailable")
+        .when(passed & strong, "validated_and_repeatable")
+        .when(strong, "stable_only")
+        .when(passed, "acquisition_specific")
+        .otherwise("failed")
+    )
+
+
+def permitted_claim(stable: Column, external: Column, strict: Column) -> Column:
+    """Public-claim category; any missing evidence makes it unavailable."""
+    return (
+        F.when(stable.isNull() | external.isNull() | strict.isNull(), "unavailable_required_evidence")
+        .when(stable & external & strict, "validated_analytically_robust_alteration_zone_discrimination")
+        .when(stable & ~external, "analytically_stable_spatial_pattern_only")
+        .when(external & ~strict, "operational_discrimination_not_strictly_held_out")
+        .when(external & ~stable, "discriminative_but_analytically_sensitive")
+        .otherwise("negative_or_unstable_result")
+    )
+
+
+def endpoint_status(
+    metric: Column, tier: Column, mapping: Column, interval_ok: Column, null_ok: Column, value: Column, q: Column,
+    lower: Column, upper: Column, null_direction: Column,
+) -> dict[str, Column]:
+    """Inference and claim status of one concordance endpoint."""
+    prevalence, counts, explore, broad = metric == "prevalence", tier == "counts_and_maps_only", tier == "exploratory_only", mapping == "broader"
+    ready = interval_ok & null_ok & value.isNotNull()
+    inference = (
+        F.when(prevalence, "descriptive_only").when(counts, "counts_and_maps_only").when(explore, "exploratory_estimate_only")
+        .when(broad & ready & q.isNotNull(), "secondary_inference_available").when(broad, "secondary_inference_unavailable")
+        .when(~ready, "inference_unavailable").otherwise("confirmatory_eligible")
+    )
+    claim = (
+        F.when(prevalence, "descriptive_prevalence").when(counts, "no_inferential_claim").when(explore, "no_confirmatory_claim")
+        .when(broad, "secondary_endpoint_no_confirmatory_claim").when(~ready, "no_confirmatory_claim")
+        .when(F.coalesce(lower > null_direction, F.lit(False)), "confirmatory_concordance_supported")
+        .when(F.coalesce(upper < null_direction, F.lit(False)), "confirmatory_reversed_result")
+        .otherwise("confirmatory_concordance_not_supported")
+    )
+    return {"inference_status": inference, "claim_status": claim}
+
+
+def global_status(inference: Column, claim: Column) -> dict[str, Column]:
+    """Aggregates: the strongest result over all endpoints."""
+    has = F.bool_or
+    supported, reversed_ = has(claim == "confirmatory_concordance_supported"), has(claim == "confirmatory_reversed_result")
+    eligible, second = has(inference == "confirmatory_eligible"), has(inference == "secondary_inference_available")
+    explore, counts = has(inference == "exploratory_estimate_only"), has(inference == "counts_and_maps_only")
+    status = (
+        F.when(supported | reversed_ | eligible, "confirmatory_result_available").when(second, "secondary_only")
+        .when(explore, "exploratory_only").when(counts, "counts_and_maps_only").otherwise("unavailable")
+    )
+    claims = (
+        F.when(supported, "confirmatory_concordance_supported").when(reversed_, "confirmatory_reversed_result")
+        .when(eligible, "confirmatory_concordance_not_supported").when(second | explore, "no_confirmatory_claim")
+        .otherwise("no_inferential_claim")
+    )
+    return {"status": status, "claim": claims}
+
+
+# fixed values: endpoint roles by (site, family, layer)
+ENDPOINT_ROLES = [
+    ("goldfield", "feature", "al_oh_doublet", "primary"),
+    ("goldfield", "feature", "gypsum_carbonate", "key_secondary"),
+    ("goldfield", "mtmf", "alunite", "key_secondary"),
+    ("goldfield", "mtmf", "muscovite", "key_secondary"),
+    ("bingham", "feature", "gypsum_carbonate", "key_secondary"),
+]
+DESCRIPTIVE_LAYER = "jarosite"
+
+
+def endpoint_role(site: Column, family: Column, layer: Column) -> Column:
+    out = F.when(layer == DESCRIPTIVE_LAYER, "descriptive").otherwise("exploratory")
+    for s, f, n, role in reversed(ENDPOINT_ROLES):
+        out = F.when((site == s) & (family == f) & (layer == n), role).otherwise(out)
+    return out

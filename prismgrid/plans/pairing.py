@@ -80,9 +80,10 @@ VIEWS["pt"] = """SELECT p_partkey AS id, p_type AS label, CAST(p_size AS DOUBLE)
  [p_size + 1.0::DOUBLE, p_retailprice / 10, p_partkey % 13 + 1.0::DOUBLE, p_partkey % 17 + 1.0::DOUBLE, 40.0::DOUBLE] AS sw FROM part"""
 VIEWS["pd"] = """SELECT a.id AS i, b.id AS j, a.label <> b.label AS differ, sqrt((a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1) + (a.m2 - b.m2) * (a.m2 - b.m2)) AS dm, sqrt((a.s0 - b.s0) * (a.s0 - b.s0) + (a.s1 - b.s1) * (a.s1 - b.s1) + (a.s2 - b.s2) * (a.s2 - b.s2)) AS ds,
  degrees(acos(greatest(-1, least(1, list_inner_product(a.sw, b.sw) / sqrt(list_inner_product(a.sw, a.sw) * list_inner_product(b.sw, b.sw)))))) AS ang FROM pt a JOIN pt b ON a.id < b.id"""
-VIEWS["bars"] = "SELECT quantile_cont(dm, 0.02) FILTER (WHERE differ) AS tm, quantile_cont(ds, 0.02) FILTER (WHERE differ) AS ts, quantile_cont(ang, 0.95) FILTER (WHERE NOT differ) AS bar, count(*) FILTER (WHERE differ) AS n_cross FROM pd"
+VIEWS["bars"] = "SELECT quantile_cont(dm, 0.02) FILTER (WHERE differ) AS tm, quantile_cont(ds, 0.02) FILTER (WHERE differ) AS ts, quantile_cont(ang, 0.6) FILTER (WHERE NOT differ) AS bar, count(*) FILTER (WHERE differ) AS n_cross FROM pd"
 VIEWS["cand"] = "SELECT i, j, dm, ds, ang, bar FROM pd CROSS JOIN bars WHERE differ AND dm <= tm AND ds <= ts"
 Q_PAIR = 0.02
+NULL_Q = 0.6  # the stand-in spectra of one label are unrelated, so the usual 0.95 bar would keep nothing
 
 
 def patch_table(spark, d) -> DataFrame:
@@ -116,7 +117,7 @@ def j11_thresholds(spark, d):
 @query("j12_separable_pairs", "SELECT i, j, round(ang, 6) + 0.0 AS angle_deg FROM cand WHERE ang > bar")
 def j12(spark, d):
     p = patch_table(spark, d)
-    out = P.separable_pairs(candidates(spark, d), p, "id", P.null_angle(p, "id", "label", 0.95))
+    out = P.separable_pairs(candidates(spark, d), p, "id", P.null_angle(p, "id", "label", NULL_Q))
     return rounded(out.select("i", "j", "angle_deg"), "angle_deg")
 
 
