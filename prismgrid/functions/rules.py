@@ -226,3 +226,11 @@ def endpoint_role(site: Column, family: Column, layer: Column) -> Column:
     for s, f, n, role in reversed(ENDPOINT_ROLES):
         out = F.when((site == s) & (family == f) & (layer == n), role).otherwise(out)
     return out
+
+
+def decision_checks(tier: Column, interval_lower: Column, direction: Column) -> dict[str, Column]:
+    """Aggregates over the comparison rows of a decision: support, intervals above zero, a positive direction."""
+    support = F.bool_and(tier == "confirmatory_eligible")
+    interval = F.bool_and(F.coalesce(interval_lower > 0, F.lit(False)))
+    positive = F.bool_or(F.coalesce(direction > 0, F.lit(False)))
+    return {"support_ok": support, "interval_ok": interval, "direction_ok": positive, "gate_passed": support & interval & positive}

@@ -222,6 +222,7 @@ def matched_filter_by_key(
     px = pixels.select(*keys, *pass_through, F.col(refl).alias("_refl"), chunk.alias("_chunk"))
     pieces = px.select(*keys, "_chunk").distinct()
     fits = pieces.join(backgrounds.select(*keys, "n", "mean", "m2"), keys, "left")
+    fits = fits.select(*[F.col(k).alias(f"_fit_{k}") for k in [*keys, "_chunk"]], "n", "mean", "m2")
     out_schema = T.StructType(
         [pixels.schema[c] for c in [*keys, *pass_through]]
         + [
@@ -248,4 +249,4 @@ def matched_filter_by_key(
         return pa.table(cols, names=[*keys, *pass_through, "n_fit", "status", "scores"])
 
     by = [*keys, "_chunk"]
-    return px.groupBy(*by).cogroup(fits.groupBy(*by)).applyInArrow(score, out_schema)
+    return px.groupBy(*by).cogroup(fits.groupBy(*[f"_fit_{k}" for k in by])).applyInArrow(score, out_schema)
