@@ -88,12 +88,12 @@ BOUNDS = ["row_start", "row_stop", "col_start", "col_stop"]
 def training_pairs(blocks: DataFrame, keys: list[str], halo: int) -> DataFrame:
     """Per held-out block (``fold``) the blocks whose box does not meet its box grown by the halo.
 
-    Block-grain join inside one site; the number of blocks of a site is fixed by its grid.
+    Block-grain join inside one site (``keys`` name it); the blocks of a site are fixed by its grid.
     """
     held = blocks.select(*keys, F.col("block_id").alias("fold"), *[F.col(b).alias(f"_h_{b}") for b in BOUNDS])
     a = {b: F.col(b) for b in BOUNDS}
     h = {b: F.col(f"_h_{b}") for b in BOUNDS}
-    j = attach(held, blocks.select(*keys, "block_id", *BOUNDS), keys) if keys else held.crossJoin(blocks)
+    j = attach(held, blocks.select(*keys, "block_id", *BOUNDS), keys)
     return j.where((F.col("block_id") != F.col("fold")) & ~boxes_meet(a, h, halo)).select(*keys, "fold", "block_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .stats import attach, exact_quantiles, running_totals
 
 
@@ -58,7 +59,8 @@ def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str]) -> Dat
     t = training if "w" in training.columns else training.withColumn("w", F.lit(1))
     shared = [k for k in keys if k in t.columns]
     extra = [c for c in t.columns if c not in {*keys, "fold", "block_id", "w"}]
-    rows = block_score_counts(obs, keys).join(t, [*shared, "block_id"])
+    counts = cut(block_score_counts(obs, keys))
+    rows = counts.join(t, [*shared, "block_id"])
     return balanced_youden(rows, [*keys, *extra, "fold"])
 
 

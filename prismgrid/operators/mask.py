@@ -152,13 +152,19 @@ def in_domain(code: Column | str, excluded: list[int] = EXCLUDED_CLASSES) -> Col
 def binary_reference(df: DataFrame, layers: DataFrame, code: str = "code") -> DataFrame:
     """One row per cell and layer with ``ref`` 1/0, NULL off the domain.
 
-    ``layers(layer, code)`` lists the positive classes; a bridge of a few dozen rows.
+    ``layers(layer, code)`` lists the positive classes, a bridge of a few dozen rows that becomes a literal.
     """
-    positive = layers.groupBy("layer").agg(F.collect_set("code").alias("positive"))
-    hit = F.array_contains("positive", F.col(code))
-    return df.join(F.broadcast(positive), how="cross").withColumn(
-        "ref", F.when(in_domain(code), hit.cast("int"))
-    ).drop("positive")
+    positive: dict[str, list[int]] = {}
+    for r in bounded_rows(layers.select("layer", "code"), 10_000):
+        positive.setdefault(r["layer"], []).append(r["code"])
+    sets = F.array(*[
+        F.struct(F.lit(name).alias("layer"), F.array(*[F.lit(c) for c in sorted(set(codes))]).alias("codes"))
+        for name, codes in sorted(positive.items())
+    ])
+    hit = F.array_contains("_s.codes", F.col(code))
+    return df.select("*", F.explode(sets).alias("_s")).select(
+        *df.columns, F.col("_s.layer").alias("layer"), F.when(in_domain(code), hit.cast("int")).alias("ref")
+    )
 
 
 def gate_infeasible(mf: Column | str, infeas: Column | str, max_infeas: float) -> Column:

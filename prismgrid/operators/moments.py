@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import col, from_matrix, to_matrix
 
 FAN_IN = 32
-MAX_OPEN = 256
+STATE_BYTES = 256 * 2**20
 
 
 def merge_states(a: tuple, b: tuple) -> tuple:
@@ -56,6 +56,7 @@ def partial_moments(df: DataFrame, keys: list[str], bands: list[int], width: int
     """One state per (partition, key) over pixels present in all ``bands``; ``part`` is the partition."""
     schema = _schema(df, keys, [("part", T.LongType())])
     index = list(bands)
+    max_open = max(4, STATE_BYTES // (8 * len(index) ** 2 + 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -82,7 +83,7 @@ def partial_moments(df: DataFrame, keys: list[str], bands: list[int], width: int
                 k = tuple(v.item() if hasattr(v, "item") else v for v in k)
                 s = batch_state(xs[rows])
                 states[k] = merge_states(states[k], s) if k in states else s
-            if len(states) > MAX_OPEN:
+            if len(states) > max_open:
                 yield flush()
         if states:
             yield flush()

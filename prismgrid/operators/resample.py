@@ -19,21 +19,28 @@ from .stats import _bucket, attach, rank_auc, spearman, value_edges
 
 # fixed value: largest number of orderings that is enumerated instead of drawn
 MAX_ORDERINGS = 9999
+SLICE = 2048
+BUCKET_ROWS = 50_000
 
 
 def pair_numerators(
-    obs: DataFrame, keys: list[str], block: str = "block_id", score: str = "score", ref: str = "ref", steps: int = 4
+    obs: DataFrame, keys: list[str], block: str = "block_id", score: str = "score", ref: str = "ref", steps: int | None = None
 ) -> DataFrame:
     """AUC numerator for every (positive block, negative block) of a key: ``p_block, n_block, u``.
 
     Scores are cut into buckets.  Pairs in different buckets follow from block-by-bucket counts, pairs in
     one bucket from that bucket's distinct scores, so no task sees a whole key and no pixel pair is formed.
+    The number of buckets follows the largest key unless ``steps`` fixes it at ``2**steps``.
     """
     counts = (
         obs.where(F.col(score).isNotNull() & F.col(ref).isNotNull())
         .groupBy(*keys, F.col(block).alias("_blk"), F.col(score).cast("double").alias("_s"))
         .agg(F.count_if(F.col(ref) == 1).alias("_p"), F.count_if(F.col(ref) == 0).alias("_n"))
     )
+    if steps is None:
+        counts = cut(counts)
+        largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 1
+        steps = max(1, math.ceil(math.log2(max(2.0, largest / BUCKET_ROWS))))
     b = attach(counts, value_edges(counts, keys, "_s", steps), keys)
     b = b.withColumn("_b", _bucket(F.col("_s"), F.col("_edges"), steps)).drop("_edges")
     out = T.StructType(
@@ -44,11 +51,19 @@ def pair_numerators(
     def product(pdf: pd.DataFrame, axis: str, ties: float) -> pd.DataFrame:
         blk, names = pd.factorize(pdf["_blk"], sort=True)
         val, levels = pd.factorize(pdf[axis], sort=True)
-        pos, neg = np.zeros((len(levels), len(names))), np.zeros((len(levels), len(names)))
-        np.add.at(pos, (val, blk), pdf["_p"].to_numpy(float))
-        np.add.at(neg, (val, blk), pdf["_n"].to_numpy(float))
-        below = np.cumsum(neg, axis=0) - neg + ties * neg
-        u = pos.T @ below
+        p, n = pdf["_p"].to_numpy(float), pdf["_n"].to_numpy(float)
+        order = np.argsort(val, kind="stable")
+        u, carried = np.zeros((len(names), len(names))), np.zeros(len(names))
+        # slices of the sorted levels keep the dense part small; negatives below carry over
+        for start in range(0, len(levels), SLICE):
+            lo, hi = np.searchsorted(val[order], [start, start + SLICE])
+            rows = order[lo:hi]
+            size = min(SLICE, len(levels) - start)
+            pos, neg = np.zeros((size, len(names))), np.zeros((size, len(names)))
+            np.add.at(pos, (val[rows] - start, blk[rows]), p[rows])
+            np.add.at(neg, (val[rows] - start, blk[rows]), n[rows])
+            u += pos.T @ (carried + np.cumsum(neg, axis=0) - neg + ties * neg)
+            carried += neg.sum(axis=0)
         i, j = np.nonzero(u)
         head = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame({**head, "p_block": np.asarray(names)[i], "n_block": np.asarray(names)[j], "u": u[i, j]})[[f.name for f in out.fields]]

@@ -36,7 +36,8 @@ def _both_branches(oof: DataFrame, keys: list[str]) -> DataFrame:
 
 def evaluate_score_pair(obs: DataFrame, training: DataFrame, keys: list[str], native: str, degraded: str) -> DataFrame:
     """Cross-fitted held-out rows of both sensors on identical support; unavailable folds drop for both."""
-    return _both_branches(cross_fit(branches(obs, keys, native, degraded), training, [*keys, "branch"]), keys)
+    rows = cut(branches(obs, keys, native, degraded))
+    return _both_branches(cut(cross_fit(rows, training, [*keys, "branch"])), keys)
 
 
 def unavailable_folds(oof: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,7 +67,7 @@ def evaluate_margin_pair(
     out = test.join(thr.select(*by, "threshold"), by, "left").select(
         *keys, "branch", "block_id", F.col("margin").alias("score"), "ref", "threshold", (F.col("margin") >= F.col("threshold")).cast("int").alias("pred")
     )
-    return _both_branches(out, keys)
+    return _both_branches(cut(out), keys)
 
 
 def paired_bootstrap(oof: DataFrame, keys: list[str], replicates: int, seed) -> DataFrame:

@@ -28,11 +28,26 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner
     return df.join(per_key, keys, how) if keys else df.join(F.broadcast(per_key))
 
 
+MAX_BROADCAST_ROWS = 20_000
+
+
+def checked_small(df: DataFrame) -> DataFrame:
+    """A per-key summary as a broadcast side, after its row count has been checked.
+
+    Up to ``MAX_BROADCAST_ROWS`` rows are fetched and become a local table; a larger summary stays
+    distributed and is joined by shuffle.
+    """
+    rows = df.limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(rows) > MAX_BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def value_edges(df: DataFrame, keys: list[str], value: str, steps: int) -> DataFrame:
     """Approximate equi-depth edges per key: one array of ``2**steps - 1`` values."""
     n = 2**steps
     return df.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / n for i in range(1, n)], 10000).alias("_edges")
+        F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_edges")
     )
 
 
@@ -90,7 +105,8 @@ def exact_quantiles(
     edges = present.groupBy(*keys).agg(
         F.percentile_approx("_v", probes, 10000).alias("_edges"), F.sum("_w").alias("n")
     )
-    b = attach(present, edges, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_edges"), steps)).drop("_edges")
+    # raw rows meet the edges without being shuffled by key, whatever share of them one key holds
+    b = attach(present, checked_small(edges), keys).withColumn("_b", _bucket(F.col("_v"), F.col("_edges"), steps)).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = b.groupBy(*keys, "n", "_b").agg(F.sum("_w").alias("_bw"))
     hist = hist.withColumn("_start", F.coalesce(F.sum("_bw").over(before), F.lit(0)))

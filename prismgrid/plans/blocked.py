@@ -10,6 +10,7 @@ from ..functions import rules
 from ..functions.grid import class_list, col_of, flat_index, patch_name, row_of
 from ..operators import agree, blocks as K, crossfit as C, resample as R, stats
 from ..operators.inference import governed_interval, null_summary
+from ..session import cut
 from .registry import VIEWS, ev, lay, query, r6, rounded, table
 
 SIDE, HALO, REPS, PERMS = 20, 3, 200, 12
@@ -203,7 +204,7 @@ def x28(spark, d):
 @query("a17_pooled_metrics", """SELECT site, layer, n_pos, n_neg, round(auc, 6) + 0.0 AS auc, round(prevalence, 6) + 0.0 AS prevalence, tp, fp, tn, fn, round(0.5 * (tpr + 1 - fpr), 6) + 0.0 AS balanced_accuracy, round(positive_f1, 6) + 0.0 AS positive_f1,
  round(negative_f1, 6) + 0.0 AS negative_f1, round(0.5 * (positive_f1 + negative_f1), 6) + 0.0 AS macro_f1, round(tpr, 6) + 0.0 AS tpr, round(fpr, 6) + 0.0 AS fpr FROM pooled""")
 def a17(spark, d):
-    m = agree.pooled_metrics(out_of_fold(spark, d), KEYS)
+    m = agree.pooled_metrics(cut(out_of_fold(spark, d)), KEYS)
     return rounded(m, "auc", "prevalence", "balanced_accuracy", "positive_f1", "negative_f1", "macro_f1", "tpr", "fpr")
 
 
