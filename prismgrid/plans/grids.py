@@ -279,9 +279,17 @@ def x9(spark, d):
     return rounded(out.withColumn("rep", F.col("rep").cast("bigint")), "boundary_m")
 
 
-@query("x9_boundary_null")
+VIEWS["sperm"] = """SELECT s.site, s.rep, s.block_id AS target, i.block_id AS source FROM (SELECT site, block_id, rep, row_number() OVER (PARTITION BY site, rep ORDER BY ('0x' || substr(md5(concat_ws(':', '5', rep, idx)), 1, 8))::BIGINT, idx) - 1 AS pidx
+ FROM sidx CROSS JOIN range(20) r(rep)) s JOIN sidx i ON i.site = s.site AND i.idx = s.pidx"""
+VIEWS["nullgrid"] = """SELECT p.site, p.rep, p.target AS block_id, a.row_i, a.col_i, a.m_a, b.m_b FROM sperm p JOIN sparseblk a ON a.site = p.site AND a.block_id = p.target
+ JOIN sparseblk b ON b.site = p.site AND b.block_id = p.source AND b.row_i % 20 = a.row_i % 20 AND b.col_i % 20 = a.col_i % 20 WHERE p.rep < 10"""
+VIEWS["nulledges"] = BOUNDARY.format(k="site, a.rep, a.block_id", a="m_a", b="m_b", t="nullgrid", j="b.site = a.site AND b.rep = a.rep AND b.block_id = a.block_id")
+
+
+@query("x9_boundary_null", f"SELECT site, rep, round(boundary_m, 6) + 0.0 AS boundary_m FROM ({_symmetric_sql('nulledges', ['site', 'rep'])})")
 def x9_null(spark, d):
-    return rounded(CD.boundary_null(sparse_blocks(spark, d), ["site"], "m_a", "m_b", 30.0, 30.0, SIDE, 10, 5), "boundary_m")
+    out = CD.boundary_null(sparse_blocks(spark, d), ["site"], "m_a", "m_b", 30.0, 30.0, SIDE, 10, 5)
+    return rounded(out.withColumn("rep", F.col("rep").cast("bigint")), "boundary_m")
 
 
 @query("a42_overlap_accounting", """SELECT site, count(*) AS n_cells, count(*) FILTER (WHERE score IS NOT NULL) AS anchor_valid, count(*) FILTER (WHERE score2 IS NOT NULL) AS repeat_valid, count(*) FILTER (WHERE score IS NOT NULL AND score2 IS NOT NULL) AS joint,
@@ -304,8 +312,6 @@ def x6(spark, d):
     return rounded(out.withColumn("rep", F.col("rep").cast("bigint")), "rho")
 
 
-VIEWS["sperm"] = """SELECT s.site, s.rep, s.block_id AS target, i.block_id AS source FROM (SELECT site, block_id, rep, row_number() OVER (PARTITION BY site, rep ORDER BY ('0x' || substr(md5(concat_ws(':', '5', rep, idx)), 1, 8))::BIGINT, idx) - 1 AS pidx
- FROM sidx CROSS JOIN range(20) r(rep)) s JOIN sidx i ON i.site = s.site AND i.idx = s.pidx"""
 VIEWS["snull"] = """SELECT p.site, p.rep, a.score, b.score2, a.m_a, b.m_b FROM sperm p JOIN sparseblk a ON a.site = p.site AND a.block_id = p.target JOIN sparseblk b ON b.site = p.site AND b.block_id = p.source AND b.row_i % 20 = a.row_i % 20 AND b.col_i % 20 = a.col_i % 20"""
 
 
