@@ -80,7 +80,7 @@ def continuum_removed(refl: Column | str, wavelengths: Column) -> Column:
     n = F.size(s)
     s0, sn = F.element_at(s, 1), F.element_at(s, n)
     w0, wn = F.element_at(wavelengths, 1), F.element_at(wavelengths, n)
-    return F.zip_with(s, wavelengths, lambda v, w: v / (s0 + (sn - s0) * (w - w0) / (wn - w0)))
+    return F.zip_with(s, wavelengths, lambda v, w: F.try_divide(v, s0 + (sn - s0) * (w - w0) / (wn - w0)))
 
 
 def unit_stretch(value: Column, lo: Column, hi: Column) -> Column:

@@ -27,7 +27,7 @@ def u_test_greater(auc_rows: DataFrame) -> DataFrame:
     """
     n1, n2 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     n = n1 + n2
-    var = n1 * n2 / 12.0 * ((n + 1.0) - F.col("tie_sum") / (n * (n - 1.0)))
+    var = n1 * n2 / 12.0 * ((n + 1.0) - F.col("tie_sum") / F.nullif(n * (n - 1.0), F.lit(0.0)))
     z = (F.col("u") - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)
     return auc_rows.withColumn("p_value", _upper_normal_tail(F.when(var > 0, z)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import attach, top_rows
@@ -19,11 +19,11 @@ def granule_overlap(granules: DataFrame, boxes: DataFrame, keys: list[str]) -> D
     """
     j = attach(granules, boxes, keys)
 
-    def side(a: str) -> F.Column:
+    def side(a: str) -> Column:
         return F.greatest(F.lit(0.0), F.least(f"{a}_max", f"s_{a}_max") - F.greatest(f"{a}_min", f"s_{a}_min"))
 
     area = (F.col("s_lon_max") - F.col("s_lon_min")) * (F.col("s_lat_max") - F.col("s_lat_min"))
-    return j.withColumn("overlap", side("lon") * side("lat") / area)
+    return j.withColumn("overlap", side("lon") * side("lat") / F.nullif(area, F.lit(0.0)))
 
 
 def rank_granules(granules: DataFrame, boxes: DataFrame, keys: list[str], top_n: int) -> DataFrame:

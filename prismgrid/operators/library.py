@@ -126,8 +126,9 @@ def spectral_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("band_index", F.col("value").alias("x")).join(
         b.select("band_index", F.col("value").alias("y")), "band_index"
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    cos = F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
+    cos = F.sum(F.col("x") * F.col("y")) / F.nullif(norm, F.lit(0.0))
+    angle = F.when(cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     return j.agg(
         pearson("x", "y").alias("r"),
         F.when(F.count(F.lit(1)) >= 2, angle).alias("angle_deg"),
@@ -141,7 +142,7 @@ def response_stats(response: DataFrame, keys: list[str] = ["band_name"]) -> Data
     r = response.withColumn("_peak", F.max("response").over(w))
     half = F.when(F.col("response") >= F.col("_peak") * 0.5, F.col("wavelength_nm"))
     return r.groupBy(*keys).agg(
-        (F.sum(F.col("response") * F.col("wavelength_nm")) / F.sum("response")).alias("center_nm"),
+        (F.sum(F.col("response") * F.col("wavelength_nm")) / F.nullif(F.sum("response"), F.lit(0.0))).alias("center_nm"),
         (F.max(half) - F.min(half)).alias("fwhm_nm"),
     )
 

@@ -201,7 +201,7 @@ VIEWS["dates"] = """SELECT CAST(user_id AS INTEGER) AS row_i, event_type AS band
 
 def two_dates(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").select(F.col("user_id").cast("int").alias("row_i"), F.col("event_type").alias("band"), "ts", "value")
-    cut = F.to_timestamp(F.lit("2024-01-16"))
+    cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     make = lambda x: x.groupBy("row_i", "band").agg(F.avg("value").alias("v"), F.count(F.lit(1)).cast("int").alias("code"))
     return make(e.where(F.col("ts") < cut)), make(e.where(F.col("ts") >= cut))
 

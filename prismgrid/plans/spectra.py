@@ -35,7 +35,7 @@ BANDS_SQL = """SELECT band_index, wavelength_nm, good, ((wavelength_nm BETWEEN 1
  good AND NOT ((wavelength_nm BETWEEN 1340 AND 1440) OR (wavelength_nm BETWEEN 1800 AND 1950)) AS retained FROM bands"""
 
 
-@query("q2_band_mask", f"""WITH b AS ({BANDS_SQL}) SELECT v.band_index, count(*) AS n_pixels,
+@query("q2_band_mask", f"""WITH b AS ({BANDS_SQL}) SELECT CAST(v.band_index AS INTEGER) AS band_index, count(*) AS n_pixels,
  CAST(count(CASE WHEN b.retained THEN v.value END) AS BIGINT) AS n_retained, round(avg(CASE WHEN b.retained THEN v.value END), 6) + 0.0 AS mean_value
  FROM (SELECT vec_id, unnest(range(64)) AS band_index, unnest(refl) AS value FROM qa) v JOIN b USING (band_index) GROUP BY v.band_index""")
 def q2(spark, d):
