@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _bucket(value: Column, edges: Column, steps: int) -> Column:
     """Number of edges below ``value``, by binary search over ``2**steps - 1`` ascending edges."""
@@ -61,8 +63,10 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sum of each column in ``sums`` along ``value`` within each key.
 
-    Peers (equal ``value``) share one total.  Adds ``cum_<name>`` columns.
+    Peers (equal ``value``) share one total.  Adds ``cum_<name>`` columns.  The input is read three times
+    with different columns, which defeats exchange reuse, so it is materialised once.
     """
+    df = cut(df)
     edges = value_edges(df, keys, value, steps)
     b = attach(df, edges, keys).withColumn(
         "_b", _bucket(F.col(value), F.col("_edges"), steps)
@@ -121,7 +125,7 @@ def exact_quantiles(
     for name in qs:
         for rank in (lows[name], highs[name]):
             wanted = wanted | holds(rank, F.col("_start"), F.col("_bw"))
-    needed = hist.where(wanted).select(*keys, "_b", "_start")
+    needed = checked_small(hist.where(wanted).select(*keys, "_b", "_start"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
