@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, token_counts, topk
+from . import fingerprints, jaccard_join, sharding, token_counts, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@_query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
