@@ -63,10 +63,10 @@ _WORKER: dict[tuple, _Lengths] = {}
 
 
 def frequent_words(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, words: int = FREQUENT_WORDS) -> list[str]:
-    """At most ``words`` frequent words of about ``rows`` rows; rows are chosen by the hash of their text."""
+    """At most ``words`` frequent words of about ``rows`` rows drawn at random."""
     total = docs.count()
     share = int(min(1.0, rows / max(1, total)) * (1 << 20))
-    sample = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    sample = docs.where(F.rand(0) * (1 << 20) < share).select(F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
