@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -227,7 +228,7 @@ class _Index:
         n = len(codes)
         single = np.zeros(n + per_key * n_keys, np.int64)
         renumbered = anew[codes]
-        for t in range(per_key):
+        for t in range(min(per_key, n)):
             single[: n - t] |= renumbered[t:] << int(shift[t])
         keys = [single[k * per_key : k * per_key + n] for k in range(n_keys)]
         order = np.lexsort(keys[::-1])
@@ -348,14 +349,15 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-_WORKER: dict[int, _Words] = {}
+_WORKER: dict[str, _Words] = {}
 
 
-def _own(vocabulary) -> _Words:
-    if vocabulary.id not in _WORKER:
+def _own(name: str, vocabulary) -> _Words:
+    """What this worker remembers for the query of that name."""
+    if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[vocabulary.id] = _Words(vocabulary.value)
-    return _WORKER[vocabulary.id]
+        _WORKER[name] = _Words(vocabulary.value)
+    return _WORKER[name]
 
 
 def _carried(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list, str, list]:
@@ -376,12 +378,12 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     A null or empty text has no ids and is read back as empty; U+2581 counts as a blank and comes back as one.
     Repeated rows repeat; null values in kept columns stay.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    vocabulary, name = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path)), uuid.uuid4().hex
     inward, kinds, outward = _carried(docs, keep)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _own(vocabulary)
+        words = _own(name, vocabulary)
         for batch in slices(batches, limit=LOT_BYTES):
             texts = batch.column("text").to_pylist()
             ids, at = words.encode(texts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ class _Lengths(dict):
             self.pop(word, None)
 
 
-_WORKER: dict[tuple, _Lengths] = {}
+_WORKER: dict[str, _Lengths] = {}
 
 
 def frequent_words(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, words: int = FREQUENT_WORDS) -> list[str]:
@@ -96,9 +97,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     words = frequent_words(docs, text)
     known = Tokenizer.from_file(tokenizer_path).encode_batch_fast(words, add_special_tokens=False)
     table = docs.sparkSession.sparkContext.broadcast({w: len(x) for w, x in zip(words, known)})
+    name = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (tokenizer_path, id(table))
         if name not in _WORKER:
             _WORKER.clear()
             _WORKER[name] = _Lengths(tokenizer_path, table.value)
