@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, pieces, sharding, token_counts, topk
+from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, sharding, token_counts, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,36 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")), digest=True)
+
+
+@_query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), report="lines_removed")
+    return kept.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op3_mixing", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS tokens FROM documents),
+    s AS (SELECT source, sum(tokens)::BIGINT AS n FROM d WHERE tokens > 0 GROUP BY source),
+    t AS (SELECT sum(n)::BIGINT AS total, list(n / (SELECT sum(n) FROM s)::DOUBLE) AS p FROM s),
+    h AS (SELECT -list_sum(list_transform(p, lambda x: x * ln(x))) AS h1, ln(len(p)) AS h0 FROM t),
+    b AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+          UNION ALL
+          SELECT i + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
+          FROM (SELECT i, low, high, mid, ln(z) - mid * l / z <= h1 + 0.5 * (h0 - h1) AND r / z <= 4.0 AS ok
+                FROM (SELECT b.*, (low + high) / 2 AS mid,
+                             list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2))) AS z,
+                             list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2) * ln(x))) AS l,
+                             list_max(list_transform(p, lambda x: pow(x, (low + high) / 2 - 1))) AS r
+                      FROM b, t WHERE i < 40), h)),
+    a AS (SELECT high AS a FROM b WHERE i = 40),
+    w AS (SELECT source, n, pow(n / total::DOUBLE, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, total FROM s, t, a),
+    q AS (SELECT *, floor(weight * total + 0.5)::BIGINT AS allotted FROM w),
+    e AS (SELECT source, weight, allotted // n AS blocks, allotted - (allotted // n) * n AS rest FROM q),
+    k AS (SELECT d.*, weight, blocks, rest, ('0x' || left(md5(doc_id || '|' || blocks), 15))::BIGINT AS at FROM d JOIN e USING (source) WHERE tokens > 0),
+    c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY at RANGE UNBOUNDED PRECEDING) <= rest AS last FROM k)
+    SELECT doc_id, source, unnest(range(0, blocks + last::BIGINT))::INTEGER AS block, tokens::BIGINT AS n_tokens, round(weight * 1e6)::BIGINT AS weight_ppm FROM c""")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = mixing.mix(docs, mixing.plan(docs))
+    return rows.select("row.doc_id", "row.source", "block", "n_tokens", F.round(F.col("weight") * 1e6).cast("long").alias("weight_ppm"))
