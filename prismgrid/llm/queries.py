@@ -106,9 +106,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     w AS (SELECT source, n, pow(n / total::DOUBLE, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, total FROM s, t, a),
     q AS (SELECT *, floor(weight * total + 0.5)::BIGINT AS allotted FROM w),
     e AS (SELECT source, weight, allotted // n AS blocks, allotted - (allotted // n) * n AS rest FROM q),
-    k AS (SELECT d.*, weight, blocks, rest, ('0x' || left(md5(doc_id || '|' || blocks), 15))::BIGINT AS at FROM d JOIN e USING (source) WHERE tokens > 0),
-    c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY at RANGE UNBOUNDED PRECEDING) <= rest AS last FROM k)
-    SELECT doc_id, source, unnest(range(0, blocks + last::BIGINT))::INTEGER AS block, tokens::BIGINT AS n_tokens, round(weight * 1e6)::BIGINT AS weight_ppm FROM c""")
+    k AS (SELECT d.*, weight, blocks, rest, ('0x' || left(md5(doc_id || '|' || blocks), 15))::BIGINT AS pk FROM d JOIN e USING (source) WHERE tokens > 0),
+    c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY pk RANGE UNBOUNDED PRECEDING) <= rest AS part FROM k)
+    SELECT doc_id, source, unnest(range(0, blocks + part::BIGINT))::INTEGER AS block, tokens::BIGINT AS n_tokens, round(weight * 1e6)::BIGINT AS weight_ppm FROM c""")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = mixing.mix(docs, mixing.plan(docs))
