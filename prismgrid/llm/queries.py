@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, sharding, token_counts, topk
+from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, sharding, token_counts, topk, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = mixing.mix(docs, mixing.plan(docs))
     return rows.select("row.doc_id", "row.source", "block", "n_tokens", F.round(F.col("weight") * 1e6).cast("long").alias("weight_ppm"))
+
+
+#: Fixed value: the rules of the url query.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@_query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+    return found.select("row.page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
