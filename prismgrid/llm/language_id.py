@@ -184,6 +184,29 @@ def languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose language is told with a score of ``least``; all columns, whatever their names.
+
+    Texts without a letter go.  A model that learned nothing rejects only those.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = names[docs.columns.index(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            if own.languages:
+                good = [name != UNDETERMINED and score >= least for name, score in zip(*own.predict(texts))]
+            else:
+                good = [bool(words_of(x)) for x in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    inner = docs.toDF(*names)
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
+
+
 def held_out(key: str = "doc_id"):
     """Rows that no model may learn from: CRC-32 of the key as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
