@@ -112,16 +112,26 @@ def external_gate(
 def claim_gate(
     retention: Column, median_rank: Column, fifth_rank: Column, switch_upper: Column, external: list[Column]
 ) -> Column:
-    """Three-valued conjunction: NULL while any required input is missing and none has failed."""
+    """All conditions hold; NULL while any required input is missing, whatever the others say."""
     out = (
         (retention >= RETENTION_FLOOR)
         & (median_rank >= MEDIAN_RANK_CORRELATION_FLOOR)
         & (fifth_rank > FIFTH_PERCENTILE_FLOOR)
         & (switch_upper <= SWITCH_CEILING)
     )
+    known = retention.isNotNull() & median_rank.isNotNull() & fifth_rank.isNotNull() & switch_upper.isNotNull()
     for e in external:
-        out = out & (e > CHANCE)
-    return out
+        out, known = out & (e > CHANCE), known & e.isNotNull()
+    return F.when(known, out)
+
+
+def external_component(auc_lower: Column, balanced_lower: Column, auc_double: Column, confirmatory: Column) -> Column:
+    """Both lower bounds at the block scale and the AUC at twice that scale are above chance.
+
+    NULL unless all three intervals exist with confirmatory support.
+    """
+    known = F.coalesce(confirmatory, F.lit(False)) & auc_lower.isNotNull() & balanced_lower.isNotNull() & auc_double.isNotNull()
+    return F.when(known, (auc_lower > CHANCE) & (balanced_lower > CHANCE) & (auc_double > CHANCE))
 
 
 def gate_status(gate: Column) -> Column:

@@ -29,13 +29,14 @@ def granule_overlap(granules: DataFrame, boxes: DataFrame, keys: list[str]) -> D
 def rank_granules(granules: DataFrame, boxes: DataFrame, keys: list[str], top_n: int) -> DataFrame:
     """The first ``top_n`` granules per site: full overlap, clear before cloudy, then cloud and date.
 
-    When a site has no clear granule its cloudy ones are ranked instead; ``fallback`` says so.
+    When a site has no clear granule all its granules are ranked instead; ``fallback`` says so.  Unknown
+    cloud cover is not clear and comes after every known one.
     """
     ok = granule_overlap(granules, boxes, keys).where(F.col("overlap") >= MIN_OVERLAP)
-    clear = F.col("cloud") <= MAX_CLOUD
+    clear = F.coalesce(F.col("cloud") <= MAX_CLOUD, F.lit(False))
     some = ok.groupBy(*keys).agg(F.bool_or(clear).alias("_any"))
     j = attach(ok, some, keys).where(clear | ~F.col("_any")).withColumn("fallback", ~F.col("_any")).drop("_any")
-    return top_rows(j, keys, [F.col("cloud"), F.col("date")], ["granule"], top_n)
+    return top_rows(j, keys, [F.col("cloud").asc_nulls_last(), F.col("date")], ["granule"], top_n)
 
 
 def repeat_pairs(scenes: DataFrame, keys: list[str]) -> DataFrame:

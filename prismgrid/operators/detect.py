@@ -90,19 +90,19 @@ def calibrated_detection(
 ) -> DataFrame:
     """Threshold per (keys, rep): quantile of the gated positive scores in the drawn blocks, by multiplicity.
 
-    ``draws(keys, rep, block, w)``.  Returns thresholds with ``n_calibration`` distinct pixels; draws whose
-    blocks hold no positive score get a NULL threshold.
+    ``draws(keys, rep, block, w)``.  Returns thresholds with ``n_calibration`` pixels, each counted as often as
+    its block was drawn.  Draws whose blocks hold no positive score have no threshold, a reason, and no detections.
     """
     ok = F.col(score).isNotNull() & F.col(infeas).isNotNull() & (F.col(score) > 0)
     if max_infeas is not None:
         ok = ok & (F.col(infeas) < max_infeas)
     cal = scores.where(ok).select(*keys, block, score).join(draws, [*keys, block])
-    counts = cal.groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("n_calibration"))
+    counts = cal.groupBy(*keys, "rep").agg(F.sum("w").cast("bigint").alias("n_calibration"))
     thr = exact_quantiles(cal, [*keys, "rep"], score, {"threshold": q}, weight="w").drop("n")
     every = draws.select(*keys, "rep").distinct()
-    return every.join(counts, [*keys, "rep"], "left").join(thr, [*keys, "rep"], "left").withColumn(
-        "n_calibration", F.coalesce("n_calibration", F.lit(0))
-    )
+    out = every.join(counts, [*keys, "rep"], "left").join(thr, [*keys, "rep"], "left")
+    reason = F.when(F.col("n_calibration").isNull(), "no_positive_calibration_scores")
+    return out.withColumns({"reason": reason, "n_calibration": F.coalesce("n_calibration", F.lit(0))})
 
 
 def opacity(strength: Column, vmax: Column) -> Column:

@@ -24,7 +24,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, i: str = "i", j: str = "j", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
     """Component of every node that has an edge: ``node, root`` with the smallest node as root.
 
     Each round is two joins by node; lineage is cut per round.  The edge set stops changing when all
@@ -32,7 +32,7 @@ def components(edges: DataFrame, i: str = "i", j: str = "j", max_rounds: int = 6
     """
     e = cut(edges.select(F.least(i, j).alias("u"), F.greatest(i, j).alias("v")).where("u <> v").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         e = cut(_small_star(_large_star(e)))
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
         if mark == (now["n"], now["h"]):
@@ -40,7 +40,6 @@ def components(edges: DataFrame, i: str = "i", j: str = "j", max_rounds: int = 6
             roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
             return stars.unionByName(roots)
         mark = (now["n"], now["h"])
-    raise ValueError("components did not settle")
 
 
 def clusters(edges: DataFrame, labels: DataFrame, i: str = "i", j: str = "j") -> DataFrame:

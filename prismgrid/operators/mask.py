@@ -109,25 +109,45 @@ def quality_value_counts(df: DataFrame, keys: list[str], fields: list[str] = QA_
     return df.select(*keys, pairs.alias("p")).groupBy(*keys, "p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quality_audit(df: DataFrame, keys: list[str], refl: str = "refl") -> DataFrame:
-    """Clear pixels with any band below 0, above 1, above 1.5; finite range; fill agreement."""
-    inv = qa_invalid(refl)
-    clear = ~inv
+def _audited(df: DataFrame, bands: DataFrame, refl: str) -> DataFrame:
+    """``_v``: values of the retained bands (missing ones stay NULL), ``_bad``, ``_fill``: any quality field is 1, is 255."""
+    axis = bands.agg(F.transform(F.array_sort(F.collect_list(F.struct("band_index", "retained"))), lambda b: b["retained"]).alias("_use"))
+    met = df.join(F.broadcast(axis))  # one row
+    bad, fill = F.lit(False), F.lit(False)
+    for f in QA_FIELDS:
+        bad, fill = bad | F.coalesce(F.col(f) == 1, F.lit(False)), fill | F.coalesce(F.col(f) == 255, F.lit(False))
+    return met.withColumns({"_v": F.filter(F.col(refl), lambda v, i: F.get("_use", i)), "_bad": bad, "_fill": fill}).drop("_use")
+
+
+def clear_values(df: DataFrame, keys: list[str], bands: DataFrame, refl: str = "refl") -> DataFrame:
+    """``keys, value``: every present value of the retained bands of clear pixels."""
+    v = _audited(df, bands, refl).where(~F.col("_bad")).select(*keys, F.explode("_v").alias("value"))
+    return v.where(F.col("value").isNotNull())
+
+
+def quality_audit(df: DataFrame, keys: list[str], bands: DataFrame, refl: str = "refl") -> DataFrame:
+    """Clear pixels with any value below 0, above 1, above 1.5; their range; agreement of fill and no data.
+
+    Only bands that ``bands(band_index, retained)`` retains count.  A pixel is invalid where a quality field
+    is 1; fields at their fill value (255) are counted apart; a pixel is filled if any band is missing.
+    """
+    inv, clear = F.col("_bad"), ~F.col("_bad")
 
     def any_band(test) -> Column:
-        return F.exists(F.col(refl), test)
+        return F.exists(F.col("_v"), test)
 
-    filled = ~F.exists(F.col(refl), lambda v: v.isNotNull())
-    out = df.groupBy(*keys).agg(
+    filled = any_band(lambda v: v.isNull())
+    out = _audited(df, bands, refl).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(inv).alias("n_invalid"),
         F.count_if(clear).alias("n_clear"),
         F.count_if(clear & any_band(lambda v: v < 0.0)).alias("n_below_0"),
         F.count_if(clear & any_band(lambda v: v > 1.0)).alias("n_above_1"),
         F.count_if(clear & any_band(lambda v: v > 1.5)).alias("n_above_1_5"),
-        F.min(F.array_min(refl)).alias("min_value"),
-        F.max(F.array_max(refl)).alias("max_value"),
-        F.count_if(filled != (F.col("nodata") != 0)).alias("n_fill_mismatch"),
+        F.min(F.when(clear, F.array_min("_v"))).alias("min_value"),
+        F.max(F.when(clear, F.array_max("_v"))).alias("max_value"),
+        F.count_if(F.col("_fill")).alias("n_qa_fill"),
+        F.count_if(filled != F.coalesce(F.col("nodata") == 1, F.lit(False))).alias("n_fill_mismatch"),
     )
     n = F.nullif(F.col("n_clear"), F.lit(0))
     return (

@@ -200,10 +200,26 @@ def block_orderings(blocks: DataFrame, keys: list[str], replicates: int, seed) -
         .select(*keys, "rep", "target", "source")
     )
     many = sizes.where(F.col("n_blocks") > few)
-    drawn = block_permutations(blocks.join(many.select(*keys), keys, "left_semi"), keys, replicates, seed)
+    return full.unionByName(_unique_draws(blocks.join(many.select(*keys), keys, "left_semi"), keys, replicates, math.factorial(few + 1), seed))
+
+
+def _unique_draws(blocks: DataFrame, keys: list[str], replicates: int, orderings: int, seed) -> DataFrame:
+    """The first ``replicates`` different orderings of each key in the sequence of draws.
+
+    ``orderings``: how many the key with the fewest blocks has; as many draws as are expected to hold enough
+    different ones are made, and more while a key is short.
+    """
+    share = min(replicates, orderings - 1) / orderings
+    total = math.ceil(-orderings * math.log(1 - share)) + 6 * math.isqrt(replicates) + 20
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "source"))), lambda p: p["source"]), ",")
-    unique = drawn.groupBy(*keys, "rep").agg(order.alias("_o")).groupBy(*keys, "_o").agg(F.min("rep").alias("rep"))
-    return full.unionByName(drawn.join(unique.select(*keys, "rep"), [*keys, "rep"], "left_semi").select(*keys, "rep", "target", "source"))
+    place = Window.partitionBy(*keys).orderBy("rep")
+    while True:
+        drawn = block_permutations(blocks, keys, total, seed)
+        first = drawn.groupBy(*keys, "rep").agg(order.alias("_o")).groupBy(*keys, "_o").agg(F.min("rep").alias("rep"))
+        kept = cut(first.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= replicates).select(*keys, "rep"))
+        if kept.groupBy(*keys).count().where(F.col("count") < replicates).isEmpty():
+            return drawn.join(kept, [*keys, "rep"], "left_semi").select(*keys, "rep", "target", "source")
+        total *= 2
 
 
 def paired_spearman_bootstrap(sampled: DataFrame, keys: list[str], a: str, b: str, replicates: int, seed) -> DataFrame:
@@ -298,7 +314,7 @@ def sensor_randomization(obs: DataFrame, keys: list[str], native: str, degraded:
     ).select(*keys, F.concat_ws("|", F.col("x.s"), "block_id").alias("unit"), F.col("x.v").alias("score"), "ref")
     u = pair_numerators(both, keys, "unit")
     side = lambda c: F.substring(c, 1, 1).cast("int")
-    blk = lambda c: F.substring(c, 3, 1000)
+    blk = lambda c: F.substring(c, F.lit(3), F.length(c))
     u = u.select(*keys, side("p_block").alias("ps"), blk("p_block").alias("pb"), side("n_block").alias("ns"), blk("n_block").alias("nb"), "u")
     n = rows.groupBy(*keys).agg(
         F.count_if(F.col("ref") == 1).alias("n_pos"), F.count_if(F.col("ref") == 0).alias("n_neg"),

@@ -9,20 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: pixel lags, the four directions and the pair budget per lag
+# fixed values: pixel lags and the four directions
 LAGS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128]
 DIRECTIONS = [(0, 1), (1, 0), (1, 1), (1, -1)]
-MAX_PAIRS = 200_000
 
 
 def empirical_semivariogram(
-    field: DataFrame, keys: list[str], value: str, pixel_size: float, lags: list[int] = LAGS, max_pairs: int = MAX_PAIRS
+    field: DataFrame, keys: list[str], value: str, pixel_size: float, lags: list[int] = LAGS, max_pairs: int | None = None
 ) -> DataFrame:
     """Half the mean squared difference per lag, four directions pooled.
 
     Raster rows travel as arrays: a lag and direction pairs row ``r`` with row ``r + dr`` once, and the
-    column offset is applied inside the arrays.  Above ``max_pairs`` available pairs an even choice over
-    the direction, row, column order is used; positions come from running counts per raster row.
+    column offset is applied inside the arrays.  All pairs count, as partial sums.  With ``max_pairs`` an even
+    choice over the direction, row, column order replaces them above that number; positions come from
+    running counts per raster row.
     """
     shape = field.groupBy(*keys).agg((F.max("row_i") + 1).alias("_h"), (F.max("col_i") + 1).alias("_w"))
     entries = F.map_from_entries(F.collect_list(F.struct("col_i", F.col(value).cast("double").alias("v"))))
@@ -45,6 +45,12 @@ def empirical_semivariogram(
     sq = F.transform(F.filter(diff, lambda x: x.isNotNull()), lambda x: x * x)
     per_row = j.select(*keys, F.col("s.lag").alias("lag"), F.col("s.dir").alias("dir"), "row_i", sq.alias("_q")).withColumn("_n", F.size("_q")).where("_n > 0")
     by = [*keys, "lag"]
+    if max_pairs is None:
+        whole = per_row.groupBy(*by).agg(F.sum("_n").alias("available_pairs"), F.sum(F.aggregate("_q", F.lit(0.0), lambda s, v: s + v)).alias("_t"))
+        return whole.select(
+            *keys, F.col("lag").alias("lag_pixels"), (F.col("lag") * F.lit(float(pixel_size))).alias("distance"),
+            (F.lit(0.5) * F.col("_t") / F.col("available_pairs")).alias("semivariance"), "available_pairs", F.col("available_pairs").alias("used_pairs"),
+        )
     before = Window.partitionBy(*by).orderBy("dir", "row_i").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_row.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy(*by))

@@ -222,11 +222,11 @@ def x26(spark, d):
     return dr.groupBy("site", "rep").agg(F.count(F.lit(1)).alias("n_slots"), F.countDistinct("block_id").alias("n_distinct"), order.alias("blocks")).withColumn("rep", F.col("rep").cast("bigint"))
 
 
-@query("x26_draw_record", """SELECT site, rep, '[' || string_agg('{"block_id":"' || block_id || '","count":' || w || '}', ',' ORDER BY block_id) || ']' AS record FROM weights WHERE layer = 'alpha' GROUP BY site, rep""")
+@query("x26_draw_record", """SELECT site, rep, '[' || string_agg('{"block_id":"' || block_id || '","multiplicity":' || w || '}', ',' ORDER BY block_id) || ']' AS record FROM weights WHERE layer = 'alpha' GROUP BY site, rep""")
 def x26_record(spark, d):
     b = R.block_class_counts(samples(spark, d), KEYS).where(F.col("layer") == "alpha")
     w = D.block_weights(b, ["site"], REPS, 7)
-    rec = F.to_json(F.array_sort(F.collect_list(F.struct("block_id", F.col("w").alias("count")))))
+    rec = F.to_json(F.array_sort(F.collect_list(F.struct("block_id", F.col("w").alias("multiplicity")))))
     return w.groupBy("site", "rep").agg(rec.alias("record")).withColumn("rep", F.col("rep").cast("bigint"))
 
 

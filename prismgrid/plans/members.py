@@ -149,8 +149,9 @@ def a39(spark, d):
 
 
 @query("s7_calibrated_detection", """WITH c AS (SELECT m.site, w.rep, m.score, w.w FROM memd m JOIN mdraw w ON w.site = m.site AND w.block_id = m.block_id WHERE m.member = 0 AND m.mineral = 0 AND m.score > 0 AND m.infeas < 1),
- t AS (SELECT site, rep, quantile_cont(score, 0.9) AS threshold FROM (SELECT site, rep, score, unnest(range(w)) AS u FROM c) GROUP BY site, rep), n AS (SELECT site, rep, count(*) AS n_calibration FROM c GROUP BY site, rep)
- SELECT t.site, t.rep, n_calibration, round(threshold, 6) + 0.0 AS threshold, (SELECT count(*) FROM memd m WHERE m.site = t.site AND m.member = 0 AND m.mineral = 0 AND m.infeas < 1 AND m.score >= t.threshold) AS n_detected FROM t JOIN n USING (site, rep)""")
+ t AS (SELECT site, rep, quantile_cont(score, 0.9) AS threshold FROM (SELECT site, rep, score, unnest(range(w)) AS u FROM c) GROUP BY site, rep), n AS (SELECT site, rep, CAST(sum(w) AS BIGINT) AS n_calibration FROM c GROUP BY site, rep)
+ SELECT e.site, e.rep, coalesce(n_calibration, 0) AS n_calibration, round(threshold, 6) + 0.0 AS threshold, CASE WHEN n_calibration IS NULL THEN 'no_positive_calibration_scores' END AS reason,
+ (SELECT count(*) FROM memd m WHERE m.site = e.site AND m.member = 0 AND m.mineral = 0 AND m.infeas < 1 AND m.score >= t.threshold) AS n_detected FROM (SELECT DISTINCT site, rep FROM mdraw) e LEFT JOIN t USING (site, rep) LEFT JOIN n USING (site, rep)""")
 def s7(spark, d):
     from ..functions.draws import block_weights
 
@@ -162,7 +163,8 @@ def s7(spark, d):
     marks = t.where(F.col("threshold").isNotNull()).select("site", F.col("threshold").alias("score"), F.lit(0).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("q")).distinct()
     run = stats.running_totals(gated.unionByName(marks), ["site"], "score", ["c"], descending=True).where("q = 1")
     out = t.join(run.select("site", F.col("score").alias("threshold"), F.col("cum_c").alias("n_detected")), ["site", "threshold"], "left")
-    return rounded(out.select("site", F.col("rep").cast("bigint").alias("rep"), "n_calibration", "threshold", "n_detected"), "threshold")
+    found = F.coalesce("n_detected", F.lit(0)).alias("n_detected")
+    return rounded(out.select("site", F.col("rep").cast("bigint").alias("rep"), "n_calibration", "threshold", "reason", found), "threshold")
 
 
 @query("x23_balanced_schedule", """WITH l AS (SELECT label AS mineral, vec_id AS sample, ('0x' || substr(md5(concat_ws(':', '42', label, vec_id)), 1, 8))::BIGINT AS lot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
@@ -517,17 +519,15 @@ def d3(spark, d):
     return k.select("*", rules.public_gate(ext, F.col("repeatability")).alias("public_gate"))
 
 
-@query("d4_claim_gate", """WITH g AS (SELECT user_id, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR e IS NULL THEN NULL ELSE a + 0.7 >= 0.8 AND b + 0.3 >= 0.8 AND c > 0.5 AND e - 0.6 <= 0.2 END AS st, CASE WHEN b IS NULL THEN NULL ELSE b > 0.5 END AS ex, CASE WHEN c IS NULL THEN NULL ELSE c > 0.6 END AS sr FROM evid)
- SELECT user_id, st AS stable, CASE WHEN st IS NULL OR ex IS NULL OR sr IS NULL THEN 'unavailable_required_evidence' WHEN st AND ex AND sr THEN 'validated_analytically_robust_alteration_zone_discrimination' WHEN st AND NOT ex THEN 'analytically_stable_spatial_pattern_only'
+@query("d4_claim_gate", """WITH g AS (SELECT user_id, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR e IS NULL THEN NULL ELSE a + 0.7 >= 0.8 AND b + 0.3 >= 0.8 AND c > 0.5 AND e - 0.6 <= 0.2 END AS st, CASE WHEN n % 4 <> 0 AND b IS NOT NULL AND c IS NOT NULL THEN b > 0.5 AND b + 0.1 > 0.5 AND c + 0.1 > 0.5 END AS ex, CASE WHEN c IS NULL THEN NULL ELSE c > 0.6 END AS sr FROM evid)
+ SELECT user_id, st AS stable, ex AS external, CASE WHEN st IS NULL OR ex IS NULL OR sr IS NULL THEN 'unavailable_required_evidence' WHEN st AND ex AND sr THEN 'validated_analytically_robust_alteration_zone_discrimination' WHEN st AND NOT ex THEN 'analytically_stable_spatial_pattern_only'
  WHEN ex AND NOT sr THEN 'operational_discrimination_not_strictly_held_out' WHEN ex AND NOT st THEN 'discriminative_but_analytically_sensitive' ELSE 'negative_or_unstable_result' END AS claim FROM g""")
 def d4(spark, d):
     e = evidence(spark, d)
     inputs = [F.col("a") + 0.7, F.col("b") + 0.3, F.col("c"), F.col("e") - 0.6]
-    known = F.lit(True)
-    for i in inputs:
-        known = known & i.isNotNull()
-    e = e.withColumn("stable", F.when(known, rules.claim_gate(*inputs, external=[])))
-    return e.select("user_id", "stable", rules.permitted_claim(F.col("stable"), F.col("b") > 0.5, F.col("c") > 0.6).alias("claim"))
+    e = e.withColumn("stable", rules.claim_gate(*inputs, external=[]))
+    external = rules.external_component(F.col("b"), F.col("b") + 0.1, F.col("c") + 0.1, F.col("n") % 4 != 0)
+    return e.select("user_id", "stable", external.alias("external"), rules.permitted_claim(F.col("stable"), external, F.col("c") > 0.6).alias("claim"))
 
 
 VIEWS["endp"] = """SELECT user_id, grp, CASE user_id % 5 WHEN 0 THEN 'prevalence' WHEN 1 THEN 'spearman' ELSE 'auc' END AS metric, CASE WHEN n % 13 < 3 THEN 'counts_and_maps_only' WHEN n % 13 < 6 THEN 'exploratory_only' ELSE 'confirmatory_eligible' END AS tier, CASE WHEN user_id % 4 = 1 THEN 'broader' ELSE 'exact' END AS mapping,

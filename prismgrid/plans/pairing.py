@@ -30,7 +30,7 @@ def semivariogram(spark, d, max_pairs: int) -> DataFrame:
 
 @query("a28_semivariogram", """SELECT site, CAST(lag AS INTEGER) AS lag_pixels, lag * 30.0::DOUBLE AS distance, round(0.5 * avg(sq), 6) + 0.0 AS semivariance, count(*) AS available_pairs, count(*) AS used_pairs FROM vord GROUP BY site, lag""")
 def a28(spark, d):
-    return rounded(semivariogram(spark, d, V.MAX_PAIRS), "semivariance")
+    return rounded(semivariogram(spark, d, None), "semivariance")
 
 
 @query("a28_thinned_semivariogram", """SELECT v.site, CAST(v.lag AS INTEGER) AS lag_pixels, round(0.5 * avg(sq), 6) + 0.0 AS semivariance, max(n) AS available_pairs, count(*) AS used_pairs FROM vord v
@@ -43,7 +43,7 @@ def a28_thin(spark, d):
 @query("a29_variogram_fit")
 def a29(spark, d):
     v = ev(spark, d).groupBy("site").agg(F.var_pop("score").alias("field_variance"))
-    return rounded(V.fit_exponential(semivariogram(spark, d, V.MAX_PAIRS), v, ["site"]), "nugget", "sill", "scale", "practical_range")
+    return rounded(V.fit_exponential(semivariogram(spark, d, None), v, ["site"]), "nugget", "sill", "scale", "practical_range")
 
 
 # ---- patches -------------------------------------------------------------------------------------------
@@ -171,7 +171,7 @@ def j17(spark, d):
 
 # ---- catalogues ----------------------------------------------------------------------------------------------
 
-VIEWS["gran"] = """SELECT o_orderkey AS granule, o_orderstatus AS site, CAST(o_orderdate AS DATE) AS date, round(o_totalprice % 100, 2) + CASE WHEN o_orderstatus = 'P' THEN 11 ELSE 0 END AS cloud, (o_custkey % 20) / 10.0::DOUBLE AS lon_min, (o_custkey % 20) / 10.0::DOUBLE + 3 AS lon_max,
+VIEWS["gran"] = """SELECT o_orderkey AS granule, o_orderstatus AS site, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'O' OR o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice % 100, 2) + CASE WHEN o_orderstatus = 'P' THEN 11 ELSE 0 END END AS cloud, (o_custkey % 20) / 10.0::DOUBLE AS lon_min, (o_custkey % 20) / 10.0::DOUBLE + 3 AS lon_max,
  (o_orderkey % 30) / 10.0::DOUBLE AS lat_min, (o_orderkey % 30) / 10.0::DOUBLE + 3.5::DOUBLE AS lat_max FROM orders"""
 VIEWS["granover"] = """SELECT *, greatest(0, least(lon_max, 3.0) - greatest(lon_min, 1.5)) * greatest(0, least(lat_max, 3.2) - greatest(lat_min, 1.2)) / (1.5 * 2.0)::DOUBLE AS overlap FROM gran"""
 
@@ -181,14 +181,14 @@ def granules(spark, d) -> tuple[DataFrame, DataFrame]:
     lon, lat = (F.col("o_custkey") % 20) / 10.0, (F.col("o_orderkey") % 30) / 10.0
     g = o.select(
         F.col("o_orderkey").alias("granule"), F.col("o_orderstatus").alias("site"), F.to_date("o_orderdate").alias("date"),
-        (F.round(F.col("o_totalprice") % 100, 2) + F.when(F.col("o_orderstatus") == "P", 11).otherwise(0)).alias("cloud"),
+        F.when((F.col("o_orderstatus") != "O") & (F.col("o_orderkey") % 5 != 0), F.round(F.col("o_totalprice") % 100, 2) + F.when(F.col("o_orderstatus") == "P", 11).otherwise(0)).alias("cloud"),
         lon.alias("lon_min"), (lon + 3).alias("lon_max"), lat.alias("lat_min"), (lat + 3.5).alias("lat_max"))
     box = g.select("site").distinct().select("site", *[F.lit(v).alias(n) for n, v in (("s_lon_min", 1.5), ("s_lon_max", 3.0), ("s_lat_min", 1.2), ("s_lat_max", 3.2))])
     return g, box
 
 
-@query("j21_granule_rank", """WITH k AS (SELECT *, bool_or(cloud <= 10) OVER (PARTITION BY site) AS anyclear FROM granover WHERE overlap >= 0.99)
- SELECT site, granule, NOT anyclear AS fallback, CAST(rn AS INTEGER) AS rank, round(overlap, 6) + 0.0 AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY cloud, date, granule) AS rn FROM k WHERE cloud <= 10 OR NOT anyclear) WHERE rn <= 5""")
+@query("j21_granule_rank", """WITH k AS (SELECT *, coalesce(cloud <= 10, false) AS clear, coalesce(bool_or(cloud <= 10) OVER (PARTITION BY site), false) AS anyclear FROM granover WHERE overlap >= 0.99)
+ SELECT site, granule, NOT anyclear AS fallback, CAST(rn AS INTEGER) AS rank, round(overlap, 6) + 0.0 AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY coalesce(cloud, 1000), date, granule) AS rn FROM k WHERE clear OR NOT anyclear) WHERE rn <= 5""")
 def j21(spark, d):
     g, box = granules(spark, d)
     return rounded(J.rank_granules(g, box, ["site"], 5).select("site", "granule", "fallback", "rank", "overlap"), "overlap")
@@ -249,18 +249,21 @@ def io1(spark, d):
     return df.select("vec_id", "label", r6(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
-@query("io2_library_parse", """SELECT 'm' || label AS mineral, CASE WHEN vec_id % 11 = 0 THEN 'M' ELSE 'm' END || label || '_' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '_ASDFRa' ELSE '_BECKb' END AS sample, CASE WHEN vec_id % 2 = 0 THEN 'ASD' ELSE 'BECK' END AS spectrometer,
- CAST(list_count(list_filter(refl, lambda v: v >= -0.2)) AS INTEGER) AS n_present, round(list_sum(list_filter(refl, lambda v: v >= -0.2)), 5) + 0.0 AS total FROM pix WHERE vec_id % 7 <> 3 AND vec_id % 13 <> 5""")
+@query("io2_library_parse", """SELECT 'm' || label AS mineral, 'set1_' || CASE WHEN vec_id % 11 = 0 THEN 'M' ELSE 'm' END || label || CASE WHEN vec_id % 17 = 4 THEN 'ite' ELSE '' END || '_' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '_ASDFRa' ELSE '_BECKb' END AS sample, CASE WHEN vec_id % 2 = 0 THEN 'ASD' ELSE 'BECK' END AS spectrometer,
+ CAST(list_count(list_filter(refl, lambda v: v >= -0.2)) AS INTEGER) AS n_present, round(list_sum(list_filter(refl, lambda v: v >= -0.2)), 5) + 0.0 AS total FROM pix WHERE vec_id % 7 <> 3 AND vec_id % 13 <> 5 AND vec_id % 17 <> 4 AND vec_id % 19 <> 6""")
 def io2(spark, d):
     p = pix(spark, d)
     vid = F.col("vec_id")
     token = F.when(vid % 13 == 5, "_OTHER").when(vid % 2 == 0, "_ASDFRa").otherwise("_BECKb")
-    name = F.concat(F.when(vid % 11 == 0, "M").otherwise("m"), F.col("label"), F.lit("_"), vid, token, F.lit(".txt"))
+    # some names go on after the mineral, some carry another collection
+    name = F.concat(
+        F.when(vid % 19 == 6, "set2_").otherwise("set1_"), F.when(vid % 11 == 0, "M").otherwise("m"), F.col("label"),
+        F.when(vid % 17 == 4, "ite").otherwise(""), F.lit("_"), vid, token, F.lit(".txt"))
     cells = F.transform("refl", lambda v: F.when(v >= -0.2, v).otherwise(F.lit(-1.23e34)).cast("string"))
     kept = F.when(vid % 7 == 3, F.slice(cells, 1, 60)).otherwise(cells)
     files = p.select(name.alias("file_name"), F.concat(F.lit("header line\n"), F.array_join(kept, "\n"), F.lit("\n")).alias("value"))
     sizes = spark.createDataFrame([("ASD", N_BANDS), ("BECK", N_BANDS)], "spectrometer string, n_bands int")
-    good, _ = SRC.parse_library(files, [f"m{i}" for i in range(10)], sizes)
+    good, _ = SRC.parse_library(files, [f"m{i}" for i in range(10)], sizes, "set1")
     present = F.filter("refl", lambda v: v.isNotNull())
     return good.select("mineral", "sample", "spectrometer", F.size(present).alias("n_present"), (F.round(F.aggregate(present, F.lit(0.0), lambda s, v: s + v), 5) + F.lit(0.0)).alias("total"))
 

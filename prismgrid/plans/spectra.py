@@ -72,17 +72,21 @@ def q4(spark, d):
     return rounded(M.quality_report(qa(spark, d), ["label"], M.retained_bands(bands(spark), windows(spark))), "invalid_fraction")
 
 
-@query("q5_quality_audit", """SELECT label, count(*) AS n_total, count(*) FILTER (WHERE invalid) AS n_invalid, count(*) FILTER (WHERE NOT invalid) AS n_clear,
- count(*) FILTER (WHERE NOT invalid AND list_min(refl) < 0) AS n_below_0, count(*) FILTER (WHERE NOT invalid AND list_max(refl) > 1) AS n_above_1,
- count(*) FILTER (WHERE NOT invalid AND list_max(refl) > 1.5) AS n_above_1_5, round(min(list_min(refl)), 6) + 0.0 AS min_value, round(max(list_max(refl)), 6) + 0.0 AS max_value,
- count(*) FILTER (WHERE (list_count(refl) = 0) <> (nodata <> 0)) AS n_fill_mismatch,
- round(count(*) FILTER (WHERE invalid) / count(*)::DOUBLE, 6) + 0.0 AS invalid_fraction,
- round(count(*) FILTER (WHERE NOT invalid AND list_min(refl) < 0) / nullif(count(*) FILTER (WHERE NOT invalid), 0)::DOUBLE, 6) + 0.0 AS below_0_fraction,
- round(count(*) FILTER (WHERE NOT invalid AND list_max(refl) > 1) / nullif(count(*) FILTER (WHERE NOT invalid), 0)::DOUBLE, 6) + 0.0 AS above_1_fraction,
- round(count(*) FILTER (WHERE NOT invalid AND list_max(refl) > 1.5) / nullif(count(*) FILTER (WHERE NOT invalid), 0)::DOUBLE, 6) + 0.0 AS above_1_5_fraction
- FROM qaok GROUP BY label""")
+AUDITED = f"""WITH b AS ({BANDS_SQL}), u AS (SELECT list(band_index ORDER BY band_index) AS idx FROM b WHERE retained),
+ x AS (SELECT label, nodata, (cloud = 1 OR cirrus = 1 OR nodata = 1) AS bad, (cloud = 255 OR cirrus = 255 OR nodata = 255) AS fill, list_transform(idx, lambda i: refl[i + 1]) AS v FROM qa, u)"""
+
+
+@query("q5_quality_audit", AUDITED + """ SELECT label, count(*) AS n_total, count(*) FILTER (WHERE bad) AS n_invalid, count(*) FILTER (WHERE NOT bad) AS n_clear,
+ count(*) FILTER (WHERE NOT bad AND list_min(v) < 0) AS n_below_0, count(*) FILTER (WHERE NOT bad AND list_max(v) > 1) AS n_above_1,
+ count(*) FILTER (WHERE NOT bad AND list_max(v) > 1.5) AS n_above_1_5, round(min(list_min(v)) FILTER (WHERE NOT bad), 6) + 0.0 AS min_value, round(max(list_max(v)) FILTER (WHERE NOT bad), 6) + 0.0 AS max_value,
+ count(*) FILTER (WHERE fill) AS n_qa_fill, count(*) FILTER (WHERE (list_count(v) < len(v)) <> (nodata = 1)) AS n_fill_mismatch,
+ round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) + 0.0 AS invalid_fraction,
+ round(count(*) FILTER (WHERE NOT bad AND list_min(v) < 0) / nullif(count(*) FILTER (WHERE NOT bad), 0)::DOUBLE, 6) + 0.0 AS below_0_fraction,
+ round(count(*) FILTER (WHERE NOT bad AND list_max(v) > 1) / nullif(count(*) FILTER (WHERE NOT bad), 0)::DOUBLE, 6) + 0.0 AS above_1_fraction,
+ round(count(*) FILTER (WHERE NOT bad AND list_max(v) > 1.5) / nullif(count(*) FILTER (WHERE NOT bad), 0)::DOUBLE, 6) + 0.0 AS above_1_5_fraction
+ FROM x GROUP BY label""")
 def q5(spark, d):
-    return rounded(M.quality_audit(qa(spark, d), ["label"]), "min_value", "max_value", "invalid_fraction",
+    return rounded(M.quality_audit(qa(spark, d), ["label"], M.retained_bands(bands(spark), windows(spark))), "min_value", "max_value", "invalid_fraction",
                    "below_0_fraction", "above_1_fraction", "above_1_5_fraction")
 
 
@@ -92,12 +96,13 @@ def q5_counts(spark, d):
     return M.quality_value_counts(qa(spark, d), [])
 
 
-@query("q5_sample_quantiles", """SELECT site, count(score) AS n, round(quantile_cont(score, 0.001), 6) + 0.0 AS q001, round(quantile_cont(score, 0.01), 6) + 0.0 AS q01,
- round(quantile_cont(score, 0.5), 6) + 0.0 AS q50, round(quantile_cont(score, 0.99), 6) + 0.0 AS q99, round(quantile_cont(score, 0.999), 6) + 0.0 AS q999
- FROM ev WHERE row_i % 20 = 0 AND col_i % 20 = 0 AND score IS NOT NULL GROUP BY site""")
+@query("q5_value_quantiles", AUDITED + """ SELECT label, count(v) AS n, round(quantile_cont(v, 0.001), 6) + 0.0 AS q001, round(quantile_cont(v, 0.01), 6) + 0.0 AS q01,
+ round(quantile_cont(v, 0.5), 6) + 0.0 AS q50, round(quantile_cont(v, 0.99), 6) + 0.0 AS q99, round(quantile_cont(v, 0.999), 6) + 0.0 AS q999
+ FROM (SELECT label, unnest(v) AS v FROM x WHERE NOT bad) WHERE v IS NOT NULL GROUP BY label""")
 def q5_quantiles(spark, d):
     qs = {"q001": 0.001, "q01": 0.01, "q50": 0.5, "q99": 0.99, "q999": 0.999}
-    return rounded(stats.exact_quantiles(M.systematic_sample(ev(spark, d)), ["site"], "score", qs), *qs)
+    values = M.clear_values(qa(spark, d), ["label"], M.retained_bands(bands(spark), windows(spark)))
+    return rounded(stats.exact_quantiles(values, ["label"], "value", qs), *qs)
 
 
 @query("q13_nearest_band", """SELECT t.label, t.target_nm, arg_min(b.band_index, abs(b.wavelength_nm - t.target_nm) + b.band_index * 1e-12) AS band_index

@@ -48,20 +48,20 @@ def read_library_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_library(files: DataFrame, minerals: list[str], grids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_library(files: DataFrame, minerals: list[str], grids: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
     """Spectra and rejects from library texts (header line, then one value per line).
 
-    ``grids(spectrometer, n_bands)``.  The mineral is matched case-insensitively by name prefix, the
-    spectrometer by its token; deleted channels are missing; a wrong length or unknown name is rejected.
+    ``grids(spectrometer, n_bands)``.  A file belongs to every mineral whose name stands between the
+    collection token and an underscore at the start of its name, in any case; the spectrometer is found by its
+    token.  Deleted channels are missing; a wrong length or unknown name is rejected.
     """
     lower = F.lower("file_name")
-    mineral = F.lit(None).cast("string")
-    for m in sorted(minerals):
-        mineral = F.when(F.startswith(lower, F.lit(m.lower())), F.lit(m)).otherwise(mineral)
+    names = F.array(*[F.lit(m) for m in sorted(minerals)])
+    mineral = F.explode_outer(F.filter(names, lambda m: F.startswith(lower, F.concat(F.lit(f"{collection.lower()}_"), F.lower(m), F.lit("_")))))
     spectrometer = F.lit(None).cast("string")
     for token, name in reversed(list(SPECTROMETERS.items())):
         spectrometer = F.when(F.contains("file_name", F.lit(token)), F.lit(name)).otherwise(spectrometer)
-    lines = F.filter(F.slice(F.split("value", "\r?\n"), 2, 100000), lambda s: F.trim(s) != "")
+    lines = F.filter(F.expr(r"slice(split(value, '\r?\n'), 2, size(split(value, '\r?\n')))"), lambda s: F.trim(s) != "")
     values = F.transform(F.transform(lines, lambda s: s.try_cast("double")), lambda v: F.when(v > DELETED, v))
     rows = files.select(
         mineral.alias("mineral"), F.regexp_replace("file_name", r"\.[^.]*$", "").alias("sample"), spectrometer.alias("spectrometer"), values.alias("refl")

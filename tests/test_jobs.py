@@ -10,12 +10,16 @@ from prismgrid.streaming import running as ST
 
 
 def test_library_files(spark, tmp_path):
-    for name, lines in {"alunite_1_ASDFRa.txt": ["0.5", "-1.23e34", "0.7"], "ALUNITE_2_BECKb.txt": ["0.1", "0.2"], "opal_ASDFRa.txt": ["1", "2", "3"], "alunite_3_ASDFRa.txt": ["1"]}.items():
+    for name, lines in {"lib1_Alunite_1_ASDFRa.txt": ["0.5", "-1.23e34", "0.7"], "LIB1_ALUNITE_2_BECKb.txt": ["0.1", "0.2"], "lib1_opalite_ASDFRa.txt": ["1", "2", "3"],
+                        "lib1_alunite_3_ASDFRa.txt": ["1"], "alunite_4_ASDFRa.txt": ["1", "2", "3"], "lib1_opal_x_ASDFRa.txt": ["1", "2", "3"]}.items():
         (tmp_path / name).write_text("\n".join(["head", *lines]) + "\n")
     grids = spark.createDataFrame([("ASD", 3), ("BECK", 2)], "spectrometer string, n_bands int")
-    good, bad = SRC.parse_library(SRC.read_library_text(spark, str(tmp_path)), ["alunite"], grids)
-    assert {r["sample"]: r.refl for r in good.collect()} == {"alunite_1_ASDFRa": [0.5, None, 0.7], "ALUNITE_2_BECKb": [0.1, 0.2]}
-    assert {r["sample"]: r.reason for r in bad.collect()} == {"opal_ASDFRa": "unknown_mineral", "alunite_3_ASDFRa": "length_mismatch"}
+    good, bad = SRC.parse_library(SRC.read_library_text(spark, str(tmp_path)), ["alunite", "opal", "opal_x"], grids, "lib1")
+    assert {(r.mineral, r["sample"]): r.refl for r in good.collect()} == {
+        ("alunite", "lib1_Alunite_1_ASDFRa"): [0.5, None, 0.7], ("alunite", "LIB1_ALUNITE_2_BECKb"): [0.1, 0.2],
+        ("opal", "lib1_opal_x_ASDFRa"): [1, 2, 3], ("opal_x", "lib1_opal_x_ASDFRa"): [1, 2, 3]}
+    assert {r["sample"]: r.reason for r in bad.collect()} == {
+        "lib1_opalite_ASDFRa": "unknown_mineral", "alunite_4_ASDFRa": "unknown_mineral", "lib1_alunite_3_ASDFRa": "length_mismatch"}
 
 
 def test_manifest_finds_missing_extra_and_changed(spark, tmp_path):
