@@ -51,6 +51,14 @@ def governed_interval(reps: DataFrame, keys: list[str], value: str, scheduled: i
     )
 
 
+def null_tails(reps: DataFrame, keys: list[str], value: str, scheduled: int) -> DataFrame:
+    """5 and 95 percent of a null distribution, only when at least 95 percent of its replicates are present."""
+    p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.95)))
+    out = reps.groupBy(*keys).agg(F.count(value).alias("valid_replicates"), p.alias("_p"))
+    ok = F.col("valid_replicates") >= F.ceil(F.lit(FINITE_SHARE * scheduled) - F.lit(1e-9))
+    return out.select(*keys, "valid_replicates", F.when(ok, F.col("_p")[0]).alias("null_05"), F.when(ok, F.col("_p")[1]).alias("null_95"))
+
+
 def null_summary(reps: DataFrame, observed: DataFrame, keys: list[str], value: str, scheduled: int) -> DataFrame:
     """Null quantiles, plus-one p-value of ``observed`` (greater or equal) and the finite gate."""
     j = reps.join(observed.select(*keys, F.col(value).alias("_obs")), keys)

@@ -347,6 +347,20 @@ def x8_null(spark, d):
     return rounded(out, "iou", "dice")
 
 
+@query("x9_null_tails", f"""WITH o AS (SELECT site, rep, n_both / nullif(n_either, 0)::DOUBLE AS iou FROM (SELECT p.site, p.rep, count(*) FILTER (WHERE a.m_a = 1 AND b.m_b = 1) AS n_both, count(*) FILTER (WHERE a.m_a = 1 OR b.m_b = 1) AS n_either
+ FROM sperm p JOIN blkpair a ON a.site = p.site AND a.block_id = p.target JOIN blkpair b ON b.site = p.site AND b.block_id = p.source AND b.row_i % 20 = a.row_i % 20 AND b.col_i % 20 = a.col_i % 20 WHERE a.m_a IS NOT NULL AND b.m_b IS NOT NULL GROUP BY p.site, p.rep)),
+ u AS (SELECT site, count(iou) AS n, quantile_cont(iou, 0.95) AS q FROM o GROUP BY site), l AS (SELECT site, count(boundary_m) AS n, quantile_cont(boundary_m, 0.05) AS q FROM ({_symmetric_sql('nulledges', ['site', 'rep'])}) GROUP BY site)
+ SELECT u.site, CASE WHEN u.n >= 19 THEN round(u.q, 6) + 0.0 END AS iou_null_95, CASE WHEN l.n >= 10 THEN round(l.q, 6) + 0.0 END AS boundary_null_05 FROM u LEFT JOIN l USING (site)""")
+def x9_tails(spark, d):
+    from ..operators import resample as R
+    from ..operators.inference import null_tails
+
+    iou = null_tails(R.overlap_null(blkpair(spark, d), ["site"], "m_a", "m_b", SIDE, 20, 5), ["site"], "iou", 20)
+    edge = null_tails(CD.boundary_null(sparse_blocks(spark, d), ["site"], "m_a", "m_b", 30.0, 30.0, SIDE, 10, 5), ["site"], "boundary_m", 10)
+    out = iou.select("site", F.col("null_95").alias("iou_null_95")).join(edge.select("site", F.col("null_05").alias("boundary_null_05")), "site", "left")
+    return rounded(out, "iou_null_95", "boundary_null_05")
+
+
 @query("g4_complete_orderings", """WITH b AS (SELECT DISTINCT 'three' AS site, s_suppkey % 3 AS block FROM supplier UNION ALL SELECT DISTINCT 'eight', s_suppkey % 8 FROM supplier),
  n AS (SELECT site, count(*) AS blocks, least(factorial(count(*)::INTEGER), 9999)::BIGINT AS orders FROM b GROUP BY site) SELECT site, orders AS n_orders, orders AS n_distinct, orders * blocks AS n_rows FROM n""")
 def g4_complete(spark, d):

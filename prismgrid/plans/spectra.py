@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -355,7 +356,7 @@ def a2(spark, d):
     s = B.background_moments(pix(spark, d), [], [0, 1], N_BANDS)
     @F.pandas_udf("array<double>")
     def inv(n, m2):
-        return n.to_frame("n").assign(m=m2).apply(lambda r: B.loaded_inverse(int(r["n"]), np.asarray(r["m"]).reshape(2, 2), 0.01).ravel().tolist(), axis=1)
+        return pd.Series([B.loaded_inverse(int(k), np.asarray(m).reshape(2, 2), 0.01).ravel().tolist() for k, m in zip(n, m2)])
     v = s.select("n", inv("n", "m2").alias("v"))
     return v.select("n", *[(F.round(F.col("v")[i], 4) + F.lit(0.0)).alias(c) for i, c in ((0, "i00"), (1, "i01"), (3, "i11"))])
 
