@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import col, from_matrix, to_matrix
+from ..session import cut
 
 FAN_IN = 32
 STATE_BYTES = 256 * 2**20
@@ -94,8 +95,12 @@ def partial_moments(df: DataFrame, keys: list[str], bands: list[int], width: int
     return df.select(*keys, refl).mapInArrow(scan, schema)
 
 
-def merge_moments(states: DataFrame, keys: list[str], part: str | None = "part", rounds: int = 2) -> DataFrame:
-    """Merge states to one per key: ``rounds`` salted rounds of fan-in 32, then a final one."""
+def merge_moments(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge states to one per key in rounds of fan-in 32, as many as the number of states asks for.
+
+    States are materialised and numbered densely (row of a partition times partitions, plus partition), so a
+    group of any round holds at most 32 of a key.
+    """
     schema = _schema(states, keys, [])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,23 +114,21 @@ def merge_moments(states: DataFrame, keys: list[str], part: str | None = "part",
     def salted(pdf: pd.DataFrame) -> pd.DataFrame:
         return merged(pdf).assign(part=pdf["_salt"].iloc[0])
 
-    if part:
-        salt_schema = T.StructType(schema.fields + [T.StructField("part", T.LongType())])
-        for _ in range(rounds):
-            states = (
-                states.withColumn("_salt", F.floor(F.col(part) / FAN_IN))
-                .groupBy(*keys, "_salt")
-                .applyInPandas(salted, salt_schema)
-            )
-            part = "part"
+    states = cut(states.select(*keys, "n", "mean", "m2"))
+    width = states.rdd.getNumPartitions()
+    row = F.monotonically_increasing_id()
+    states = states.withColumn("part", row.bitwiseAND(F.lit((1 << 33) - 1)) * width + F.shiftright(row, 33))
+    last = states.agg(F.max("part")).collect()[0][0] or 0
+    salt_schema = T.StructType(schema.fields + [T.StructField("part", T.LongType())])
+    while last >= FAN_IN:
+        states = states.withColumn("_salt", F.floor(F.col("part") / FAN_IN)).groupBy(*keys, "_salt").applyInPandas(salted, salt_schema)
+        last //= FAN_IN
     return states.groupBy(*keys).applyInPandas(merged, schema)
 
 
 def background_moments(df: DataFrame, keys: list[str], bands: list[int], width: int, refl: str = "refl") -> DataFrame:
     """Count, mean and centred cross-product per key over pixels present in all ``bands``."""
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    big = parts > FAN_IN
-    return merge_moments(partial_moments(df, keys, bands, width, refl), keys, "part", rounds=2 if big else 1)
+    return merge_moments(partial_moments(df, keys, bands, width, refl), keys)
 
 
 def weighted_moments(block_states: DataFrame, weights: DataFrame, keys: list[str], block: str, member: list[str]) -> DataFrame:
@@ -137,12 +140,11 @@ def weighted_moments(block_states: DataFrame, weights: DataFrame, keys: list[str
     j = block_states.join(weights, [*keys, block]).where("w > 0").select(
         *keys,
         *member,
-        F.pmod(F.hash(block), F.lit(FAN_IN * FAN_IN)).cast("bigint").alias("part"),
         (F.col("n") * F.col("w")).cast("bigint").alias("n"),
         "mean",
         F.transform("m2", lambda v: v * F.col("w")).alias("m2"),
     )
-    return merge_moments(j, [*keys, *member], "part", rounds=1)
+    return merge_moments(j, [*keys, *member])
 
 
 def loaded_inverse(n: int, m2: np.ndarray, ridge: float) -> np.ndarray:

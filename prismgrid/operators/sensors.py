@@ -127,8 +127,7 @@ def fold_backgrounds(
     classes = background_moments(tagged, [*keys, "ex"], bands, width, refl)
     folds = blocks.select(*keys, F.col("block_id").alias("fold"))
     j = classes.join(folds, keys).where(~F.array_contains(F.split("ex", ","), F.col("fold")))
-    part = F.pmod(F.hash("ex"), F.lit(1024)).cast("bigint")
-    return merge_moments(j.select(*keys, "fold", part.alias("part"), "n", "mean", "m2"), [*keys, "fold"], "part", rounds=1)
+    return merge_moments(j.select(*keys, "fold", "n", "mean", "m2"), [*keys, "fold"])
 
 
 def strict_fold_scores(

@@ -30,7 +30,7 @@ def start_moments(
 def current_moments(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
     """Merged moments over all batches so far."""
     parts = spark.read.parquet(state)
-    return merge_moments(parts.withColumn("part", F.col("batch_id").cast("bigint")), keys, "part", rounds=1)
+    return merge_moments(parts, keys)
 
 
 def running_frequency(members: DataFrame, pixel: list[str], member: str = "member_id", delivered: str | None = None, delay: str = "1 hour") -> DataFrame:

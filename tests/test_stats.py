@@ -84,3 +84,18 @@ def test_interval_needs_95_percent_of_the_replicates(spark):
     got = {r.k: r for r in inference.governed_interval(df, ["k"], "v", 100).collect()}
     assert got["a"].lower == pytest.approx(np.percentile(range(95), 2.5)) and got["b"].lower is None
     assert got["b"].reason == "fewer_than_95_percent_finite_replicates"
+
+
+def test_merge_keeps_the_fan_in_whatever_the_number_of_states(spark):
+    import numpy as np
+
+    from prismgrid.operators import moments as B
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 2))
+    rows = [("a" if i % 3 else "b", 1, v.tolist(), [0.0] * 4) for i, v in enumerate(x)]
+    states = spark.createDataFrame(rows, "k string, n long, mean array<double>, m2 array<double>").repartition(40)
+    got = {r.k: r for r in B.merge_moments(states, ["k"]).collect()}
+    for k, own in (("a", x[np.arange(1500) % 3 > 0]), ("b", x[::3])):
+        assert got[k].n == len(own) and np.allclose(got[k].mean, own.mean(0))
+        assert np.allclose(np.reshape(got[k].m2, (2, 2)), np.cov(own.T) * (len(own) - 1))
