@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import to_matrix
 from ..functions.spectral import spectral_angle
 from .mask import bounded_rows
 from .stats import exact_quantiles, pearson
@@ -85,11 +89,22 @@ def library_matrix(library: DataFrame, order: str, refl: str = "refl") -> tuple[
     return names, np.array([[np.nan if v is None else v for v in r[1]] for r in rows], dtype=float)
 
 
-def bands_with_data(pixels: DataFrame, refl: str = "refl") -> DataFrame:
-    """Bands that are present in at least one pixel."""
-    return (
-        long_spectra(pixels, [], refl).groupBy("band_index").agg(F.count("value").alias("n")).where("n > 0").select("band_index")
-    )
+def bands_with_data(pixels: DataFrame, width: int, refl: str = "refl") -> DataFrame:
+    """Bands that are present in at least one pixel: one row for each partition and band, then distinct."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(width, bool)
+        for batch in batches:
+            seen |= np.isfinite(to_matrix(batch.column(0), width)).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], ["band_index"])
+
+    return pixels.where(F.col(refl).isNotNull()).select(refl).mapInArrow(scan, "band_index int").distinct()
+
+
+def valid_bands(library: DataFrame, training: DataFrame, width: int, refl: str = "refl") -> DataFrame:
+    """Bands a fit may use: present in every endmember, and in at least one of its training pixels."""
+    gaps = long_spectra(library, [], refl).groupBy("band_index").agg(F.count_if(F.col("value").isNull() | F.isnan("value")).alias("gaps"))
+    return gaps.where("gaps = 0").select("band_index").join(bands_with_data(training, width, refl), "band_index")
 
 
 def shoulders(spectra: DataFrame, keys: list[str], lo_nm: Column, hi_nm: Column, center: Column | None = None) -> DataFrame:

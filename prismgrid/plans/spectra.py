@@ -389,6 +389,37 @@ def s4_full(spark, d):
     return rounded(mf_long(spark, d, list(range(N_BANDS))).select("vec_id", "mineral", "mf", "infeas"), "mf", "infeas")
 
 
+def gapped(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pixels without their flagged bands, label 3 also without band 7, and medoids of which one lacks band 21."""
+    p, m = pix(spark, d), L.medoids(library(spark, d))
+    drop = F.transform("refl", lambda v, i: F.when((i % 16 != 15) & ((i != 7) | (F.col("label") != 3)), v))
+    lacking = F.transform("refl", lambda v, i: F.when((i != 21) | (F.col("mineral") != 2), v))
+    return p.withColumn("refl", drop), m.withColumn("refl", lacking)
+
+
+@query("s4_valid_bands", """SELECT label, CAST(b AS INTEGER) AS band_index FROM (SELECT DISTINCT label FROM pix) CROSS JOIN range(64) r(b) WHERE b % 16 <> 15 AND b <> 21 AND (b <> 7 OR label <> 3)""")
+def s4_bands(spark, d):
+    p, m = gapped(spark, d)
+    out = None
+    for r in M.bounded_rows(p.select("label").distinct(), 100):  # one fit for each label
+        one = L.valid_bands(m, p.where(F.col("label") == r["label"]), N_BANDS).select(F.lit(r["label"]).alias("label"), "band_index")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("s4_gapped_matched_filter")
+def s4_gapped(spark, d):
+    p, m = gapped(spark, d)
+    train = p.where("label <> 3")
+    used = sorted(r["band_index"] for r in M.bounded_rows(L.valid_bands(m, train, N_BANDS), 5000))
+    names, lib = L.library_matrix(m, "mineral")
+    n, mean, m2 = B.state_of(M.bounded_rows(B.background_moments(train, [], used, N_BANDS), 1)[0])
+    scored = train.withColumn("s", B.matched_filter("refl", mean, B.loaded_inverse(n, m2, 0.01), lib[:, used], used, N_BANDS))
+    k = len(names)
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("mineral"), F.col("s")[i].alias("mf"), F.col("s")[i + k].alias("infeas")) for i, x in enumerate(names)]))
+    return rounded(scored.select("vec_id", rows.alias("x")).select("vec_id", "x.*"), "mf", "infeas")
+
+
 @query("a3_weighted_moments", """WITH b AS (SELECT label, row_i // 5 AS blk, CAST(1 + (row_i // 5) % 3 AS BIGINT) AS w, refl[1] AS x, refl[2] AS y FROM pix),
  e AS (SELECT label, x, y FROM (SELECT *, unnest(range(w)) AS u FROM b))
  SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_0, round(covar_samp(x, y), 6) + 0.0 AS cov_01 FROM e GROUP BY label""")

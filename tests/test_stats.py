@@ -99,3 +99,11 @@ def test_merge_keeps_the_fan_in_whatever_the_number_of_states(spark):
     for k, own in (("a", x[np.arange(1500) % 3 > 0]), ("b", x[::3])):
         assert got[k].n == len(own) and np.allclose(got[k].mean, own.mean(0))
         assert np.allclose(np.reshape(got[k].m2, (2, 2)), np.cov(own.T) * (len(own) - 1))
+
+
+def test_a_fit_uses_bands_of_all_endmembers_and_some_pixel(spark):
+    from prismgrid.operators import library as L
+
+    pixels = spark.createDataFrame([([None, 1.0, None, 2.0],), ([None, None, None, 1.0],), (None,)], "refl array<double>")
+    members = spark.createDataFrame([([1.0, 1.0, 1.0, float("nan")],), ([1.0, 2.0, 1.0, 1.0],)], "refl array<double>")
+    assert [r.band_index for r in L.valid_bands(members, pixels, 4).collect()] == [1]
