@@ -33,6 +33,19 @@ def glt_gather(glt: DataFrame, swath: DataFrame, keys: list[str], values: list[s
     return hit.select(*cols).unionByName(gaps.select(*cols))
 
 
+def swath_window(glt: DataFrame, swath: DataFrame) -> DataFrame:
+    """The part of the swath that a (windowed) lookup table points into.
+
+    The range of its pointers (one row) becomes constants on ``src_row`` and ``src_col`` that reach the scan
+    of the swath; a window that is all fill needs nothing of it.
+    """
+    filled = (F.col("src_x") > 0) & (F.col("src_y") > 0)
+    r = glt.where(filled).agg(F.min("src_y"), F.max("src_y"), F.min("src_x"), F.max("src_x")).collect()[0]
+    if r[0] is None:
+        return swath.limit(0)
+    return swath.where(F.col("src_row").between(r[0] - 1, r[1] - 1) & F.col("src_col").between(r[2] - 1, r[3] - 1))
+
+
 def glt_violations(glt: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """Cells whose pointers disagree about fill or leave the swath."""
     x, y = F.col("src_x"), F.col("src_y")

@@ -45,7 +45,7 @@ def j2_bad(spark, d):
  WHERE g.row_i >= 35 AND g.row_i < 61 AND g.col_i >= 20 AND g.col_i < 52""")
 def io3(spark, d):
     win = G.in_window(glt(spark, d), UNIT, (20.5, 40.0, 50.5, 64.5))
-    return G.glt_gather(win, swath(spark, d), ["site"], ["score"]).select("site", "row_i", "col_i", "score")
+    return G.glt_gather(win, G.swath_window(win, swath(spark, d)), ["site"], ["score"]).select("site", "row_i", "col_i", "score")
 
 
 VIEWS["tpoints"] = """SELECT event_id, site, col_i * 1.02::DOUBLE + k / 100.0::DOUBLE - 0.5::DOUBLE AS x, 100.0::DOUBLE - (row_i * 0.97::DOUBLE + user_id / 70.0::DOUBLE) AS y FROM ev"""

@@ -94,3 +94,17 @@ def test_components_chain_star_and_isolated(spark):
     lab = spark.createDataFrame([(n, str(n % 2)) for n in roots], "node long, label string")
     got = {r.cluster_id: (r.size, r.n_labels) for r in graph.clusters(spark.createDataFrame(edges, "i long, j long"), lab).collect()}
     assert got == {0: (31, 2), 1: (40, 2), 2: (2, 2)}
+
+
+def test_a_window_reads_only_the_swath_it_points_into(spark, tmp_path):
+    from prismgrid.operators import regrid as G
+
+    rows = [("s", i, j, float(10 * i + j)) for i in range(10) for j in range(10)]
+    spark.createDataFrame(rows, "site string, src_row int, src_col int, v double").write.parquet(str(tmp_path / "swath"))
+    swath = spark.read.parquet(str(tmp_path / "swath"))
+    glt = spark.createDataFrame([("s", 0, 0, 4, 3), ("s", 0, 1, 6, 5), ("s", 0, 2, 0, 0)], "site string, row_i int, col_i int, src_x int, src_y int")
+    part = G.swath_window(glt, swath)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(src_row,4" in plan and part.count() == 9  # printed plans are cut short
+    assert {r.col_i: r.v for r in G.glt_gather(glt, part, ["site"], ["v"]).collect()} == {0: 23.0, 1: 45.0, 2: None}
+    assert G.swath_window(glt.where("src_x = 0"), swath).count() == 0
