@@ -105,7 +105,8 @@ def merge_moments(states: DataFrame, keys: list[str]) -> DataFrame:
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = (0, None, None)
-        for n, mean, m2 in zip(pdf["n"], pdf["mean"], pdf["m2"]):
+        # ordered by value, so that the same states give the same last digits however they arrive
+        for n, mean, m2 in sorted(zip(pdf["n"], pdf["mean"], pdf["m2"]), key=lambda s: (int(s[0]), tuple(s[1]))):
             b = len(mean)
             acc = merge_states(acc, (int(n), np.asarray(mean, float), np.asarray(m2, float).reshape(b, b)))
         head = {k: [pdf[k].iloc[0]] for k in keys}
