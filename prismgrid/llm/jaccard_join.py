@@ -19,7 +19,7 @@ from .shingles import row_shingles
 FREQUENT = 1 << 17
 FREQUENT_PER_TASK = 1 << 15
 #: Hashes a task sorts at once while it counts, and signatures it remembers to send copies only once.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 REMEMBERED = 1 << 17
 #: Bins of a set's shape and bits of the map of rows that are verified.
 SHAPE = 32
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, words: int,
                     both = len(own) + len(held[1]) - len(np.union1d(own, held[1]))
                     ok[at + i] = both * (100 + percent) >= (len(own) + len(held[1])) * percent
                 at += part.num_rows
-            yield batch.filter(pa.array(ok)).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     met = near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     met = met.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     rows = stored(signatures(plain, words))
     nodes = stored(rows.where("n > 0 and doc is not null").groupBy("sig", "n").agg(F.min("doc").alias("doc"), F.min_by("shape", "doc").alias("shape")))
 
-    prefix = stored(prefixes(plain, words, percent, table))
+    # read twice and hashed twice: cheaper than keeping the prefixes of all sets, most of which are alone
+    prefix = prefixes(plain, words, percent, table)
     again = prefix.groupBy("shingle").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("shingle")
     shared = prefix.join(again, "shingle").dropDuplicates(["shingle", "sig", "n"])
     shared = shared.join(nodes.select("sig", "n", "doc"), ["sig", "n"]).select("shingle", "doc", "n", "pos")
