@@ -14,17 +14,23 @@ from pyspark.sql import functions as F
 from prismgrid.llm import jaccard_join, language_id, line_dedup, mixing, pieces
 from prismgrid.llm.common import stored
 
+#: Likelihood share of the best language below which a text has none.
+LEAST_SCORE = 0.3
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language cannot be told, go."""
-    return language_id.accepted(docs, language_id.train(docs))
+    """Documents without letters, or whose best language is hardly likelier than an even guess, go."""
+    return language_id.accepted(docs, language_id.train(docs), LEAST_SCORE)
 
 
 def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of 50 words or more that an earlier document has go; a document that consists of them goes with them."""
-    out = line_dedup.dedup_lines(docs, report="_removed").where("_removed = 0 or text <> ''")
+    removed = "_removed"
+    while removed in docs.columns:
+        removed += "_"
+    out = line_dedup.dedup_lines(docs, report=removed).where((F.col(removed) == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -131,6 +131,8 @@ def mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "text
     met = _with_plan(rows, plan, F.col("row")[source].cast("string"))
     drawn = F.col("blocks") + (permutation_key(F.col("row")[key], F.col("blocks")) <= F.col("cut")).cast("int")
     met = met.withColumn("drawn", drawn).where("drawn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1)))
-    inner = permutation_key(F.col("row")[key], F.col("block")) / F.lit(float(1 << KEY_BITS))
-    at = (F.col("block") + inner) / (F.col("allotted") / F.col("n"))
+    spread, part = permutation_key(F.col("row")[key], F.col("block")), F.col("allotted") / F.col("n")
+    # the keys of the last block end at the cut and fill what is left of the source's part
+    last = spread / (F.col("cut") + 1) * (part - F.col("blocks"))
+    at = (F.col("block") + F.when(F.col("block") < F.col("blocks"), spread / F.lit(float(1 << KEY_BITS))).otherwise(last)) / part
     return met.select("row", "block", at.alias("at"), "n_tokens", "weight")
