@@ -119,8 +119,8 @@ def _names(of: Column) -> Column:
     return F.explode(F.regexp_extract_all(F.lower(of), F.lit(_NAME), 0)).alias("name")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Sequence[str] = UNWANTED, url: str = "url", html: str = "html") -> DataFrame:
-    """``row, host, path, rule, verdict, block_score`` of every url of ``pages`` (``row``: all its columns).
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Sequence[str] = UNWANTED, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
+    """``row, host, path, rule, verdict, block_score`` of every url of ``pages`` (``row``: the columns of ``keep``).
 
     The word model counts the words of all pages.  Names (runs of letters) of hosts and paths are split into
     words; pages whose host has an ``unwanted`` word are the examples of naive Bayes to block, all others to
@@ -130,7 +130,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Seq
     names cost no more than others.  A null url or one without ``://`` has empty host and path, no words, and
     is judged by the prior alone; null pages add no words; repeated rows repeat.
     """
-    rows = pages.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = pages.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")))
     hosts = stored(urls.groupBy("host").agg(F.sum("pages").alias("pages")))
     host_names = stored(hosts.select("host", _names(F.col("host"))))
