@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]):
+    """What this Python worker keeps from task to task under ``name``.
+
+    Workers outlive operators, so keeping something lets go of what an earlier operator kept.
+    """
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

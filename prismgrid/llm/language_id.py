@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import remembered, slices, stored
 
 #: Labelled rows of each language that are counted, languages that are learned (those with most rows), and
 #: entries of the model: words, and n-grams of each length.  They bound the sample and the broadcast model.
@@ -23,7 +25,8 @@ NGRAMS = 20_000
 LONGEST = 5
 #: Words that count fully towards the confidence of a text, and words a worker remembers before it starts anew.
 CERTAIN_WORDS = 8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+CACHE_CELLS = 1 << 23
 LONGEST_KEPT = 64
 UNDETERMINED = "und"
 
@@ -49,6 +52,7 @@ class Model:
     tables: dict[int, dict[str, int]]  # 0: words, n: n-grams of that length
     logs: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
+    vectors: np.ndarray | None = None
 
     def score(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams."""
@@ -66,11 +70,15 @@ class Model:
         rows = [words_of(x) for x in texts]
         if not self.languages:
             return [UNDETERMINED] * len(rows), [0.0] * len(rows)
+        room = min(CACHE_WORDS, CACHE_CELLS // len(self.languages))
+        if self.vectors is None:
+            self.vectors = np.zeros((room, len(self.languages)), np.float32)
         for word in set().union(*rows).difference(self.cache):
-            if len(self.cache) >= CACHE_WORDS:
+            if len(self.cache) >= room:
                 break
             if len(word) <= LONGEST_KEPT:
-                self._keep(word)
+                self.vectors[len(self.cache)] = self.score(word)
+                self.cache[word] = len(self.cache)
         spare: dict[str, np.ndarray] = {}
         known = self.cache
         for words in rows:
@@ -80,7 +88,7 @@ class Model:
                 continue
             found = [known.get(w, -1) for w in words]
             at = np.array(found)
-            total = self._vectors[at[at >= 0]].sum(0, dtype=np.float64)
+            total = self.vectors[at[at >= 0]].sum(0, dtype=np.float64)
             for i in np.flatnonzero(at < 0):
                 w = words[i]
                 if w not in spare:
@@ -91,16 +99,10 @@ class Model:
             best = int(np.argmax(weighed))
             names.append(self.languages[best])
             scores.append(float(1 / np.exp(weighed - weighed[best]).sum()))
-        if len(self.cache) >= CACHE_WORDS:
+        if len(self.cache) >= room:
             self.cache.clear()
         return names, scores
 
-    def _keep(self, word: str) -> None:
-        if not hasattr(self, "_vectors"):
-            self._vectors = np.zeros((CACHE_WORDS, len(self.languages)), np.float32)
-        self._vectors[len(self.cache)] = self.score(word)
-        self.cache[word] = len(self.cache)
-
 
 def _counts(sample: DataFrame) -> DataFrame:
     """``n, gram, lang, count`` of the words (n = 0) and n-grams of the labelled rows."""
@@ -168,12 +170,12 @@ def languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     the best language's likelihood.  Null texts and texts without a letter are ``und`` with score 0, as
     is every text if nothing was learned.  A null key stays null and repeated rows repeat.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
     names = [key, *[c for c in keep if c != key]]
     plain = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = remembered(name, lambda: pickle.loads(shared.value))
         for batch in slices(batches):
             found, scores = own.predict(batch.column("text").to_pylist())
             columns = [batch.column(f"k{i}") for i in range(len(names))]
@@ -189,16 +191,16 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "tex
 
     Texts without a letter go.  A model that learned nothing rejects only those.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = remembered(name, lambda: pickle.loads(shared.value))
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             if own.languages:
-                good = [name != UNDETERMINED and score >= least for name, score in zip(*own.predict(texts))]
+                good = [best != UNDETERMINED and score >= least for best, score in zip(*own.predict(texts))]
             else:
                 good = [bool(words_of(x)) for x in texts]
             yield batch.filter(pa.array(good, pa.bool_()))

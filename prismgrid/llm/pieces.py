@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import remembered, slices
 
 SPACE = "▁"
-#: Text bytes whose unseen words are indexed together, and words and ids a worker remembers before it starts anew.
-LOT_BYTES = 1 << 23
-CACHE_WORDS = 1_000_000
-CACHE_IDS = 1 << 23
+#: Text bytes whose unseen words are gathered, characters of them that are indexed together (a longer word is
+#: a lot of its own), and words and ids a worker remembers before it starts anew.
+LOT_BYTES = 1 << 21
+LOT_CHARS = 1 << 18
+CACHE_WORDS = 200_000
+CACHE_IDS = 1 << 21
 #: Pairs below this number are judged one by one instead of as arrays.
 FEW = 16
 _NEVER = 1 << 40
@@ -164,8 +166,10 @@ class _Words:
             ids = self.v.blanks(len(w))
             self._add([w], np.array(ids, np.int32), np.array([len(ids)]))
         missing = [w for w in missing if w.strip(" ")]
-        if missing:
-            self._add(missing, *encode_words(self.v, missing, self.apart))
+        lots = np.cumsum([len(w) for w in missing]) // LOT_CHARS
+        for lot in np.split(np.arange(len(missing)), np.flatnonzero(np.diff(lots)) + 1) if missing else ():
+            words_of_lot = [missing[k] for k in lot]
+            self._add(words_of_lot, *encode_words(self.v, words_of_lot, self.apart))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and the offsets of the texts."""
@@ -349,17 +353,6 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-_WORKER: dict[str, _Words] = {}
-
-
-def _own(name: str, vocabulary) -> _Words:
-    """What this worker remembers for the query of that name."""
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = _Words(vocabulary.value)
-    return _WORKER[name]
-
-
 def _carried(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list, str, list]:
     """Columns to carry through a map under names of their own, their types, and the way back."""
     inward = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
@@ -383,7 +376,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _own(name, vocabulary)
+        words = remembered(name, lambda: _Words(vocabulary.value))
         for batch in slices(batches, limit=LOT_BYTES):
             texts = batch.column("text").to_pylist()
             ids, at = words.encode(texts)

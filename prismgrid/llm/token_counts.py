@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import remembered, slices
 
 #: Words of the broadcast tier, and the rows whose words are counted to choose them.  Both only decide how
 #: often a worker has to ask the tokenizer; counts are the same for any value.
@@ -60,9 +60,6 @@ class _Lengths(dict):
             self.pop(word, None)
 
 
-_WORKER: dict[str, _Lengths] = {}
-
-
 def frequent_words(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, words: int = FREQUENT_WORDS) -> list[str]:
     """At most ``words`` frequent words of about ``rows`` rows drawn at random."""
     total = docs.count()
@@ -100,10 +97,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     name = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = _Lengths(tokenizer_path, table.value)
-        lengths = _WORKER[name]
+        lengths = remembered(name, lambda: _Lengths(tokenizer_path, table.value))
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             words = [words_of(x) for x in texts]
