@@ -35,10 +35,8 @@ def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of connected near duplicates (five words, 0.8) the document with the smallest id stays."""
-    groups = jaccard_join.near_duplicates(docs, words=5, percent=80)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of connected near duplicates (five words, 0.8) exactly one row stays: the smallest id, null ids last."""
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,13 @@ SHAPE = 32
 MAP_BITS = 1 << 23
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns that can be hashed (maps cannot); the same in every scan."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def _plain(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(key).alias("doc"), _row_hash(docs.select(key, text)).alias("tie"), F.col(text).cast("string").alias("text"))
 
 
 def frequent_shingles(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +72,7 @@ def _sets(raw: np.ndarray, at: np.ndarray, words: int):
 
 
 def signatures(plain: DataFrame, words: int) -> DataFrame:
-    """``doc, sig, n, shape``: a row for each text; equal sets of shingles have equal ``(sig, n)``."""
+    """``doc, tie, sig, n, shape``: a row for each text; equal sets of shingles have equal ``sig``."""
     kind = plain.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +80,9 @@ def signatures(plain: DataFrame, words: int) -> DataFrame:
             rows, hashes, size, sig, _ = _sets(*text_bytes(batch.column("text")), words)
             shape = np.bincount(rows * SHAPE + (hashes >> np.uint64(59)).astype(np.int64), minlength=len(size) * SHAPE).astype(np.int32)
             bins = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SHAPE), pa.array(shape))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sig.view(np.int64)), pa.array(size), bins], ["doc", "sig", "n", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(sig.view(np.int64)), pa.array(size), bins], ["doc", "tie", "sig", "n", "shape"])
 
-    return plain.mapInArrow(run, f"doc {kind}, sig long, n long, shape array<int>")
+    return plain.mapInArrow(run, f"doc {kind}, tie long, sig long, n long, shape array<int>")
 
 
 def prefixes(plain: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -120,32 +125,43 @@ def _possible(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> C
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` (numbers of ``nodes``) that reach the threshold, each tested once.
+    """Those of ``pairs(a, b)`` (signatures of ``nodes``) that reach the threshold, each tested once.
 
     The suffix filter compares the shapes of both sets: bins of one hash range cannot share more shingles
-    than the smaller of their counts.  The texts of the remaining rows then travel to their pairs.
+    than the smaller of their counts.  The texts of the remaining sets then travel to their pairs.
     """
-    shape = nodes.select("doc", "shape", "n")
-    near = pairs.join(shape.select(F.col("doc").alias("a"), F.col("shape").alias("sa"), F.col("n").alias("na")), "a")
-    near = near.join(shape.select(F.col("doc").alias("b"), F.col("shape").alias("sb"), F.col("n").alias("nb")), "b")
+    shape = nodes.select("sig", "shape", "n")
+    near = pairs.join(shape.select(F.col("sig").alias("a"), F.col("shape").alias("sa"), F.col("n").alias("na")), "a")
+    near = near.join(shape.select(F.col("sig").alias("b"), F.col("shape").alias("sb"), F.col("n").alias("nb")), "b")
     most = F.expr("aggregate(zip_with(sa, sb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
     near = stored(near.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"))
 
-    slot = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
-    ids = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc")))
+    # of the rows with one set only the one of the smallest tie is marked, equal rows by one of each task
+    ids = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
+    ids = stored(ids.join(nodes.select("sig", "tie"), "sig"))
     # a bit map of fixed size keeps most other texts out of the shuffle; the join decides
+    slot = F.col("sig").bitwiseXOR(F.col("tie")).bitwiseAND(F.lit(MAP_BITS - 1))
     bits = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toArrow()
     marked = np.zeros(MAP_BITS >> 6, np.int64)
     marked[bits.column("w").to_numpy()] = bits.column("m").to_numpy()
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column("s").to_numpy()
-            yield batch.filter(pa.array((marked[s >> 6] >> (s & 63)) & 1 == 1)).select(["doc", "text"])
+        sent: set[int] = set()
+        for batch in slices(batches):
+            sig = _sets(*text_bytes(batch.column("text")), words)[3].view(np.int64)
+            s = (sig ^ batch.column("tie").to_numpy()) & (MAP_BITS - 1)
+            keep = (marked[s >> 6] >> (s & 63)) & 1 == 1
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            for i in np.flatnonzero(keep).tolist():
+                one = hash((int(sig[i]), batch.column("tie")[i].as_py()))
+                keep[i] = one not in sent
+                sent.add(one)
+            out = pa.RecordBatch.from_arrays([pa.array(sig), batch.column("tie"), batch.column("text")], ["sig", "tie", "text"])
+            yield out.filter(pa.array(keep))
 
-    kind = plain.schema["doc"].dataType.simpleString()
-    texts = plain.where("doc is not null").withColumn("s", slot).mapInArrow(involved, f"doc {kind}, text string")
-    texts = texts.join(nodes.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    texts = plain.select("tie", "text").mapInArrow(involved, "sig long, tie long, text string")
+    texts = texts.join(ids, ["sig", "tie"], "left_semi").select("sig", "text").dropDuplicates(["sig"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
@@ -164,61 +180,106 @@ def _verified(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, words: int,
                 at += part.num_rows
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    met = near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    met = met.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return stored(met.mapInArrow(test, f"a {kind}, b {kind}"))
+    met = near.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a")
+    met = met.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return stored(met.mapInArrow(test, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Connected near duplicates: ``key, n_shingles, component_id``, one row for each row of ``docs``.
+def _grouped(plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc, tie, sig, n``), and ``sig, best, root`` of every set of shingles that is not empty.
 
-    Texts link when ``100 * shared >= percent * union`` of their distinct ``words``-word shingles; a
-    component's id is its smallest key.  Equal sets are one node.  Any two sets that link share one of
-    their rarest shingles, and the links are found in two steps that never pair all members of a group:
-    every set meets the set in which a shared shingle stands earliest (mostly the original of a group of
-    copies), verified pairs become components, and then only sets of different components that still
-    share a prefix shingle meet.  Length, positional and suffix filters come before each test.
+    A node is a set, whatever the keys of its rows; equal sets are one node.  ``best`` is the first row of the
+    set by ``(doc is null, doc, tie)``, ``root`` the component's smallest signature.
 
-    Texts without words have no shingles and link with nothing; fewer words than a shingle count as one
-    shingle.  Rows with a null key are counted but link with nothing (null component); repeated keys are
-    one node, by any of their sets.  Other columns are ignored.
+    Any two sets that link share one of their rarest shingles, and the links are found in two steps that
+    never pair all members of a group: every set meets the set in which a shared shingle stands earliest
+    (mostly the original of a group of copies), verified pairs become components, and then only sets of
+    different components that still share a prefix shingle meet.  Length, positional and suffix filters come
+    before each test.
     """
-    plain = _plain(docs, key, text)
     table = frequent_shingles(plain, words)
     rows = stored(signatures(plain, words))
-    nodes = stored(rows.where("n > 0 and doc is not null").groupBy("sig", "n").agg(F.min("doc").alias("doc"), F.min_by("shape", "doc").alias("shape")))
+    best = F.min(F.struct(F.col("doc").isNull().alias("keyless"), "doc", "tie")).alias("best")
+    nodes = stored(rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("tie").alias("tie"), F.min("shape").alias("shape"), best))
 
     # read twice and hashed twice: cheaper than keeping the prefixes of all sets, most of which are alone
     prefix = prefixes(plain, words, percent, table)
     again = prefix.groupBy("shingle").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("shingle")
-    shared = prefix.join(again, "shingle").dropDuplicates(["shingle", "sig", "n"])
-    shared = shared.join(nodes.select("sig", "n", "doc"), ["sig", "n"]).select("shingle", "doc", "n", "pos")
-    shared = stored(shared)
-    pivots = shared.groupBy("shingle").agg(F.min(F.struct("pos", "n", "doc")).alias("p"))
+    shared = stored(prefix.join(again, "shingle").dropDuplicates(["shingle", "sig"]))
+    pivots = shared.groupBy("shingle").agg(F.min(F.struct("pos", "n", "sig")).alias("p"))
     c = F.col
-    star = shared.join(pivots, "shingle").where(c("doc") != c("p.doc")).where(_possible(percent, c("n"), c("pos"), c("p.n"), c("p.pos")))
-    star = star.select(F.least(c("doc"), c("p.doc")).alias("a"), F.greatest(c("doc"), c("p.doc")).alias("b"), (c("doc") > c("p.doc")).alias("later")).dropDuplicates(["a", "b"])
+    star = shared.join(pivots, "shingle").where(c("sig") != c("p.sig")).where(_possible(percent, c("n"), c("pos"), c("p.n"), c("p.pos")))
+    star = star.select(F.least(c("sig"), c("p.sig")).alias("a"), F.greatest(c("sig"), c("p.sig")).alias("b"), (c("sig") > c("p.sig")).alias("later")).dropDuplicates(["a", "b"])
     # the pivot goes to the right, where its text is read once for all its partners
     star = stored(star.select(F.when(c("later"), c("b")).otherwise(c("a")).alias("a"), F.when(c("later"), c("a")).otherwise(c("b")).alias("b")))
     links = _verified(star, nodes, plain, words, percent)
 
     def rooted(edges: DataFrame) -> DataFrame:
-        return components(edges, "a", "b").select(c("node").alias("doc"), "root")
+        return components(edges, "a", "b").select(c("node").alias("sig"), "root")
 
     roots = stored(rooted(links))
-    placed = stored(shared.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")))
-    heads = placed.groupBy("shingle").agg(F.min(F.struct("pos", "n", "doc", "root")).alias("p")).select("shingle", c("p.root").alias("head"))
+    placed = stored(shared.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    heads = placed.groupBy("shingle").agg(F.min(F.struct("pos", "n", "sig", "root")).alias("p")).select("shingle", c("p.root").alias("head"))
     apart = placed.join(heads, "shingle").where("root <> head").drop("head")
     # a shingle all of whose sets are in one component has nothing left to do
-    left = apart.select("shingle", *[c(x).alias(f"{x}1") for x in ("doc", "n", "pos", "root")], F.lit(True).alias("out1"))
-    right = placed.join(heads, "shingle").select("shingle", *[c(x).alias(f"{x}2") for x in ("doc", "n", "pos", "root")], (c("root") != c("head")).alias("out2"))
-    other = left.join(right, "shingle").where("root1 <> root2 and (not out2 or doc1 < doc2)")
+    left = apart.select("shingle", *[c(x).alias(f"{x}1") for x in ("sig", "n", "pos", "root")], F.lit(True).alias("out1"))
+    right = placed.join(heads, "shingle").select("shingle", *[c(x).alias(f"{x}2") for x in ("sig", "n", "pos", "root")], (c("root") != c("head")).alias("out2"))
+    other = left.join(right, "shingle").where("root1 <> root2 and (not out2 or sig1 < sig2)")
     other = other.where(_possible(percent, c("n1"), c("pos1"), c("n2"), c("pos2")))
-    other = other.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+    other = other.select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(stored(other.join(tried, ["a", "b"], "left_anti")), nodes, plain, words, percent)
     if not more.isEmpty():
         roots = stored(rooted(links.unionByName(more)))
-    final = nodes.join(roots, "doc", "left").select("sig", "n", F.coalesce("root", "doc").alias("root"))
-    out = rows.select("doc", "sig", "n").join(final, ["sig", "n"], "left")
-    return out.select(c("doc").alias(key), c("n").alias("n_shingles"), F.when(c("doc").isNotNull(), F.coalesce("root", "doc")).alias("component_id"))
+    final = nodes.select("sig", "best").join(roots, "sig", "left").select("sig", "best", F.coalesce("root", "sig").alias("root"))
+    return rows.select("doc", "tie", "sig", "n"), stored(final)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Connected near duplicates: ``key, n_shingles, component_id``, one row for each row of ``docs``.
+
+    Texts link when ``100 * shared >= percent * union`` of their distinct ``words``-word shingles; a
+    component's id is its smallest key.  Every row goes by its own text, also where a key repeats.
+
+    Texts without words have no shingles and link with nothing; fewer words than a shingle count as one
+    shingle.  Rows with a null key link like others, but have a null component.  Other columns are ignored.
+    """
+    c = F.col
+    rows, sets = _grouped(_plain(docs, key, text), words, percent)
+    ids = sets.groupBy("root").agg(F.min("best.doc").alias("least"))
+    out = rows.join(sets.join(ids, "root").select("sig", "least"), "sig", "left")
+    least = F.when(c("n") > 0, c("least")).otherwise(c("doc"))
+    return out.select(c("doc").alias(key), c("n").alias("n_shingles"), F.when(c("doc").isNotNull(), least).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of every component of near duplicates, with all columns: the first by key (null keys
+    last), then by a hash of the row.  Rows whose text has no words link with nothing and stay.
+    """
+    c, names = F.col, [f"c{i}" for i in range(len(docs.columns))]
+    hashed = docs.toDF(*names).withColumn("tie", _row_hash(docs.toDF(*names)))
+    at = names[docs.columns.index(text)]
+    plain = hashed.select(c(names[docs.columns.index(key)]).alias("doc"), "tie", c(at).cast("string").alias("text"))
+    _, sets = _grouped(plain, words, percent)
+    kept = sets.groupBy("root").agg(F.min(F.struct("best", "sig")).alias("p")).select(c("p.sig").alias("sig"), c("p.best.tie").alias("tie"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in slices(batches, at):
+            _, _, size, sig, _ = _sets(*text_bytes(batch.column(at)), words)
+            sig, tie = sig.view(np.int64), batch.column("tie").to_pylist()
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            fresh = np.zeros(len(size), bool)
+            for i in np.flatnonzero(size).tolist():
+                one = hash((int(sig[i]), tie[i]))
+                fresh[i] = one not in sent
+                sent.add(one)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig)], [*batch.schema.names, "sig"])
+            yield out.filter(pa.array(fresh))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema)
+    # equal rows leave a task once, so that one row repeated many times is no hot key of the join
+    worded = F.coalesce(c(at).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    met = hashed.where(worded).mapInArrow(run, f"{kinds}, sig long").join(kept, ["sig", "tie"], "left_semi").dropDuplicates(["sig", "tie"])
+    return met.select(*names).unionByName(hashed.where(~worded).select(*names)).toDF(*docs.columns)

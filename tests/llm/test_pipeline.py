@@ -1,6 +1,9 @@
 """Stages of the corpus pipeline on odd tables and on the smallest given table; registered queries against SQL."""
 
+import random
+
 import pytest
+from texts import prose
 
 import corpus_pipeline
 from oracle import DATA, compare, connection
@@ -34,3 +37,14 @@ def test_query_matches_sql(spark, name):
 
     got = QUERIES[name](spark, f"{DATA}/sf0.001").toPandas()
     assert compare(got, connection(f"{DATA}/sf0.001").execute(ORACLES[name]).df()) is None
+
+
+def test_one_row_of_each_group_whatever_the_keys(spark):
+    rng = random.Random(12)
+    copied, other, keyless, alone = (prose(rng, 60) for _ in range(4))
+    rows = [(3, copied), (7, copied), (7, other), (7, other), (9, other)]  # one key, two texts; the smallest of a group twice
+    rows += [(None, keyless)] * 3 + [(None, alone), (None, copied), (12, ""), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    want = [(3, copied), (7, other), (None, keyless), (None, alone), (12, ""), (12, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
