@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from prismgrid.llm import jaccard_join, language_id, line_dedup, mixing, pieces
 from prismgrid.llm.common import stored
 
-#: Likelihood share of the best language below which a text has none.
-LEAST_SCORE = 0.3
+#: Part of what is usual in its best language that a text must know of it.
+LEAST_FAMILIAR = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose best language is hardly likelier than an even guess, go."""
-    return language_id.accepted(docs, language_id.train(docs), LEAST_SCORE)
+    """Documents without letters, or whose words and n-grams their best language hardly knows, go."""
+    return language_id.accepted(docs, language_id.train(docs, usual=True), LEAST_FAMILIAR)
 
 
 def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,10 @@ CERTAIN_WORDS = 8
 CACHE_WORDS = 200_000
 CACHE_CELLS = 1 << 23
 LONGEST_KEPT = 64
+#: Shortest n-grams that tell a language's words from other letters, and words that a text's familiar share is
+#: smoothed by: fewer are no evidence against it.
+TELLING = 3
+FEW_WORDS = 2
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,13 +50,20 @@ def ngrams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequency of every known word and n-gram in each language; row 0 is for what nothing is known of."""
+    """Log frequency of every known word and n-gram in each language; row 0 is for what nothing is known of.
+
+    ``seen`` tells which of them two different labelled texts of a language have, and ``usual`` what share of
+    a labelled text that is in the mean of each language; both only where ``train`` was asked for them.
+    """
 
     languages: list[str]
     tables: dict[int, dict[str, int]]  # 0: words, n: n-grams of that length
     logs: np.ndarray
+    seen: np.ndarray | None = None
+    usual: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)
     vectors: np.ndarray | None = None
+    shares: dict[str, np.ndarray] = field(default_factory=dict)
 
     def score(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams."""
@@ -65,6 +76,32 @@ class Model:
                 return self.logs[found].mean(0)
         return self.logs[0]
 
+    def share(self, word: str) -> np.ndarray:
+        """In each language 1 for a word seen there, else the share of its word and long n-grams seen there."""
+        own = self.shares.get(word)
+        if own is None:
+            at = self.tables[0].get(word)
+            whole = self.seen[at if at is not None else 0]
+            grams = [self.tables[n].get(g, 0) for n in range(TELLING, LONGEST + 1) for g in ngrams(word, n)]
+            own = np.where(whole, 1.0, self.seen[grams].sum(0) / (len(grams) + 1)).astype(np.float32)
+            if len(self.shares) >= min(CACHE_WORDS, CACHE_CELLS // len(self.languages)):
+                self.shares.clear()
+            if len(word) <= LONGEST_KEPT:
+                self.shares[word] = own
+        return own
+
+    def familiar(self, text: str | None, lang: str) -> tuple[float, int]:
+        """Mean share of the text's words that ``lang`` knows, and how many words there are."""
+        words, at = Counter(words_of(text)), self.languages.index(lang)
+        n = sum(words.values())
+        return (sum(float(self.share(w)[at]) * k for w, k in words.items()) / n if n else 0.0), n
+
+    def belongs(self, text: str | None, lang: str, least: float) -> bool:
+        """Whether the text is as familiar as ``least`` times the usual of ``lang``, however many languages there are."""
+        share, n = self.familiar(text, lang)
+        usual = float(self.usual[self.languages.index(lang)])
+        return share * n + usual * FEW_WORDS >= least * usual * (n + FEW_WORDS)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         rows = [words_of(x) for x in texts]
@@ -105,34 +142,68 @@ class Model:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """``n, gram, lang, count`` of the words (n = 0) and n-grams of the labelled rows."""
+    """``n, gram, lang, count, lo, hi`` of the words (n = 0) and n-grams of the labelled rows.
+
+    ``lo`` and ``hi`` are the smallest and largest hash of a text that has it: equal if only one text (or
+    copies of it) has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter[str]] = defaultdict(Counter)
+        within: dict[str, dict[str, tuple[int, int]]] = defaultdict(dict)
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words[lang].update(words_of(text))
+            for lang, text, h in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "hash"))):
+                own, ends = Counter(words_of(text)), within[lang]
+                words[lang].update(own)
+                for w in own:
+                    lo, hi = ends.get(w, (h, h))
+                    ends[w] = (min(lo, h), max(hi, h))
         for lang, seen in words.items():
             for n in range(LONGEST + 1):
                 grams: Counter[str] = Counter()
+                ends = {} if n else within[lang]
                 if n:
                     for word, times in seen.items():
+                        first, last = within[lang][word]
                         for g in ngrams(word, n):
                             grams[g] += times
+                            lo, hi = ends.get(g, (first, last))
+                            ends[g] = (min(lo, first), max(hi, last))
                 else:
                     grams = seen
                 size = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array([n] * size, pa.int32()), pa.array(list(grams.keys()), pa.string()), pa.array([lang] * size, pa.string()), pa.array(list(grams.values()), pa.int64())], ["n", "gram", "lang", "count"])
+                lows, highs = ([ends[g][k] for g in grams] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * size, pa.int32()), pa.array(list(grams.keys()), pa.string()), pa.array([lang] * size, pa.string()), pa.array(list(grams.values()), pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], ["n", "gram", "lang", "count", "lo", "hi"])
+
+    counted = sample.select("lang", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "n int, gram string, lang string, count long, lo long, hi long")
+    return counted.groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _usual(sample: DataFrame, model: Model) -> np.ndarray:
+    """Mean familiar share of the labelled rows of each language; 0 where none has a letter."""
+    shared = sample.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = pickle.loads(shared.value), defaultdict(lambda: [0.0, 0])
+        for batch in slices(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                share, n = own.familiar(text, lang) if lang in own.languages else (0.0, 0)
+                if n:
+                    sums[lang][0] += share
+                    sums[lang][1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x for x, _ in sums.values()], pa.float64()), pa.array([n for _, n in sums.values()], pa.int64())], ["lang", "total", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(run, "n int, gram string, lang string, count long")
-    return counted.groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"))
+    found = sample.select("lang", "text").mapInArrow(run, "lang string, total double, n long").groupBy("lang").agg((F.sum("total") / F.sum("n")).alias("usual")).collect()
+    by = {r["lang"]: r["usual"] for r in found}
+    return np.array([by.get(x, 0.0) for x in model.languages])
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", usual: bool = False) -> Model:
     """Learn from about ``ROWS_PER_LANGUAGE`` rows of every language, chosen by a hash.
 
     Words and n-grams are counted in Spark; at most ``WORDS`` words and ``NGRAMS`` n-grams of each length, the
-    most frequent, reach the driver.  Rows without text or language teach nothing.
+    most frequent, reach the driver.  Rows without text or language teach nothing.  With ``usual`` the model
+    also learns what is usual in each language, from the same rows.
     """
     labelled = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -141,26 +212,32 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
     chosen = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
     counts = stored(_counts(chosen))
-    per_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
+    per_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count", (F.col("lo") < F.col("hi")).alias("twice"))).alias("by"))
     kept = [per_gram.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(NGRAMS if n else WORDS).toArrow() for n in range(LONGEST + 1)]
     totals = {(r["n"], r["lang"]): (r["sum"], r["size"]) for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("sum"), F.count(F.lit(1)).alias("size")).collect()}
     languages = sorted({lang for _, lang in totals})
     tables: dict[int, dict[str, int]] = {}
-    logs = [np.zeros((1, len(languages)))]
+    logs, seen = [np.zeros((1, len(languages)))], [np.zeros((1, len(languages)), bool)]
     at = 1
     for n, table in enumerate(kept):
         grams = table.column("gram").to_pylist()
         tables[n] = {g: at + i for i, g in enumerate(grams)}
-        block = np.zeros((len(grams), len(languages)))
+        block, twice = np.zeros((len(grams), len(languages))), np.zeros((len(grams), len(languages)), bool)
         place = {x: i for i, x in enumerate(languages)}
         for i, by in enumerate(table.column("by").to_pylist()):
-            for name, count in by:
-                block[i, place[name]] = count
+            for x in by:
+                block[i, place[x["lang"]]] = x["count"]
+                twice[i, place[x["lang"]]] = x["twice"]
+        seen.append(twice)
         # additive smoothing over what each language has shown of this length
         whole = np.array([totals.get((n, x), (0, 0)) for x in languages], float)
         logs.append(np.log((block + 0.5) / (whole[:, 0] + 0.5 * (whole[:, 1] + 1))))
         at += len(grams)
-    return Model(languages, tables, np.concatenate(logs))
+    model = Model(languages, tables, np.concatenate(logs))
+    if usual:
+        model.seen = np.concatenate(seen)
+        model.usual = _usual(chosen, model)
+    return model
 
 
 def languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,9 +264,12 @@ def languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose language is told with a score of ``least``; all columns, whatever their names.
+    """Rows of ``docs`` that are written in a learned language; all columns, whatever their names.
 
-    Texts without a letter go.  A model that learned nothing rejects only those.
+    A text is judged by the share of its words that its best language knows, wholly or by n-grams of
+    ``TELLING`` letters or more: it goes below ``least`` times what is usual in labelled texts of that language.
+    Unlike the score this does not depend on the number of languages.  Texts without a letter go.  A model
+    that learned nothing rejects only those.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -200,7 +280,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "tex
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             if own.languages:
-                good = [best != UNDETERMINED and score >= least for best, score in zip(*own.predict(texts))]
+                good = [best != UNDETERMINED and own.belongs(x, best, least) for x, best in zip(texts, own.predict(texts)[0])]
             else:
                 good = [bool(words_of(x)) for x in texts]
             yield batch.filter(pa.array(good, pa.bool_()))

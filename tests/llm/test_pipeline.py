@@ -48,3 +48,29 @@ def test_one_row_of_each_group_whatever_the_keys(spark):
     got = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
     want = [(3, copied), (7, other), (None, keyless), (None, alone), (12, ""), (12, "")]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+TONGUES = {
+    "a": ["th", "er", "on", "an", "ing", "ou", "st"],
+    "b": ["sch", "ge", "ver", "ung", "ei", "chen", "be"],
+    "c": ["eau", "que", "oi", "ment", "le", "du", "aux"],
+    "d": ["ado", "cion", "es", "la", "que", "os", "mi"],
+}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_junk_and_unlearned_languages_leave_however_many_are_learned(spark, n):
+    rng = random.Random(n)
+
+    def text(syllables, words):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(words))
+
+    rows = [(i, text(TONGUES[x], rng.randint(1, 80)), x) for i, x in enumerate(list(TONGUES)[:n] * 40)]
+    good = len(rows)
+    letters = "bcdfghjklmnpqrstvwxz"
+    rows += [(1000 + i, " ".join("".join(rng.choices(letters, k=7)) + rng.choice(["", "#!", "%"]) for _ in range(40)), None) for i in range(10)]
+    rows += [(2000 + i, " ".join("".join(rng.choices(letters, k=7)) for _ in range(40)), "a") for i in range(3)]
+    rows += [(3000 + i, text(["kyl", "jää", "pöy", "tuo", "vuo", "hyv"], 40), None) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect())
+    assert kept == list(range(good))
