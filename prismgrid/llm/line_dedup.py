@@ -132,9 +132,16 @@ def common_blocks(own: list[int], words: list[int], runs: list[int], other: list
         drop(block[0], block[2])
     places = {r: k for k, r in reversed(list(enumerate(other_runs))) if r}
     for i, r in enumerate(runs):
-        j = places.get(r) if r and i not in gone else None
+        j = places.get(r) if r else None
         if j is None:
             continue
+        if i in gone:
+            # the first line may have left with another block; the run is settled when all its lines have
+            stop, n = i, 0
+            while n < min_words and stop in gone:
+                n, stop = n + words[stop], stop + 1
+            if n >= min_words:
+                continue
         start, end = 0, 0
         while i - start > 0 and j - start > 0 and own[i - start - 1] == other[j - start - 1]:
             start += 1

@@ -76,6 +76,11 @@ def test_moved_blocks_leave_too(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}[2] == "other"
 
 
+def test_a_run_whose_first_line_is_gone_leaves_whole():
+    # own A B C, earlier A B X B C, 30 words a line: the alignment takes A B, and B C is common as well
+    assert line_dedup.common_blocks([1, 2, 3], [30] * 3, [12, 23, 0], [1, 2, 9, 2, 3], [12, 29, 92, 23, 0], 50) == {0, 1, 2}
+
+
 def test_line_dedup_of_odd_tables(odd_documents, no_documents):
     got = line_dedup.dedup_lines(odd_documents, min_words=20, report="lines")
     assert got.columns == [*odd_documents.columns, "lines"]
