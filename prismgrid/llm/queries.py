@@ -121,5 +121,5 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 @_query("op2_url_filter")
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+    found = url_filter.judge(_table(spark, sf_dir, "pages"), RULES, rounds=3)
     return found.select("row.page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))

@@ -119,13 +119,18 @@ def _names(of: Column) -> Column:
     return F.explode(F.regexp_extract_all(F.lower(of), F.lit(_NAME), 0)).alias("name")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Sequence[str] = UNWANTED, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Sequence[str] = UNWANTED, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html", rounds: int = 0) -> DataFrame:
     """``row, host, path, rule, verdict, block_score`` of every url of ``pages`` (``row``: the columns of ``keep``).
 
     The word model counts the words of all pages.  Names (runs of letters) of hosts and paths are split into
     words; pages whose host has an ``unwanted`` word are the examples of naive Bayes to block, all others to
     allow.  ``block_score`` is the log odds to block; a fitting rule decides the verdict before it.
 
+    With ``rounds`` pages outside the list are unlabelled instead: examples to allow are those that an allow
+    rule decides and whose host is not flagged, and in each round the hosts of all pages are labelled anew:
+    a word flags its hosts if flagged hosts have half of its pages or more and at most a tenth of its examples
+    are to allow.  Words of unlabelled pages only say nothing.
+
     Every value is computed once for each distinct name, host and path and then looked up, so hot hosts and
     names cost no more than others.  A null url or one without ``://`` has empty host and path, no words, and
     is judged by the prior alone; null pages add no words; repeated rows repeat.
@@ -143,24 +148,38 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Seq
 
     flagged = looked_up(host_names, "name", words.select("name", "unwanted")).groupBy("host").agg(F.max("unwanted").alias("block"))
     labels = stored(hosts.join(flagged, "host", "left").select("host", "pages", F.coalesce("block", F.lit(False)).alias("block")))
-    sizes = {r["block"]: r["n"] for r in labels.groupBy("block").agg(F.sum("pages").alias("n")).collect()}
-
-    blocked, allowed = (F.sum(F.when(F.col("block") == b, F.col("pages")).otherwise(0)) for b in (True, False))
-    in_hosts = looked_up(host_names, "host", labels).groupBy("name").agg(blocked.alias("b"), allowed.alias("a")).withColumn("part", F.lit("host"))
-    of_path = looked_up(urls, "host", labels.select("host", "block")).groupBy("path").agg(blocked.alias("b"), allowed.alias("a"))
-    in_paths = looked_up(path_names, "path", of_path).groupBy("name").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).withColumn("part", F.lit("path"))
+    fits = F.coalesce(longest_rule(F.col("host"), F.col("path"), rules)["verdict"] == "allow", F.lit(False)) if rounds else F.lit(True)
+    urls = urls.withColumn("fits", F.when(fits, F.col("pages")).otherwise(0))
+    if rounds:
+        host_words = stored(looked_up(host_names, "name", words.select("name", "words")).select("host", F.explode("words").alias("word")).distinct())
+        able = stored(urls.groupBy("host").agg(F.sum("fits").alias("fits")))
+        for _ in range(rounds):
+            known = labels.join(able, "host").select("host", "pages", F.when(F.col("block"), F.col("pages")).otherwise(0).alias("b"), F.when(F.col("block"), 0).otherwise(F.col("fits")).alias("a"))
+            bad = looked_up(host_words, "host", known).groupBy("word").agg(*[F.sum(x).alias(x) for x in ("pages", "b", "a")])
+            bad = stored(bad.where("b > 0 and 2 * b >= pages and 9 * a <= b").select("word"))
+            more = looked_up(host_words, "word", bad).select("host").distinct().withColumn("more", F.lit(True))
+            labels = stored(labels.join(more, "host", "left").select("host", "pages", (F.col("block") | F.coalesce("more", F.lit(False))).alias("block")))
+
+    of_url = [F.when(F.col("block"), F.col("pages")).otherwise(0).alias("b"), F.when(F.col("block"), 0).otherwise(F.col("fits")).alias("a")]
+    urls = stored(looked_up(urls, "host", labels.select("host", "block")).select("host", "path", *of_url))
+    both = [F.sum("b").alias("b"), F.sum("a").alias("a")]
+    in_hosts = looked_up(host_names, "host", urls.groupBy("host").agg(*both)).groupBy("name").agg(*both).withColumn("part", F.lit("host"))
+    of_path = urls.groupBy("path").agg(*both)
+    sizes = urls.agg(*both).collect()[0]
+    in_paths = looked_up(path_names, "path", of_path).groupBy("name").agg(*both).withColumn("part", F.lit("path"))
     by_name = stored(in_hosts.unionByName(in_paths).join(words.select("name", "words"), "name"))
     tokens = by_name.select("part", F.explode("words").alias("word"), "b", "a").groupBy("part", "word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     tokens = stored(tokens)
     whole = tokens.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n")).collect()[0]
     b, a, n = float(whole["b"] or 0), float(whole["a"] or 0), float(whole["n"])
     odds = F.log((F.col("b") + 1) / F.lit(b + n + 1)) - F.log((F.col("a") + 1) / F.lit(a + n + 1))
+    odds = F.when(F.col("b") + F.col("a") > 0, odds).otherwise(F.lit(0.0))
     each = by_name.select("part", "name", F.explode("words").alias("word"))
     parts = [looked_up(each.where(F.col("part") == x), "word", tokens.where(F.col("part") == x).select("word", odds.alias("odds"))) for x in ("host", "path")]
     weights = stored(parts[0].unionByName(parts[1]).groupBy("part", "name").agg(F.sum("odds").alias("odds")))
     of_host = looked_up(host_names, "name", weights.where("part = 'host'").select("name", "odds")).groupBy("host").agg(F.sum("odds").alias("host_odds"))
     of_path = looked_up(path_names, "name", weights.where("part = 'path'").select("name", "odds")).groupBy("path").agg(F.sum("odds").alias("path_odds"))
-    prior = math.log((sizes.get(True, 0) + 1) / (sizes.get(False, 0) + 1))
+    prior = math.log(((sizes["b"] or 0) + 1) / ((sizes["a"] or 0) + 1))
     of_host = stored(hosts.select("host").join(of_host, "host", "left").select("host", F.coalesce("host_odds", F.lit(0.0)).alias("host_odds")))
     of_path = stored(paths.join(of_path, "path", "left").select("path", F.coalesce("path_odds", F.lit(0.0)).alias("path_odds")))
     scored = looked_up(looked_up(rows, "host", of_host), "path", of_path)

@@ -115,3 +115,13 @@ def test_names_split_into_the_likeliest_words():
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(df, RULES).count() == 0
+
+
+def test_words_that_occur_with_blocked_hosts_block_others(spark):
+    hosts = ["casino-win.example.net", "win-bets.example.net", "bets-track.example.net", "garden.example.net"] + ["river-house.example.org"] * 6
+    words = "casino win bets track garden river house "
+    pages = [(i, f"http://{h}/en/x", words * 9) for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_filter.judge(df, [("allow", "river-house.example.org/")], rounds=3).collect()}
+    assert [got[h] for h in hosts[1:3]] == ["block", "block"] and got["river-house.example.org"] == "allow"
+    assert url_filter.judge(df.where("false"), RULES, rounds=3).count() == 0
