@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, sharding, token_counts, topk, url_filter
+from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, sharding, token_counts, topk, url_filter
+from .common import slices, text_bytes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +128,38 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge(_table(spark, sf_dir, "pages"), RULES, rounds=3)
     return found.select("row.page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
+
+
+def planted(words: list, doc_id: int | None) -> list:
+    """The words with the repeats that the runs query plants in documents whose ``crc32(doc_id)`` ends with 0."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    tail = words[a : a + p]
+    return words[:a] + (tail * (1 + (n - a) // p))[: n - a]
+
+
+def _with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices([batch]):
+            raw, at = text_bytes(part.column("text"))
+            whole, ids = raw.tobytes(), part.column("doc_id").to_pylist()
+            texts = [b" ".join(planted(whole[a:b].split(), key)) for a, b, key in zip(at[:-1].tolist(), at[1:].tolist(), ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_with_repeats, "doc_id long, text string")
+    found = periodic_runs.collapse_runs(docs)
+    best = F.expr("element_at(array_sort(runs, (a, b) -> case when a.length <> b.length then sign(b.length - a.length) when a.start <> b.start then sign(a.start - b.start) else sign(a.period - b.period) end), 1)")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
