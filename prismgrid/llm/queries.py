@@ -155,11 +155,11 @@ def _with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_with_repeats, "doc_id long, text string")
     found = periodic_runs.collapse_runs(docs)
-    best = F.expr("element_at(array_sort(runs, (a, b) -> case when a.length <> b.length then sign(b.length - a.length) when a.start <> b.start then sign(a.start - b.start) else sign(a.period - b.period) end), 1)")
-    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    # the longest, then the first, then the smallest period
+    found = found.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as back, -r.period as small)))"))
     lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
     return found.select(
-        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
-        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), "best.length", (-F.col("best.small")).alias("period"),
+        F.expr("1000 * best.length div -best.small").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )

@@ -32,7 +32,7 @@ def plain_runs(w, least=6, times=4):
 @pytest.mark.parametrize(("least", "times"), [(6, 4), (1, 3), (20, 3), (12, 5)])
 def test_runs_equal_brute_force(least, times):
     rng = random.Random(least * times)
-    for _ in range(600):
+    for _ in range(300):
         letters, words = rng.choice([1, 2, 2, 3, 5, 30]), []
         for _ in range(rng.randint(0, 6)):
             part = [rng.randrange(letters) for _ in range(rng.randint(1, 12))]
