@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, sharding, token_counts, topk, url_filter
+from . import fingerprints, jaccard_join, language_id, lexical_search, line_dedup, mixing, periodic_runs, pieces, sharding, token_counts, topk, url_filter
 from .common import slices, text_bytes
 
 QUERIES: dict = {}
@@ -163,3 +163,21 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div -best.small").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query("op11_lexical_search", r"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+    c AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
+    l AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+    f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM c) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+          FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+    v AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS v
+          FROM f JOIN w USING (term) JOIN l USING (doc_id), g),
+    s AS (SELECT item_id, doc_id, sum(c * v)::BIGINT AS score FROM c JOIN v USING (term) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
