@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, lexical_search, line_dedup, mixing, periodic_runs, pieces, sharding, token_counts, topk, url_filter
+from . import fingerprints, graph_search, jaccard_join, language_id, lexical_search, line_dedup, mixing, periodic_runs, pieces, sharding, token_counts, topk, url_filter
 from .common import slices, text_bytes
 
 QUERIES: dict = {}
@@ -181,3 +181,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
+@_query("op12_graph_search")
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph_search.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
