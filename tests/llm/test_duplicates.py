@@ -227,3 +227,25 @@ def test_fingerprints_of_odd_tables(odd_documents, no_documents):
     assert fingerprints.fingerprints(no_documents).count() == 0
     one = odd_documents.where("doc_id = 4")
     assert [r.near_next for r in fingerprints.fingerprints(one).collect()] == [1.0]
+
+
+def test_words_that_collide_modulo_powers_of_two_are_told_apart():
+    # the Thue-Morse word of 4,096 letters and its complement have one polynomial hash modulo 2**64, whatever the base
+    import numpy as np
+
+    from prismgrid.llm.bytehash import span_hashes
+
+    bits = np.array([bin(i).count("1") % 2 for i in range(4_096)], np.uint8)
+    raw = np.concatenate([bits + 97, 98 - bits, bits + 97]).astype(np.uint8)
+    at = np.array([0, 4_096, 8_192])
+    a, b, c = span_hashes(raw, at, at + 4_096).tolist()
+    assert a == c != b
+
+
+def test_number_signs_are_no_letters(spark):
+    from prismgrid.llm import language_id
+
+    assert language_id.words_of("² ½ ① x² Straße ⅷ 中文") == ["x", "straße", "中文"]
+    model = language_id.train(spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string"))
+    got = language_id.languages(spark.createDataFrame([(1, "² ½ ①"), (2, "some")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0), ("en", 1.0)]
