@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,14 @@ def remembered(name: str, make: Callable[[], object]):
     return _REMEMBERED[name]
 
 
+def let_go() -> None:
+    """Called first by maps that keep nothing: this worker drops what an earlier operator kept in it."""
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .bytehash import mix
-from .common import slices, stored, text_bytes
+from .common import let_go, slices, stored, text_bytes
 from .shingles import row_shingles
 
 #: Entries of the broadcast table of frequent shingles, and of what one task adds to it.  Both only decide
@@ -39,6 +39,7 @@ def frequent_shingles(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
     """Hashes (sorted) and counts of frequent shingles: sums of what every task of the scan saw twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         def found(parts: list[np.ndarray]) -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(parts), return_counts=True)
             h, n = h[n > 1], n[n > 1]
@@ -76,6 +77,7 @@ def signatures(plain: DataFrame, words: int) -> DataFrame:
     kind = plain.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches):
             rows, hashes, size, sig, _ = _sets(*text_bytes(batch.column("text")), words)
             shape = np.bincount(rows * SHAPE + (hashes >> np.uint64(59)).astype(np.int64), minlength=len(size) * SHAPE).astype(np.int32)
@@ -93,6 +95,7 @@ def prefixes(plain: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
     known, counts = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sent: set[int] = set()
         for batch in slices(batches):
             rows, hashes, size, sig, base = _sets(*text_bytes(batch.column("text")), words)
@@ -146,6 +149,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, words: int,
     marked[bits.column("w").to_numpy()] = bits.column("m").to_numpy()
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sent: set[int] = set()
         for batch in slices(batches):
             sig = _sets(*text_bytes(batch.column("text")), words)[3].view(np.int64)
@@ -164,6 +168,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, words: int,
     texts = texts.join(ids, ["sig", "tie"], "left_semi").select("sig", "text").dropDuplicates(["sig"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: tuple = (None, None)
         for batch in batches:
             bs, ok = batch.column("b").to_pylist(), np.zeros(batch.num_rows, bool)
@@ -264,6 +269,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "
     kept = sets.groupBy("root").agg(F.min(F.struct("best", "sig")).alias("p")).select(c("p.sig").alias("sig"), c("p.best.tie").alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sent: set[int] = set()
         for batch in slices(batches, at):
             _, _, size, sig, _ = _sets(*text_bytes(batch.column(at)), words)

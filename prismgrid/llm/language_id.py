@@ -25,7 +25,7 @@ NGRAMS = 20_000
 LONGEST = 5
 #: Words that count fully towards the confidence of a text, and words a worker remembers before it starts anew.
 CERTAIN_WORDS = 8
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_CELLS = 1 << 23
 LONGEST_KEPT = 64
 #: Shortest n-grams that tell a language's words from other letters, and words that a text's familiar share is
@@ -38,8 +38,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case; superscripts, fractions and other number signs are no letters."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def ngrams(word: str, n: int) -> list[str]:
@@ -63,7 +66,8 @@ class Model:
     usual: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)
     vectors: np.ndarray | None = None
-    shares: dict[str, np.ndarray] = field(default_factory=dict)
+    shares: dict[str, int] = field(default_factory=dict)
+    share_rows: np.ndarray | None = None
 
     def score(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams."""
@@ -78,16 +82,20 @@ class Model:
 
     def share(self, word: str) -> np.ndarray:
         """In each language 1 for a word seen there, else the share of its word and long n-grams seen there."""
-        own = self.shares.get(word)
-        if own is None:
-            at = self.tables[0].get(word)
-            whole = self.seen[at if at is not None else 0]
-            grams = [self.tables[n].get(g, 0) for n in range(TELLING, LONGEST + 1) for g in ngrams(word, n)]
-            own = np.where(whole, 1.0, self.seen[grams].sum(0) / (len(grams) + 1)).astype(np.float32)
-            if len(self.shares) >= min(CACHE_WORDS, CACHE_CELLS // len(self.languages)):
-                self.shares.clear()
-            if len(word) <= LONGEST_KEPT:
-                self.shares[word] = own
+        place = self.shares.get(word)
+        if place is not None:
+            return self.share_rows[place]
+        at = self.tables[0].get(word)
+        whole = self.seen[at if at is not None else 0]
+        grams = [self.tables[n].get(g, 0) for n in range(TELLING, LONGEST + 1) for g in ngrams(word, n)]
+        own = np.where(whole, 1.0, self.seen[grams].sum(0) / (len(grams) + 1)).astype(np.float32)
+        if self.share_rows is None:
+            self.share_rows = np.zeros((min(CACHE_WORDS, CACHE_CELLS // len(self.languages)), len(self.languages)), np.float32)
+        if len(self.shares) >= len(self.share_rows):
+            self.shares.clear()
+        if len(word) <= LONGEST_KEPT:
+            self.share_rows[len(self.shares)] = own
+            self.shares[word] = len(self.shares)
         return own
 
     def familiar(self, text: str | None, lang: str) -> tuple[float, int]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import span_hashes
-from .common import slices, stored, text_bytes
+from .common import let_go, slices, stored, text_bytes
 
 #: Words of the shortest block that is deleted.
 MIN_WORDS = 50
@@ -58,6 +58,7 @@ def lines_of(plain: DataFrame, min_words: int) -> DataFrame:
     kind = plain.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches):
             base, hashes, words, runs = line_table(*text_bytes(batch.column("text")), min_words)
             at = pa.array(base.astype(np.int32))
@@ -172,6 +173,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     met = pairs.join(tables, "node").join(tables.select(F.col("node").alias("first"), F.col("hashes").alias("other"), F.col("runs").alias("other_runs")), "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             columns = [batch.column(c) for c in ("hashes", "words", "runs", "other", "other_runs")]
             found = [sorted(common_blocks(*(c[i].as_py() for c in columns), min_words)) for i in range(batch.num_rows)]
