@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
-from .stats import attach, exact_quantiles, running_totals
+from .stats import _bucket as bucket_of
+from .stats import attach, exact_quantiles, running_totals, value_edges
+
+#: Score levels that a task holds as dense rows over blocks.
+SLICE = 2048
 
 
 def block_score_counts(obs: DataFrame, keys: list[str], score: str = "score", ref: str = "ref", block: str = "block_id") -> DataFrame:
@@ -51,17 +58,81 @@ def balanced_youden(rows: DataFrame, keys: list[str], steps: int = 4) -> DataFra
     )
 
 
-def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str]) -> DataFrame:
-    """Threshold per held-out block from its training blocks.
+def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str], steps: int = 4) -> DataFrame:
+    """Threshold per held-out block from its training blocks: ``keys, fold, n_training_blocks, threshold, youden_j``.
 
-    ``training``: ``keys, fold, block_id`` and optionally ``w`` (multiplicity of a drawn block).
+    ``training``: ``keys, fold, block_id`` and optionally ``w`` (multiplicity of a drawn block); further columns, as a
+    replicate, tell lists of a fold apart.  Score counts are not copied to the folds that train on them: scores
+    are cut into buckets, and a task multiplies one bucket's counts (score x block) by the weights (block x fold).
+    Sums of the buckets above come with each fold, so a task returns the bucket's best threshold of every fold.
     """
     t = training if "w" in training.columns else training.withColumn("w", F.lit(1))
     shared = [k for k in keys if k in t.columns]
     extra = [c for c in t.columns if c not in {*keys, "fold", "block_id", "w"}]
     counts = cut(block_score_counts(obs, keys))
-    rows = counts.join(t, [*shared, "block_id"])
-    return balanced_youden(rows, [*keys, *extra, "fold"])
+    rows = attach(counts, value_edges(counts, keys, "score", steps), keys)
+    rows = rows.select(
+        *keys, "block_id", F.col("score").cast("double").alias("score"), bucket_of(F.col("score"), F.col("_edges"), steps).alias("_b"),
+        F.when(F.col("pos") > 0, F.col("pos") / F.col("block_pos")).otherwise(0.0).alias("wp"),
+        F.when(F.col("neg") > 0, F.col("neg") / F.col("block_neg")).otherwise(0.0).alias("wn"),
+    )
+    fold = [*keys, *extra, "fold"]
+    blocks = counts.groupBy(*keys, "block_id").agg(F.first("block_pos").alias("p"), F.first("block_neg").alias("n"))
+    lists = blocks.join(t, [*shared, "block_id"]).groupBy(*fold).agg(
+        F.sum(F.when(F.col("p") > 0, F.col("w")).otherwise(0)).alias("_np"),
+        F.sum(F.when(F.col("n") > 0, F.col("w")).otherwise(0)).alias("_nn"),
+        F.sum("w").alias("n_training_blocks"),
+        F.collect_list(F.struct("block_id", F.col("w").cast("double").alias("w"))).alias("_l"),
+    ).where("_np > 0 AND _nn > 0")
+    sums = rows.groupBy(*keys, "_b", "block_id").agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn")).join(t, [*shared, "block_id"])
+    sums = sums.groupBy(*fold, "_b").agg(F.sum(F.col("wp") * F.col("w")).alias("wp"), F.sum(F.col("wn") * F.col("w")).alias("wn"))
+    above = Window.partitionBy(*fold).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*fold, "_b", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"_{c}") for c in ("wp", "wn")])
+    sides = sums.join(lists, fold).select(*fold, "_b", "_wp", "_wn", "_np", "_nn", "n_training_blocks", F.col("_l.block_id").alias("_blocks"), F.col("_l.w").alias("_w"))
+    names = sides.columns
+    out = T.StructType([sides.schema[c] for c in (*fold, "n_training_blocks")] + [T.StructField(c, T.DoubleType()) for c in ("score", "_j")])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=out.names)
+        right.columns = names
+        block, ids = pd.factorize(left["block_id"])
+        level, scores = pd.factorize(-left["score"], sort=True)
+        place = {b: i for i, b in enumerate(ids)}
+        weight = np.zeros((len(ids), len(right)))
+        for f, (own, w) in enumerate(zip(right["_blocks"], right["_w"], strict=True)):
+            for b, x in zip(own, w, strict=True):
+                if b in place:
+                    weight[place[b], f] += x
+        carry = [right[c].to_numpy(float) for c in ("_wp", "_wn")]
+        size = [right[c].to_numpy(float) for c in ("_np", "_nn")]
+        values = [left[c].to_numpy(float) for c in ("wp", "wn")]
+        order = np.argsort(level, kind="stable")
+        top, score = np.full(len(right), -np.inf), np.full(len(right), np.nan)
+        for start in range(0, len(scores), SLICE):
+            lo, hi = np.searchsorted(level[order], [start, start + SLICE])
+            at, n = order[lo:hi], min(SLICE, len(scores) - start)
+            cell = (level[at] - start) * len(ids) + block[at]
+            run = []
+            for c in (0, 1):
+                dense = np.bincount(cell, values[c][at], n * len(ids)).reshape(n, -1)
+                run.append(carry[c] + np.cumsum(dense @ weight, 0))
+                carry[c] = run[c][-1]
+            j = np.round(run[0] / size[0] - run[1] / size[1], 12)
+            # a score is a threshold of the folds that have it in a training block
+            seen = np.bincount(cell, minlength=n * len(ids)).reshape(n, -1) @ (weight > 0)
+            j[seen == 0] = -np.inf
+            first = np.argmax(j, 0)
+            value = j[first, np.arange(len(right))]
+            better = value > top
+            top[better], score[better] = value[better], -np.asarray(scores)[start + first[better]]
+        made = right[[*fold, "n_training_blocks"]].assign(score=score, _j=top)
+        return made[np.isfinite(top)]
+
+    # other names: both sides of the cogroup come from the same rows
+    sides = sides.toDF(*[f"r_{c}" for c in names])
+    found = rows.groupBy(*keys, "_b").cogroup(sides.groupBy(*[f"r_{k}" for k in keys], "r__b")).applyInPandas(best, out)
+    return found.groupBy(*fold, "n_training_blocks").agg(F.max_by("score", F.struct("_j", "score")).alias("threshold"), F.max("_j").alias("youden_j"))
 
 
 def cross_fit(obs: DataFrame, training: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,8 +14,7 @@ from ..functions.draws import block_permutations, block_weights, coin, indexed_b
 from ..functions.rules import confusion, confusion_metrics, ratio
 from ..session import cut
 from .agree import overlap_counts, overlap_ratios
-from .crossfit import cross_fit
-from .stats import _bucket, attach, rank_auc, spearman, value_edges
+from .stats import _bucket, attach, spearman, value_edges
 
 # fixed value: largest number of orderings that is enumerated instead of drawn
 MAX_ORDERINGS = 9999
@@ -132,51 +131,6 @@ def with_offsets(sampled: DataFrame, side: int) -> DataFrame:
     return sampled.withColumn("cell", (F.col("row_i") % side) * side + F.col("col_i") % side)
 
 
-def permuted_samples(sampled: DataFrame, perms: DataFrame, keys: list[str], side: int) -> DataFrame:
-    """Score blocks moved onto other reference blocks: rows ``keys, rep, block_id, score, ref``."""
-    cells = with_offsets(sampled, side)
-    scores = cells.where(F.col("score").isNotNull()).select(*keys, F.col("block_id").alias("source"), "cell", "score")
-    refs = cells.where(F.col("ref").isNotNull()).select(*keys, F.col("block_id").alias("target"), "cell", "ref")
-    moved = refs.join(perms, [*keys, "target"])
-    return moved.join(scores, [*keys, "source", "cell"]).select(*keys, "rep", F.col("target").alias("block_id"), "score", "ref")
-
-
-def permutation_test(
-    sampled: DataFrame, training: DataFrame, keys: list[str], side: int, permutations: int, seed
-) -> DataFrame:
-    """Whole-block permutation test with refitted thresholds: plus-one p for AUC and balanced accuracy."""
-    def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-        oof = cut(cross_fit(cut(rows), training, by))
-        auc = rank_auc(oof, by).select(*by, "auc")
-        conf = oof.where(F.col("pred").isNotNull()).groupBy(*by).agg(*confusion("pred", "ref"))
-        ba = conf.select(*by, confusion_metrics()["balanced_accuracy"].alias("balanced_accuracy"))
-        return auc.join(ba, by, "left").select(
-            *by, "auc", F.when(F.col("auc").isNotNull(), F.col("balanced_accuracy")).alias("balanced_accuracy")
-        )
-
-    blocks = sampled.select(*keys, "block_id").distinct()
-    perms = block_permutations(blocks, keys, permutations, seed)
-    null = metrics(permuted_samples(sampled, perms, keys, side), [*keys, "rep"])
-    obs = metrics(sampled, keys).select(*keys, F.col("auc").alias("_a"), F.col("balanced_accuracy").alias("_b"))
-    j = null.join(obs, keys)
-    out = j.groupBy(*keys).agg(
-        F.first("_a").alias("auc"),
-        F.first("_b").alias("balanced_accuracy"),
-        F.count("auc").alias("valid_auc"),
-        F.count("balanced_accuracy").alias("valid_balanced"),
-        F.count_if(F.col("auc") >= F.col("_a")).alias("_ea"),
-        F.count_if(F.col("balanced_accuracy") >= F.col("_b")).alias("_eb"),
-    )
-
-    def p(e: str, n: str, o: str):
-        return F.when((F.col(n) > 0) & F.col(o).isNotNull(), (F.col(e) + 1.0) / (F.col(n) + 1.0))
-
-    return out.select(
-        *keys, "auc", "balanced_accuracy", "valid_auc", "valid_balanced",
-        p("_ea", "valid_auc", "auc").alias("auc_p"), p("_eb", "valid_balanced", "balanced_accuracy").alias("balanced_p"),
-    )
-
-
 def block_orderings(blocks: DataFrame, keys: list[str], replicates: int, seed) -> DataFrame:
     """Permutations of the blocks of a key: every ordering when there are few, else unique hash draws.
 
@@ -231,16 +185,6 @@ def paired_spearman_bootstrap(sampled: DataFrame, keys: list[str], a: str, b: st
     return spearman(rows, [*keys, "rep"], a, b, weight="_m")
 
 
-def paired_null_rows(sampled: DataFrame, orderings: DataFrame, keys: list[str], a: str, b: str, side: int) -> DataFrame:
-    """Anchor cells against the cells of the permuted repeat block: ``keys, rep, block_id, a, b``."""
-    cells = with_offsets(sampled, side)
-    left = cells.select(*keys, F.col("block_id").alias("target"), "cell", a)
-    right = cells.select(*keys, F.col("block_id").alias("source"), "cell", b)
-    return left.join(orderings, [*keys, "target"]).join(right, [*keys, "source", "cell"]).select(
-        *keys, "rep", F.col("target").alias("block_id"), a, b
-    )
-
-
 def overlap_bootstrap(sampled: DataFrame, keys: list[str], a: str, b: str, replicates: int, seed) -> DataFrame:
     """IoU, Dice and prevalence ratio per replicate from four counts per block."""
     per_block = sampled.groupBy(*keys, "block_id").agg(*overlap_counts(a, b))
@@ -278,20 +222,6 @@ def overlap_null(sampled: DataFrame, keys: list[str], a: str, b: str, side: int,
     return overlap_ratios(sums)
 
 
-def fixed_threshold_metrics(obs: DataFrame, keys: list[str], threshold: float, weight: str | None = None) -> DataFrame:
-    """AUC, balanced accuracy and macro F1 at a transferred threshold; undefined ratios stay missing."""
-    w = F.col(weight) if weight else F.lit(1)
-    rows = obs.where(F.col("score").isNotNull() & F.col("ref").isNotNull())
-    pred = F.col("score") >= threshold
-
-    def n(p: bool, r: int):
-        return F.sum(F.when((pred == p) & (F.col("ref") == r), w).otherwise(0))
-
-    conf = rows.groupBy(*keys).agg(n(True, 1).alias("tp"), n(True, 0).alias("fp"), n(False, 0).alias("tn"), n(False, 1).alias("fn"))
-    m = confusion_metrics(zero=None, need_both=True)
-    return conf.select(*keys, *[m[k].alias(k) for k in ("balanced_accuracy", "macro_f1")])
-
-
 def sensor_swaps(blocks: DataFrame, keys: list[str], replicates: int, seed) -> DataFrame:
     """Per replicate and block a coin deciding which sensor takes the native role."""
     ib = indexed_blocks(blocks, keys)

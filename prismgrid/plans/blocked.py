@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as D
 from ..functions import rules
 from ..functions.grid import class_list, col_of, flat_index, patch_name, row_of
-from ..operators import agree, blocks as K, crossfit as C, resample as R, stats
+from ..operators import agree, blocks as K, crossfit as C, packets, resample as R, stats
 from ..operators.inference import governed_interval, null_summary
 from ..session import cut
 from .registry import VIEWS, ev, lay, query, r6, rounded, table
@@ -289,5 +289,5 @@ PERM_SQL = """WITH c AS (SELECT site, layer, rep, block_id, score, count(*) FILT
 
 @query("x5_permutation_test", PERM_SQL)
 def x5(spark, d):
-    out = R.permutation_test(samples(spark, d), training(spark, d), KEYS, SIDE, PERMS, 11)
+    out = packets.permutation_test(samples(spark, d), training(spark, d), KEYS, SIDE, PERMS, 11)
     return rounded(out, "auc", "balanced_accuracy", "auc_p", "balanced_p")

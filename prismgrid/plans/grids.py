@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import agree, blocks as K, catalog_joins as J, compare_dates as CD, knn, regrid as G, stats
+from ..operators import agree, blocks as K, catalog_joins as J, compare_dates as CD, knn, packets, regrid as G, stats
 from ..operators.inference import governed_interval
 from .agreement import binpair
 from .blocked import SIDE, block_table, grids
@@ -322,8 +322,8 @@ def x7(spark, d):
 
     s = sparse_blocks(spark, d)
     orders = R.block_orderings(s.select("site", "block_id").distinct(), ["site"], 20, 5)
-    out = stats.spearman(R.paired_null_rows(s, orders, ["site"], "score", "score2", SIDE), ["site", "rep"], "score", "score2")
-    return rounded(out.withColumn("rep", F.col("rep").cast("bigint")), "rho")
+    out = packets.permuted(s, orders, ["site"], ["score", "score2"], SIDE, packets.moved_ranks("score", "score2"), ["n", "rho"])
+    return rounded(out.select("site", F.col("rep").cast("bigint").alias("rep"), F.col("n").cast("bigint").alias("n"), "rho"), "rho")
 
 
 _RATIOS = """round(n_both / nullif(n_either, 0)::DOUBLE, 6) + 0.0 AS iou, round(2 * n_both / nullif(n_anchor + n_repeat, 0)::DOUBLE, 6) + 0.0 AS dice"""

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import spectral as S
-from ..operators import blocks as K, crossfit as C, detect, ensemble as E, library as L, moments as B, resample as R, sensors as P, stats
+from ..operators import blocks as K, crossfit as C, detect, ensemble as E, library as L, moments as B, packets, resample as R, sensors as P, stats
 from ..operators.inference import governed_interval, null_summary
 from ..operators.mask import bounded_rows
+from ..session import cut
 from .blocked import HALO, KEYS, PERMS, SIDE, block_table, grids, intervals, samples, training
 from .registry import N_BANDS, VIEWS, ev, lay, library, pix, query, r6, rounded, table
 from .spectra import SRF_SQL, response_matrix
@@ -420,6 +421,37 @@ def x10(spark, d):
     return rounded(out.withColumn("rep", F.col("rep").cast("bigint")), "auc", "balanced_accuracy", "macro_f1")
 
 
+NULLS = 999
+VIEWS["alphaidx"] = "SELECT site, block_id, row_number() OVER (PARTITION BY site ORDER BY block_id) - 1 AS idx FROM (SELECT DISTINCT site, block_id FROM blk WHERE layer = 'alpha')"
+VIEWS["nullperm"] = """SELECT s.site, s.rep, s.block_id AS target, i.block_id AS source FROM (SELECT site, block_id, rep, row_number() OVER (PARTITION BY site, rep ORDER BY ('0x' || substr(md5(concat_ws(':', '37', rep, idx)), 1, 8))::BIGINT, idx) - 1 AS pidx
+ FROM alphaidx CROSS JOIN range(999) r(rep)) s JOIN alphaidx i ON i.site = s.site AND i.idx = s.pidx UNION ALL SELECT site, -1, block_id, block_id FROM alphaidx"""
+
+
+@query("x10_fixed_threshold_null", """WITH b AS (SELECT site, block_id, row_i % 20 AS r, col_i % 20 AS c, score, ref FROM blk WHERE layer = 'alpha'),
+ c AS (SELECT t.site, t.block_id AS target, s.block_id AS source, s.score, count(*) FILTER (WHERE t.ref = 1) AS pos, count(*) FILTER (WHERE t.ref = 0) AS neg FROM b t JOIN b s ON s.site = t.site AND s.r = t.r AND s.c = t.c WHERE t.ref IS NOT NULL AND s.score IS NOT NULL GROUP BY ALL),
+ v AS (SELECT site, rep, score, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg FROM nullperm p JOIN c USING (site, target, source) GROUP BY ALL),
+ w AS (SELECT *, sum(neg) OVER (PARTITION BY site, rep ORDER BY score) - neg / 2.0::DOUBLE AS below FROM v),
+ m AS (SELECT site, rep, sum(pos)::BIGINT AS np, sum(neg)::BIGINT AS nn, sum(pos * below) AS u, (sum(pos) FILTER (WHERE score >= 60))::BIGINT AS tp, (sum(neg) FILTER (WHERE score >= 60))::BIGINT AS fp FROM w GROUP BY ALL),
+ k AS (SELECT site, rep, CASE WHEN np > 0 AND nn > 0 THEN u / (np::DOUBLE * nn) END AS auc, CASE WHEN np > 0 AND nn > 0 THEN (tp / np::DOUBLE + (nn - fp) / nn::DOUBLE) / 2 END AS balanced_accuracy,
+  CASE WHEN np > 0 AND nn > 0 THEN (coalesce(2 * tp / nullif(tp + fp + np, 0)::DOUBLE, 0) + coalesce(2 * (nn - fp) / nullif(2 * (nn - fp) + fp + np - tp, 0)::DOUBLE, 0)) / 2 END AS macro_f1 FROM m),
+ l AS (SELECT site, rep, unnest(['auc', 'balanced_accuracy', 'macro_f1']) AS metric, round(unnest([auc, balanced_accuracy, macro_f1]), 9) AS value FROM k),
+ o AS (SELECT site, metric, value AS observed FROM l WHERE rep = -1),
+ g AS (SELECT site, count(*) FILTER (WHERE p > 0) AS positive_blocks, count(*) FILTER (WHERE n > 0) AS negative_blocks FROM (SELECT site, block_id, count(*) FILTER (WHERE ref = 1) AS p, count(*) FILTER (WHERE ref = 0) AS n FROM b WHERE score IS NOT NULL GROUP BY ALL) GROUP BY site)
+ SELECT l.site, l.metric, round(observed, 6) + 0.0 AS observed, count(value) AS valid_replicates, round(quantile_cont(value, 0.025), 6) + 0.0 AS null_lower, round(quantile_cont(value, 0.5), 6) + 0.0 AS null_median, round(quantile_cont(value, 0.975), 6) + 0.0 AS null_upper,
+ round((count(*) FILTER (WHERE value >= observed) + 1.0::DOUBLE) / (count(value) + 1), 6) + 0.0 AS p_value, positive_blocks, negative_blocks, positive_blocks >= 10 AND negative_blocks >= 10 AS support_eligible
+ FROM l JOIN o USING (site, metric) JOIN g USING (site) WHERE rep >= 0 GROUP BY l.site, l.metric, observed, positive_blocks, negative_blocks""")
+def x10_null(spark, d):
+    s = samples(spark, d).where("layer = 'alpha'").select("site", "block_id", "row_i", "col_i", "score", "ref")
+    blocks = cut(s.select("site", "block_id").distinct())
+    orders = packets.with_identity(R.block_orderings(blocks, ["site"], NULLS, 37), blocks, ["site"])
+    names = ["auc", "balanced_accuracy", "macro_f1"]
+    made = packets.permuted(s, orders, ["site"], ["score", "ref"], SIDE, packets.fixed_threshold(60.0), names)
+    reps = made.unpivot(["site", "rep"], names, "metric", "value").withColumn("value", F.round("value", 9))
+    out = null_summary(reps.where("rep >= 0"), reps.where("rep = -1").drop("rep"), ["site", "metric"], "value", NULLS).drop("reason")
+    out = out.join(packets.block_support(s, ["site"]), "site")
+    return rounded(out, "observed", "null_lower", "null_median", "null_upper", "p_value")
+
+
 VIEWS["conc"] = """SELECT site, block_id, row_i, col_i, na AS score, nk AS depth, ref FROM sens WHERE na IS NOT NULL AND nk IS NOT NULL AND ref IS NOT NULL"""
 
 
@@ -442,6 +474,45 @@ def x19_packets(spark, d):
     return P.packet_mismatches(s, ["site"], SIDE)
 
 
+VIEWS["packets"] = """SELECT 'whole' AS scene, site, block_id, row_i, col_i, na AS score, nk AS depth, ref AS target, (row_i + col_i) % 11 <> 0 AS valid FROM sens
+ UNION ALL SELECT 'cut', site, block_id, row_i, col_i, na, nk, ref, true FROM sens WHERE NOT (block_id = 'r0002_c0001' AND col_i % 20 = 3)"""
+
+
+@query("x19_packet_null", """WITH b AS (SELECT scene, site, block_id, row_i % 20 AS r, col_i % 20 AS c, score, depth, target, valid FROM packets),
+ e AS (SELECT scene, site, count(DISTINCT block_id) AS n_blocks, count(DISTINCT n) AS sizes FROM (SELECT scene, site, block_id, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL),
+ j AS (SELECT p.site, p.rep, t.block_id, t.score, s.depth, s.target FROM nullperm p JOIN b t ON t.scene = 'whole' AND t.site = p.site AND t.block_id = p.target JOIN b s ON s.scene = 'whole' AND s.site = p.site AND s.block_id = p.source AND s.r = t.r AND s.c = t.c
+   WHERE p.rep < 199 AND t.score IS NOT NULL AND s.valid AND s.depth IS NOT NULL AND s.target IS NOT NULL),
+ q AS (SELECT *, rank() OVER (PARTITION BY site, rep ORDER BY score) + (count(*) OVER (PARTITION BY site, rep, score) - 1) / 2.0::DOUBLE AS rk FROM j),
+ a AS (SELECT site, rep, count(*) FILTER (WHERE target = 1) AS np, count(*) FILTER (WHERE target = 0) AS nn, sum(rk) FILTER (WHERE target = 1) AS s, count(DISTINCT block_id) FILTER (WHERE target = 1) AS pb, count(DISTINCT block_id) FILTER (WHERE target = 0) AS nb FROM q GROUP BY ALL),
+ h AS (SELECT site, rep, corr(ra, rb) AS spearman FROM (SELECT site, rep, rank() OVER (PARTITION BY site, rep ORDER BY score) + (count(*) OVER (PARTITION BY site, rep, score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY site, rep ORDER BY depth) + (count(*) OVER (PARTITION BY site, rep, depth) - 1) / 2.0::DOUBLE AS rb FROM j WHERE target = 1) GROUP BY ALL),
+ k AS (SELECT site, rep, (s - np * (np + 1) / 2.0::DOUBLE) / (np::DOUBLE * nn) AS auc, np / (np + nn)::DOUBLE AS prevalence, np + nn AS support, pb, nb, spearman FROM a LEFT JOIN h USING (site, rep)),
+ l AS (SELECT site, rep, prevalence, support, pb, nb, unnest(['auc', 'spearman']) AS metric, round(unnest([auc, spearman]), 9) AS value FROM k),
+ o AS (SELECT site, metric, value AS observed, prevalence, support, pb, nb FROM l WHERE rep = -1),
+ n AS (SELECT l.site, l.metric, o.observed, o.prevalence, o.support, o.pb, o.nb, count(value) AS valid_replicates, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.975) AS hi, count(*) FILTER (WHERE value >= o.observed) AS ex
+   FROM l JOIN o ON o.site = l.site AND o.metric = l.metric WHERE rep >= 0 GROUP BY ALL)
+ SELECT e.scene, e.site, e.n_blocks, CASE WHEN e.n_blocks < 2 THEN 'fewer_than_two_blocks' WHEN e.sizes > 1 THEN 'unequal_footprints' END AS reason, n.metric, round(n.observed, 6) + 0.0 AS observed, round(n.prevalence, 6) + 0.0 AS prevalence, n.support, n.pb AS positive_blocks, n.nb AS negative_blocks,
+ n.valid_replicates, round(lo, 6) + 0.0 AS null_lower, round(med, 6) + 0.0 AS null_median, round(hi, 6) + 0.0 AS null_upper, round((ex + 1.0::DOUBLE) / (n.valid_replicates + 1), 6) + 0.0 AS p_value
+ FROM e LEFT JOIN n ON n.site = e.site AND e.sizes = 1 AND e.n_blocks >= 2""")
+def x19_null(spark, d):
+    s = sensor_rows(spark, d).select("site", "block_id", "row_i", "col_i", F.col("na").alias("score"), F.col("nk").alias("depth"), F.col("ref").alias("target"))
+    whole = s.select(F.lit("whole").alias("scene"), "*", ((F.col("row_i") + F.col("col_i")) % 11 != 0).alias("valid"))
+    cut_out = (F.col("block_id") == "r0002_c0001") & (F.col("col_i") % 20 == 3)
+    scenes = whole.unionByName(s.where(~cut_out).select(F.lit("cut").alias("scene"), "*", F.lit(True).alias("valid")))
+    by = ["scene", "site"]
+    scenes = cut(scenes)
+    design = cut(packets.exchangeable(scenes, by, SIDE))
+    fit = scenes.join(design.where("reason IS NULL").select(*by), by, "left_semi")
+    blocks = cut(fit.select(*by, "block_id").distinct())
+    orders = packets.with_identity(R.block_orderings(blocks, by, 199, 37), blocks, by)
+    made = packets.permuted(fit.withColumn("valid", F.col("valid").cast("int")), orders, by, ["score", "depth", "target", "valid"], SIDE, packets.moved_packets, ["auc", "spearman", "prevalence", "support", "positive_blocks", "negative_blocks"])
+    reps = made.unpivot([*by, "rep"], ["auc", "spearman"], "metric", "value").withColumn("value", F.round("value", 9))
+    null = null_summary(reps.where("rep >= 0"), reps.where("rep = -1").drop("rep"), [*by, "metric"], "value", 199).drop("reason")
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("support", "positive_blocks", "negative_blocks")]
+    own = made.where("rep = -1").select(*by, "prevalence", *counts)
+    out = design.join(null.join(own, by), by, "left")
+    return rounded(out, "observed", "prevalence", "null_lower", "null_median", "null_upper", "p_value")
+
+
 @query("x20_null_summary", """WITH a AS (SELECT site, layer, rep, (sum(CASE WHEN ref = 1 THEN rk END) - np * (np + 1) / 2.0::DOUBLE) / (np::DOUBLE * nn) AS auc FROM (SELECT *, count(*) FILTER (WHERE ref = 1) OVER (PARTITION BY site, layer, rep) AS np, count(*) FILTER (WHERE ref = 0) OVER (PARTITION BY site, layer, rep) AS nn,
   rank() OVER (PARTITION BY site, layer, rep ORDER BY score) + (count(*) OVER (PARTITION BY site, layer, rep, score) - 1) / 2.0::DOUBLE AS rk FROM permobs) GROUP BY site, layer, rep, np, nn)
  SELECT a.site, a.layer, round(max(p.auc), 6) + 0.0 AS observed, count(a.auc) AS valid_replicates, round(quantile_cont(a.auc, 0.025), 6) + 0.0 AS null_lower, round(quantile_cont(a.auc, 0.5), 6) + 0.0 AS null_median, round(quantile_cont(a.auc, 0.975), 6) + 0.0 AS null_upper,
@@ -451,7 +522,7 @@ def x20(spark, d):
 
     s = samples(spark, d)
     perms = block_permutations(s.select(*KEYS, "block_id").distinct(), KEYS, PERMS, 11)
-    null = stats.rank_auc(R.permuted_samples(s, perms, KEYS, SIDE), [*KEYS, "rep"]).select(*KEYS, "rep", "auc")
+    null = packets.permuted(s, perms, KEYS, ["score", "ref"], SIDE, packets.moved_scores, ["auc"])
     obs = stats.rank_auc(s, KEYS).select(*KEYS, "auc")
     return rounded(null_summary(null, obs, KEYS, "auc", PERMS).drop("reason"), "observed", "null_lower", "null_median", "null_upper", "p_value")
 
