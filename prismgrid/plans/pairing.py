@@ -310,7 +310,7 @@ def io8(spark, d):
     return src.agg(F.count(F.lit(1)).alias("n_source")).join(F.broadcast(diff))
 
 
-@query("io9_checksum_manifest")
+@query("io9_checksum_manifest", """SELECT 's' || scene || '_r' || patch_row || '_c' || patch_col AS patch_id, CASE WHEN patch_col = 1 THEN 'changed' ELSE 'extra' END AS status FROM patches WHERE fate = 'labeled' AND patch_col IN (1, 2)""")
 def io9(spark, d):
     path = scratch(spark)
     SNK.write_chips(chip_rows(spark, d).select("patch_id", "scene", "row_i", "col_i", "refl"), path)
