@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: WGS84 ellipsoid and UTM scale
-WGS84_A = 6378137.0
-WGS84_F = 1 / 298.257223563
-UTM_K0 = 0.9996
-UTM_FALSE_EASTING = 500000.0
-
 
 def cell_center(index: Column, origin: float, step: float) -> Column:
     """Coordinate of a cell centre."""
     return F.lit(float(origin)) + (index + F.lit(0.5)) * F.lit(float(step))
 
 
-def cell_index(coordinate: Column, origin: float, step: float) -> Column:
-    """Index of the cell that contains a coordinate."""
-    return F.floor((coordinate - F.lit(float(origin))) / F.lit(float(step))).cast("int")
-
-
 def flat_index(row: Column, col: Column, n_cols: int) -> Column:
     return row.cast("bigint") * n_cols + col
 
@@ -46,27 +33,3 @@ def patch_name(site: Column, patch_row: Column, patch_col: Column) -> Column:
 
 def class_list(classes: Column) -> Column:
     return F.array_join(F.array_sort(classes).cast("array<string>"), ";")
-
-
-def utm_from_lonlat(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
-    """Easting and northing in the northern hemisphere by the Krueger series in the third flattening."""
-    n = WGS84_F / (2 - WGS84_F)
-    radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [
-        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16,
-        13 * n**2 / 48 - 3 * n**3 / 5,
-        61 * n**3 / 240,
-    ]
-    ecc = 2 * math.sqrt(n) / (1 + n)
-    phi = F.radians(lat)
-    lam = F.radians(lon - F.lit(zone * 6.0 - 183.0))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(ecc) * F.atanh(F.lit(ecc) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, start=1):
-        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-    scale = UTM_K0 * radius
-    return F.lit(UTM_FALSE_EASTING) + F.lit(scale) * east, F.lit(scale) * north

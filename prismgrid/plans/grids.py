@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import projection as PJ
 from ..operators import agree, blocks as K, catalog_joins as J, compare_dates as CD, knn, packets, regrid as G, stats
 from ..operators.inference import governed_interval
 from .agreement import binpair
@@ -113,6 +114,97 @@ def j18(spark, d):
     return G.block_footprint(coarse(spark, d, 7, 7), cells, G.Grid(0.0, 7.0, 0.0, 7.0, 15, 15), FINE, ["site"])
 
 
+# ---- geographic coordinates: projected before they meet a grid in metres -------------------------------------
+
+# reference points of a northern and a southern scene: longitude, latitude, zone, easting, northing of the scene's middle
+NORTH, SOUTH = (-116.8, 37.6, 11, 517654.0, 4161454.0), (-68.5, -22.4, 19, 551465.0, 7522812.0)
+METRES = G.Grid(-1500.0, 30.0, 1500.0, -30.0, 100, 100)
+DEGREES = G.Grid(-0.0165, 0.00033, 0.0135, -0.00027, 100, 100)
+_PICK = "CASE WHEN south THEN {1} ELSE {0} END"
+_LON0, _LAT0, _ZONE, _X0, _Y0 = (_PICK.format(f"({n})::DOUBLE" if i != 2 else n, f"({s})::DOUBLE" if i != 2 else s) for i, (n, s) in enumerate(zip(NORTH, SOUTH, strict=True)))
+
+
+def _utm_sql(source: str) -> str:
+    """Rows of ``source`` (lon, lat, zone, south) on the earth, with x and y."""
+    east = " + ".join(["eta", *[f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(PJ.FORWARD, 1)]])
+    north = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(PJ.FORWARD, 1)]])
+    return f"""SELECT *, 500000 + {PJ.RADIUS!r}::DOUBLE * ({east}) AS x, CASE WHEN south THEN 10000000 ELSE 0 END + {PJ.RADIUS!r}::DOUBLE * ({north}) AS y FROM
+ (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM (SELECT *, sinh(atanh(s) - {PJ.ECCENTRICITY!r}::DOUBLE * atanh({PJ.ECCENTRICITY!r}::DOUBLE * s)) AS t FROM
+ (SELECT *, sin(radians(lat)) AS s, radians(lon - (zone * 6 - 183)) AS lam FROM {source} WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)))"""
+
+
+VIEWS["geo"] = f"""SELECT event_id, site, south, {_ZONE} AS zone, {_LON0} + (col_i + k / 100.0::DOUBLE - 50) * 0.0003::DOUBLE AS lon, CASE WHEN user_id % 97 = 5 THEN 95 ELSE {_LAT0} + (50 - row_i - (user_id % 50) / 50.0::DOUBLE) * 0.00027::DOUBLE END AS lat
+ FROM (SELECT *, user_id % 2 = 1 AS south FROM ev)"""
+VIEWS["geoutm"] = _utm_sql("geo")
+
+
+def picked(south, i: int):
+    return F.when(south, F.lit(SOUTH[i])).otherwise(F.lit(NORTH[i]))
+
+
+def geo(spark, d) -> DataFrame:
+    s = F.col("south")
+    e = ev(spark, d).withColumn("south", F.col("user_id") % 2 == 1)
+    lat = picked(s, 1) + (F.lit(50) - F.col("row_i") - F.col("user_id") % 50 / F.lit(50.0)) * F.lit(0.00027)
+    return e.select(
+        "event_id", "site", "south", picked(s, 2).alias("zone"), (picked(s, 0) + (F.col("col_i") + F.col("k") / 100.0 - 50) * F.lit(0.0003)).alias("lon"),
+        F.when(F.col("user_id") % 97 == 5, F.lit(95.0)).otherwise(lat).alias("lat"),
+    )
+
+
+@query("j3_projected_regrid", f"""SELECT g.event_id, u.event_id IS NOT NULL AS on_earth, s.code FROM geo g LEFT JOIN (SELECT *, x - {_X0} AS gx, y - {_Y0} AS gy FROM geoutm) u ON u.event_id = g.event_id
+ LEFT JOIN ev s ON s.site = u.site AND s.row_i = CAST(floor((gy - 1500.0::DOUBLE) / -30.0::DOUBLE) AS INTEGER) AND s.col_i = CAST(floor((gx + 1500.0::DOUBLE) / 30.0::DOUBLE) AS INTEGER)""")
+def j3_projected(spark, d):
+    t = PJ.projected(geo(spark, d), F.col("zone"), F.col("south"), valid="on_earth")
+    t = t.withColumn("x", F.col("x") - picked(F.col("south"), 3)).withColumn("y", F.col("y") - picked(F.col("south"), 4))
+    return G.nearest_regrid(t, ev(spark, d), METRES, ["site"], ["code"]).select("event_id", "on_earth", "code")
+
+
+VIEWS["metric"] = f"""SELECT event_id, site, south, {_ZONE} AS zone, {_X0} + (col_i + k / 100.0::DOUBLE - 50) * 30 AS x, {_Y0} + (50 - row_i - (user_id % 50) / 50.0::DOUBLE) * 30 AS y FROM (SELECT *, user_id % 2 = 1 AS south FROM ev)"""
+_BACK = {n: " ".join([v, *[f"- {c!r}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(PJ.BACKWARD, 1)]]) for n, v, f, g in (("a", "xi", "sin", "cosh"), ("b", "eta", "cos", "sinh"))}
+_PHI = " ".join(["chi", *[f"+ {c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(PJ.LATITUDE, 1)]])
+VIEWS["metricgeo"] = f"""SELECT event_id, site, south, zone * 6 - 183 + degrees(atan2(sinh(b), cos(a))) AS lon, degrees({_PHI}) AS lat FROM (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM (SELECT *, {_BACK['a']} AS a, {_BACK['b']} AS b FROM
+ (SELECT *, (y - CASE WHEN south THEN 10000000 ELSE 0 END) / {PJ.RADIUS!r}::DOUBLE AS xi, (x - 500000) / {PJ.RADIUS!r}::DOUBLE AS eta FROM metric)))"""
+
+
+@query("j4_projected_regrid", f"""WITH p AS (SELECT event_id, site, (lon - {_LON0} + 0.0165::DOUBLE) / 0.00033::DOUBLE - 0.5 AS u, (lat - {_LAT0} - 0.0135::DOUBLE) / -0.00027::DOUBLE - 0.5 AS v FROM metricgeo),
+ n AS (SELECT event_id, site, CAST(floor(u) AS INTEGER) + j AS c, CAST(floor(v) AS INTEGER) + i AS r, (CASE WHEN i = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) * (CASE WHEN j = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS w
+  FROM p CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) WHERE u >= -0.5 AND u < 99.5 AND v >= -0.5 AND v < 99.5)
+ SELECT m.event_id, round(b.score, 6) + 0.0 AS score FROM metric m LEFT JOIN (SELECT n.event_id, sum(w * s.score) / sum(w) AS score FROM n JOIN ev s ON s.site = n.site AND s.row_i = n.r AND s.col_i = n.c WHERE s.score IS NOT NULL AND w > 0 GROUP BY n.event_id) b USING (event_id)""")
+def j4_projected(spark, d):
+    s = F.col("south")
+    e = ev(spark, d).withColumn("south", F.col("user_id") % 2 == 1)
+    x = picked(s, 3) + (F.col("col_i") + F.col("k") / 100.0 - 50) * 30
+    y = picked(s, 4) + (F.lit(50) - F.col("row_i") - F.col("user_id") % 50 / F.lit(50.0)) * 30
+    t = PJ.from_utm(e.select("event_id", "site", "south", x.alias("x"), y.alias("y")), picked(s, 2), s)
+    t = t.select("event_id", "site", (F.col("lon") - picked(s, 0)).alias("x"), (F.col("lat") - picked(s, 1)).alias("y"))
+    out = G.bilinear_regrid(t, ev(spark, d).select("site", "row_i", "col_i", "score"), DEGREES, ["site"], "score", ["site", "event_id"])
+    return rounded(out.select("event_id", "score"), "score")
+
+
+VIEWS["swath"] = """SELECT c_custkey AS source_id, CAST(c_custkey // 1500 AS INTEGER) AS site, true AS south, 19 AS zone, -68.5::DOUBLE + ((c_acctbal + 1000) / 110 - 50) * 0.00029::DOUBLE AS lon, CASE WHEN c_nationkey = 3 THEN 95 ELSE -22.4::DOUBLE + (50 - (c_custkey * 37 % 1000) / 10.0::DOUBLE) * 0.00027::DOUBLE END AS lat, c_nationkey % 5 <> 0 AS qa_valid FROM customer"""
+VIEWS["swathutm"] = _utm_sql("swath")
+VIEWS["cells30"] = f"SELECT event_id AS target_id, site, {SOUTH[3]} - 1500 + (col_i + 0.5::DOUBLE) * 30 AS x, {SOUTH[4]} + 1500 - (row_i + 0.5::DOUBLE) * 30 AS y, k < 90 AS qa_valid FROM ev"
+
+
+@query("j6_projected_mapping", """WITH n AS (SELECT site, target_id, source_id, s_ok, sqrt(d2) AS distance FROM (SELECT t.site, t.target_id, s.source_id, s.qa_valid AS s_ok, (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) AS d2,
+  row_number() OVER (PARTITION BY t.target_id ORDER BY (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y), s.source_id) AS rn FROM cells30 t JOIN swathutm s ON s.site = t.site WHERE t.qa_valid) WHERE rn = 1)
+ SELECT o.site, o.target_id, n.source_id, round(n.distance, 3) + 0.0 AS distance, CASE WHEN NOT o.qa_valid THEN 'ortho_qa_invalid' WHEN n.source_id IS NULL THEN 'no_geolocated_source' WHEN s_ok THEN 'mapped' ELSE 'source_qa_no_call' END AS status FROM cells30 o LEFT JOIN n USING (target_id)""")
+def j6_projected(spark, d):
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    lat = F.when(F.col("c_nationkey") == 3, F.lit(95.0)).otherwise(F.lit(-22.4) + (F.lit(50) - (k * 37 % 1000) / 10.0) * F.lit(0.00027))
+    swath = c.select(
+        k.alias("source_id"), F.floor(k / 1500).cast("int").alias("site"), (F.lit(-68.5) + ((F.col("c_acctbal") + 1000) / 110 - 50) * F.lit(0.00029)).alias("lon"), lat.alias("lat"),
+        (F.col("c_nationkey") % 5 != 0).alias("qa_valid"),
+    )
+    source = PJ.projected(swath, F.lit(19), F.lit(True))
+    x, y = F.lit(SOUTH[3] - 1500) + (F.col("col_i") + 0.5) * 30, F.lit(SOUTH[4] + 1500) - (F.col("row_i") + 0.5) * 30
+    target = ev(spark, d).select(F.col("event_id").alias("target_id"), "site", x.alias("x"), y.alias("y"), (F.col("k") < 90).alias("qa_valid"))
+    out = knn.map_native(target, source.select("source_id", "site", "x", "y", "geo_valid", "qa_valid"), ["site"], 30.0)
+    return out.select("site", "target_id", "source_id", (F.round("distance", 3) + F.lit(0.0)).alias("distance"), "status")
+
+
 # ---- native to ortho ---------------------------------------------------------------------------------
 
 VIEWS["native"] = """SELECT c_custkey AS source_id, CAST(c_custkey // 1500 AS INTEGER) AS site, (c_acctbal + 1000) / 110 AS x, (c_custkey * 37 % 1000) / 10.0::DOUBLE AS y, c_nationkey <> 3 AS geo_valid, c_nationkey % 5 <> 0 AS qa_valid FROM customer"""

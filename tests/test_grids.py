@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismgrid.functions.grid import utm_from_lonlat
+from prismgrid.functions import projection
 from prismgrid.operators import graph, knn, pairs as P, regrid as G
 
 
@@ -44,10 +44,29 @@ def test_empty_boundary_gives_no_distance(spark):
     assert knn.symmetric_boundary_distance(df, ["k"], "a", "b", 30.0, 30.0).count() == 0
 
 
-def test_utm_known_point(spark):
-    e, n = utm_from_lonlat(F.lit(-117.0), F.lit(37.7), 11)
-    r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
-    assert r.e == pytest.approx(500000.0, abs=1e-3) and r.n == pytest.approx(4172524.5, abs=60)
+def test_utm_known_points_and_round_trip(spark):
+    # the central meridian is easting 500 km; the equator is northing 0 or 10,000 km; known values of two towns
+    rows = [(-117.0, 0.0, 11, False), (-117.0, 0.0, 11, True), (-79.387139, 43.642567, 17, False), (174.776, -41.2865, 60, True)]
+    rows += [((lon0 + dlon + 180) % 360 - 180, lat, int((lon0 + 183) // 6), lat < 0) for lon0 in (-177.0, 3.0, 177.0) for dlon in (-3.4, -1.0, 0.0, 2.9) for lat in (-79.0, -33.3, -0.01, 12.5, 66.0, 83.9)]
+    c = F.col
+    df = spark.createDataFrame(rows, "lon double, lat double, zone int, south boolean")
+    df = projection.to_utm(df, c("zone"), c("south"))
+    got = projection.from_utm(df, c("zone"), c("south"), lon="lon2", lat="lat2").collect()
+    assert (got[0].x, got[0].y) == pytest.approx((500_000, 0), abs=1e-6) and (got[1].x, got[1].y) == pytest.approx((500_000, 1e7), abs=1e-6)
+    assert (got[2].x, got[2].y) == pytest.approx((630_084, 4_833_439), abs=1.0)
+    assert (got[3].x, got[3].y) == pytest.approx((313_800, 5_427_000), abs=1_500)
+    for r in got:
+        # under a millimetre
+        turn = (r.lon2 - r.lon + 180) % 360 - 180
+        assert abs(turn) * 111_320 * np.cos(np.radians(r.lat)) < 1e-3 and abs(r.lat2 - r.lat) * 111_320 < 1e-3, r
+
+
+def test_positions_off_the_earth_are_not_projected(spark):
+    rows = [(10.0, 95.0), (181.0, 0.0), (None, 1.0), (float("nan"), 1.0), (10.0, 45.0)]
+    df = projection.projected(spark.createDataFrame(rows, "lon double, lat double"), F.lit(32), F.lit(False))
+    assert [(r.geo_valid, r.x is None) for r in df.collect()] == [(False, True)] * 4 + [(True, False)]
+    zones = spark.createDataFrame([(-180.0,), (-177.1,), (0.0,), (179.9,), (180.0,)], "lon double").select(projection.utm_zone(F.col("lon")).alias("z"))
+    assert [r.z for r in zones.collect()] == [1, 1, 31, 60, 1]
 
 
 def test_patch_fates(spark):
