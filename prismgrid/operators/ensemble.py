@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import block_weights, hash_int
-from ..functions.rules import confidence_class, ratio
+from ..functions.rules import confidence_class, confusion, confusion_metrics, ratio, support_tier
+from ..session import cut
 from .inference import governed_interval
-from .stats import spearman, top_rows
+from .resample import block_class_counts, bootstrap_metrics, long_metrics
+from .stats import rank_auc, spearman, top_rows
 
 # fixed values: the frozen design axes
 RIDGES = [0.001, 0.01, 0.1]
@@ -17,6 +19,7 @@ GATES = [1.0, None]
 REPLICATES = 16
 BASE_RIDGE, BASE_QUANTILE, BASE_GATE = 0.01, 0.90, 1.0
 MIN_INTERVAL_BLOCKS = 2
+EXTERNAL_METRICS = ["auc", "balanced_accuracy", "positive_f1", "negative_f1", "macro_f1", "tpr", "fpr", "prevalence"]
 
 
 def balanced_schedule(library: DataFrame, replicates: int, seed, key: str = "mineral", sample: str = "sample") -> DataFrame:
@@ -180,6 +183,47 @@ def nested_ratio(counts: DataFrame, keys: list[str], replicates: int, seed, memb
     return sums.join(nb, keys).select(*keys, "rep", member, "n_blocks", ratio("_a", "_b").alias("value"))
 
 
+def nested_mean(values: DataFrame, keys: list[str], replicates: int, seed, member: str = "member", block: str = "block_id") -> DataFrame:
+    """Mean of every member's block values under one shared block draw per replicate; missing blocks do not count.
+
+    ``values(keys, member, block, value)``.
+    """
+    present = F.col("value").isNotNull().cast("int")
+    return nested_ratio(values.withColumn("num", F.coalesce("value", F.lit(0.0))).withColumn("den", present), keys, replicates, seed, member, block)
+
+
+def nested_external_intervals(oof: DataFrame, keys: list[str], replicates: int, seed, member: str = "member") -> DataFrame:
+    """Eight metrics of an ensemble against a reference: median over members, with a nested block interval and its support.
+
+    ``oof(keys, member, block_id, score, ref, pred)`` of a cross-fit.  Members share their blocks, and draws are functions
+    of block numbers, so one draw serves all members; the median over members is taken inside each replicate.  The
+    point estimate is the median of the members' own metrics.  Support is that of the member with the fewest bearing blocks.
+    """
+    by = [*keys, member]
+    oof = cut(oof.select(*by, "block_id", "score", "ref", "pred"))
+    reps = long_metrics(bootstrap_metrics(oof, by, replicates, seed), [*by, "rep"], EXTERNAL_METRICS)
+    per = reps.groupBy(*keys, "metric", "rep").agg(F.percentile("value", 0.5).alias("summary"))
+    ci = governed_interval(per, [*keys, "metric"], "summary", replicates)
+
+    auc = rank_auc(oof, by).select(*by, "auc", ratio("n_pos", F.col("n_pos") + F.col("n_neg")).alias("prevalence"))
+    conf = oof.where(F.col("pred").isNotNull()).groupBy(*by).agg(*confusion("pred", "ref"))
+    own = auc.join(conf.select(*by, *[v.alias(k) for k, v in confusion_metrics(zero=None, need_both=False).items()]), by, "left")
+    point = long_metrics(own, by, EXTERNAL_METRICS).groupBy(*keys, "metric").agg(F.percentile("value", 0.5).alias("point_estimate"))
+
+    blocks = block_class_counts(oof, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_pos") > 0).alias("p"), F.count_if(F.col("n_neg") > 0).alias("q")
+    )
+    support = blocks.groupBy(*keys).agg(
+        F.min("n").alias("complete_blocks"), F.min("p").alias("positive_blocks"), F.min("q").alias("negative_blocks")
+    ).withColumn("support_tier", support_tier("positive_blocks", "negative_blocks"))
+    few = F.col("complete_blocks") < MIN_INTERVAL_BLOCKS
+    return ci.join(point, [*keys, "metric"], "left").join(support, keys).select(
+        *keys, "metric", "point_estimate", *[F.when(~few, F.col(c)).alias(c) for c in ("lower", "upper")], "valid_replicates",
+        "complete_blocks", "positive_blocks", "negative_blocks", "support_tier",
+        F.when(few, "fewer_than_2_complete_blocks").otherwise(F.col("reason")).alias("reason"),
+    )
+
+
 def nested_spearman(pairs: DataFrame, keys: list[str], x: str, y: str, replicates: int, seed, member: str = "member", block: str = "block_id") -> DataFrame:
     """Rank correlation of every member under one shared block draw per replicate."""
     blocks = pairs.select(*keys, block).distinct()

@@ -114,6 +114,20 @@ def x21(spark, d):
     return rounded(E.nested_interval(v, ["site", "mineral"], NESTED).drop("reason"), "lower", "upper")
 
 
+_BLOCK_VALUES = """SELECT site, mineral, member, block_id, unnest(['support_loss', 'prevalence', 'rank_correlation', 'switch_fraction']) AS metric,
+ unnest([1 - n_joint / nullif(n_base, 0)::DOUBLE, n_detected / nullif(n_valid, 0)::DOUBLE, rho, n_switched / nullif(n_joint, 0)::DOUBLE]) AS value FROM memblk b LEFT JOIN memrho r USING (site, mineral, member, block_id)"""
+
+
+@query("x21_nested_mean", f"""WITH b AS ({_BLOCK_VALUES}), v AS (SELECT b.site, b.mineral, b.metric, w.rep, b.member, sum(b.value * w.w) / nullif(sum(w.w) FILTER (WHERE b.value IS NOT NULL), 0)::DOUBLE AS value FROM b JOIN mdraw w ON w.site = b.site AND w.block_id = b.block_id GROUP BY ALL),
+ s AS (SELECT site, mineral, metric, rep, quantile_cont(value, 0.5) AS summary FROM v GROUP BY ALL)
+ SELECT site, mineral, metric, (SELECT count(DISTINCT block_id) FROM mem m WHERE m.site = s.site) AS n_blocks, count(summary) AS valid_replicates, round(quantile_cont(summary, 0.025), 6) + 0.0 AS lower, round(quantile_cont(summary, 0.975), 6) + 0.0 AS upper FROM s GROUP BY site, mineral, metric""")
+def x21_mean(spark, d):
+    names = ["support_loss", "prevalence", "rank_correlation", "switch_fraction"]
+    b = block_metrics(spark, d).unpivot(["site", "mineral", "member", "block_id"], names, "metric", "value")
+    keys = ["site", "mineral", "metric"]
+    return rounded(E.nested_interval(E.nested_mean(b, keys, NESTED, 9), keys, NESTED).drop("reason"), "lower", "upper")
+
+
 @query("x21_nested_spearman", """WITH x AS (SELECT m.site, m.mineral, m.member, w.rep, m.score, b.score AS score0, unnest(range(w.w)) AS u FROM memd m JOIN memd b ON b.member = 0 AND b.site = m.site AND b.row_i = m.row_i AND b.col_i = m.col_i AND b.mineral = m.mineral
   JOIN mdraw w ON w.site = m.site AND w.block_id = m.block_id WHERE m.valid AND b.valid AND w.rep < 10 AND m.mineral = 0)
  SELECT site, member, rep, round(corr(ra, rb), 6) + 0.0 AS value FROM (SELECT site, member, rep, rank() OVER (PARTITION BY site, member, rep ORDER BY score) + (count(*) OVER (PARTITION BY site, member, rep, score) - 1) / 2.0::DOUBLE AS ra,
@@ -248,6 +262,35 @@ def branch_metrics(oof: DataFrame) -> DataFrame:
     return rounded(m.select("site", "branch", (F.col("n_pos") + F.col("n_neg")).alias("n"), "tp", "fp", "tn", "fn", "auc", "balanced_accuracy"), "auc", "balanced_accuracy")
 
 
+ENSEMBLE_REPS = 100
+VIEWS["ensobs"] = "SELECT site, block_id, ref, m.member, na + m.member * ((row_i * 7 + col_i * 3) % 11) / 2.0::DOUBLE AS score FROM sens CROSS JOIN range(4) m(member) WHERE na IS NOT NULL AND ref IS NOT NULL"
+
+
+@query("x21_nested_external", f"""WITH {_fold_sql('ensobs', 'member')},
+ i AS (SELECT site, block_id, row_number() OVER (PARTITION BY site ORDER BY block_id) - 1 AS idx, count(*) OVER (PARTITION BY site) AS nb FROM (SELECT DISTINCT site, block_id FROM ensobs)),
+ w AS (SELECT d.site, d.rep, i.block_id, count(*) AS w FROM (SELECT site, r.rep, ('0x' || substr(md5(concat_ws(':', '41', r.rep, idx)), 1, 8))::BIGINT % nb AS didx FROM i CROSS JOIN range({ENSEMBLE_REPS}) r(rep)) d JOIN i ON i.site = d.site AND i.idx = d.didx GROUP BY ALL
+  UNION ALL SELECT site, -1, block_id, 1 FROM i),
+ k AS (SELECT site, member, block_id, count(*) FILTER (WHERE pred = 1 AND ref = 1) AS tp, count(*) FILTER (WHERE pred = 1 AND ref = 0) AS fp, count(*) FILTER (WHERE pred = 0 AND ref = 0) AS tn, count(*) FILTER (WHERE pred = 0 AND ref = 1) AS fn FROM fold_oof GROUP BY ALL),
+ u AS (SELECT p.site, p.member, p.block_id AS pb, n.block_id AS qb, sum(p.pos * n.neg * CASE WHEN n.score < p.score THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS u FROM fc p JOIN fc n ON n.site = p.site AND n.member = p.member AND p.pos > 0 AND n.neg > 0 AND n.score <= p.score GROUP BY ALL),
+ c AS (SELECT w.site, k.member, w.rep, sum(w * tp)::BIGINT AS tp, sum(w * fp)::BIGINT AS fp, sum(w * tn)::BIGINT AS tn, sum(w * fn)::BIGINT AS fn FROM w JOIN k USING (site, block_id) GROUP BY ALL),
+ g AS (SELECT w.site, b.member, w.rep, sum(w * bp)::BIGINT AS np, sum(w * bn)::BIGINT AS nn FROM w JOIN fb b USING (site, block_id) GROUP BY ALL),
+ q AS (SELECT u.site, u.member, a.rep, sum(a.w * b.w * u.u) AS num FROM u JOIN w a ON a.site = u.site AND a.block_id = u.pb JOIN w b ON b.site = u.site AND b.rep = a.rep AND b.block_id = u.qb GROUP BY ALL),
+ m AS (SELECT site, member, rep, CASE WHEN np * nn > 0 THEN coalesce(num, 0) / (np::DOUBLE * nn) END AS auc, np / nullif(np + nn, 0)::DOUBLE AS prevalence, tp / nullif(tp + fn, 0)::DOUBLE AS tpr, fp / nullif(fp + tn, 0)::DOUBLE AS fpr,
+  2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS p1, 2 * tn / nullif(2 * tn + fp + fn, 0)::DOUBLE AS n1 FROM g JOIN c USING (site, member, rep) LEFT JOIN q USING (site, member, rep)),
+ l AS (SELECT site, member, rep, unnest(['auc', 'balanced_accuracy', 'positive_f1', 'negative_f1', 'macro_f1', 'tpr', 'fpr', 'prevalence']) AS metric, unnest([auc, 0.5::DOUBLE * (tpr + 1 - fpr), p1, n1, 0.5::DOUBLE * (p1 + n1), tpr, fpr, prevalence]) AS value FROM m),
+ s AS (SELECT site, metric, rep, quantile_cont(value, 0.5) AS summary FROM l GROUP BY ALL),
+ t AS (SELECT site, min(n) AS complete_blocks, min(p) AS positive_blocks, min(q) AS negative_blocks FROM (SELECT site, member, count(*) AS n, count(*) FILTER (WHERE bp > 0) AS p, count(*) FILTER (WHERE bn > 0) AS q FROM fb GROUP BY ALL) GROUP BY site)
+ SELECT s.site, s.metric, round(max(summary) FILTER (WHERE rep = -1), 6) + 0.0 AS point_estimate, round(quantile_cont(summary, 0.025) FILTER (WHERE rep >= 0), 6) + 0.0 AS lower, round(quantile_cont(summary, 0.975) FILTER (WHERE rep >= 0), 6) + 0.0 AS upper, count(summary) FILTER (WHERE rep >= 0) AS valid_replicates,
+ complete_blocks, positive_blocks, negative_blocks, CASE WHEN least(positive_blocks, negative_blocks) < {rules.EXPLORATORY_BLOCKS} THEN 'counts_and_maps_only' WHEN least(positive_blocks, negative_blocks) < {rules.CONFIRMATORY_BLOCKS} THEN 'exploratory_only' ELSE 'confirmatory_eligible' END AS support_tier
+ FROM s JOIN t USING (site) GROUP BY s.site, s.metric, complete_blocks, positive_blocks, negative_blocks""")
+def x21_external(spark, d):
+    s = sensor_rows(spark, d).where("na IS NOT NULL AND ref IS NOT NULL")
+    m = s.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("member"))
+    m = m.select("site", "member", "block_id", "ref", (F.col("na") + F.col("member") * ((F.col("row_i") * 7 + F.col("col_i") * 3) % 11) / 2.0).alias("score"))
+    oof = C.cross_fit(m, training(spark, d), ["site", "member"])
+    return rounded(E.nested_external_intervals(oof, ["site"], ENSEMBLE_REPS, 41).drop("reason"), "point_estimate", "lower", "upper")
+
+
 @query("x13_score_pair", f"WITH {_fold_sql('sensobs', 'branch')}, {_BRANCH_METRICS} {_BRANCH_SELECT}")
 def x13(spark, d):
     return branch_metrics(P.evaluate_score_pair(sensor_rows(spark, d), training(spark, d), ["site"], "na", "da"))
