@@ -27,10 +27,11 @@ def resample(source: DataFrame, keys: list[str], targets: DataFrame) -> DataFram
 
     ``source(keys, wavelength_nm, value)``; ``targets(target_index, target_nm)`` is a sensor axis.
     Outside the sampled range the value is NULL.  Each spectrum's bracketing pairs come from ``lead``
-    and the sorted target axis rides along as one array literal, so no range join is needed.
+    and the sorted target axis rides along as one array (a broadcast row), so no range join is needed.
     """
-    axis = sorted((float(r["target_nm"]), int(r["target_index"])) for r in bounded_rows(targets, 5000))
-    grid = F.array(*[F.struct(F.lit(nm).alias("nm"), F.lit(i).alias("i")) for nm, i in axis])
+    pairs = F.struct(F.col("target_nm").cast("double").alias("nm"), F.col("target_index").cast("int").alias("i"))
+    axis = F.broadcast(targets.agg(F.array_sort(F.collect_list(pairs)).alias("_axis")))
+    grid = F.col("_axis")
     w = Window.partitionBy(*keys).orderBy("wavelength_nm")
     seg = source.where(F.col("value").isNotNull()).select(
         *keys,
@@ -39,7 +40,7 @@ def resample(source: DataFrame, keys: list[str], targets: DataFrame) -> DataFram
         F.lead("wavelength_nm").over(w).alias("w1"),
         F.lead("value").over(w).alias("v1"),
         F.row_number().over(w).alias("_first"),
-    )
+    ).join(axis)
     # the first sample also answers a target exactly at the lower end of the range
     inside = F.filter(
         grid,
@@ -52,7 +53,7 @@ def resample(source: DataFrame, keys: list[str], targets: DataFrame) -> DataFram
     )
     value = F.when(frac == 0, F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * frac)
     got = hit.select(*keys, F.col("t.i").alias("target_index"), value.alias("value"))
-    every = source.select(*keys).distinct().select(*keys, F.explode(grid).alias("t")).select(
+    every = source.select(*keys).distinct().join(axis).select(*keys, F.explode(grid).alias("t")).select(
         *keys, F.col("t.i").alias("target_index"), F.col("t.nm").alias("target_nm")
     )
     return every.join(got, [*keys, "target_index"], "left")

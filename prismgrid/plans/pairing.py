@@ -249,9 +249,7 @@ def io1(spark, d):
     return df.select("vec_id", "label", r6(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
-@query("io2_library_parse", """SELECT 'm' || label AS mineral, 'set1_' || CASE WHEN vec_id % 11 = 0 THEN 'M' ELSE 'm' END || label || CASE WHEN vec_id % 17 = 4 THEN 'ite' ELSE '' END || '_' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '_ASDFRa' ELSE '_BECKb' END AS sample, CASE WHEN vec_id % 2 = 0 THEN 'ASD' ELSE 'BECK' END AS spectrometer,
- CAST(list_count(list_filter(refl, lambda v: v >= -0.2)) AS INTEGER) AS n_present, round(list_sum(list_filter(refl, lambda v: v >= -0.2)), 5) + 0.0 AS total FROM pix WHERE vec_id % 7 <> 3 AND vec_id % 13 <> 5 AND vec_id % 17 <> 4 AND vec_id % 19 <> 6""")
-def io2(spark, d):
+def library_files(spark, d) -> DataFrame:
     p = pix(spark, d)
     vid = F.col("vec_id")
     token = F.when(vid % 13 == 5, "_OTHER").when(vid % 2 == 0, "_ASDFRa").otherwise("_BECKb")
@@ -261,13 +259,52 @@ def io2(spark, d):
         F.when(vid % 17 == 4, "ite").otherwise(""), F.lit("_"), vid, token, F.lit(".txt"))
     cells = F.transform("refl", lambda v: F.when(v >= -0.2, v).otherwise(F.lit(-1.23e34)).cast("string"))
     kept = F.when(vid % 7 == 3, F.slice(cells, 1, 60)).otherwise(cells)
-    files = p.select(name.alias("file_name"), F.concat(F.lit("header line\n"), F.array_join(kept, "\n"), F.lit("\n")).alias("value"))
+    return p.select(name.alias("file_name"), F.concat(F.lit("header line\n"), F.array_join(kept, "\n"), F.lit("\n")).alias("value"))
+
+
+@query("io2_library_parse", """SELECT 'm' || label AS mineral, 'set1_' || CASE WHEN vec_id % 11 = 0 THEN 'M' ELSE 'm' END || label || CASE WHEN vec_id % 17 = 4 THEN 'ite' ELSE '' END || '_' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '_ASDFRa' ELSE '_BECKb' END AS sample, CASE WHEN vec_id % 2 = 0 THEN 'ASD' ELSE 'BECK' END AS spectrometer,
+ CAST(list_count(list_filter(refl, lambda v: v >= -0.2)) AS INTEGER) AS n_present, round(list_sum(list_filter(refl, lambda v: v >= -0.2)), 5) + 0.0 AS total FROM pix WHERE vec_id % 7 <> 3 AND vec_id % 13 <> 5 AND vec_id % 17 <> 4 AND vec_id % 19 <> 6""")
+def io2(spark, d):
+    files = library_files(spark, d)
     sizes = spark.createDataFrame([("ASD", N_BANDS), ("BECK", N_BANDS)], "spectrometer string, n_bands int")
     good, _ = SRC.parse_library(files, [f"m{i}" for i in range(10)], sizes, "set1")
     present = F.filter("refl", lambda v: v.isNotNull())
     return good.select("mineral", "sample", "spectrometer", F.size(present).alias("n_present"), (F.round(F.aggregate(present, F.lit(0.0), lambda s, v: s + v), 5) + F.lit(0.0)).alias("total"))
 
 
+# micrometres; the second spectrometer has other bands, one of them deleted
+AXES = {"set1_Wavelengths_ASDFR.txt": [0.4 + 0.033 * b for b in range(N_BANDS)], "set1_Wavelengths_BECK.txt": [0.41 + 0.0315 * b if b != 20 else -1.23e34 for b in range(N_BANDS)]}
+SENSOR_NM = [410.0 + 71.5 * i for i in range(32)]
+VIEWS["libtext"] = """SELECT *, CASE WHEN vec_id % 13 = 5 THEN NULL WHEN vec_id % 2 = 0 THEN 'ASD' ELSE 'BECK' END AS spectrometer, CASE WHEN vec_id % 19 = 6 THEN 'set2_' ELSE 'set1_' END || CASE WHEN vec_id % 11 = 0 THEN 'M' ELSE 'm' END || label || CASE WHEN vec_id % 17 = 4 THEN 'ite' ELSE '' END || '_' || vec_id || CASE WHEN vec_id % 13 = 5 THEN '_OTHER' WHEN vec_id % 2 = 0 THEN '_ASDFRa' ELSE '_BECKb' END AS sample,
+ CASE WHEN vec_id % 19 = 6 OR vec_id % 17 = 4 THEN 'unknown_mineral' WHEN vec_id % 13 = 5 THEN 'unknown_spectrometer' WHEN vec_id % 7 = 3 THEN 'length_mismatch' END AS reason FROM pix"""
+
+
+def library_tree(spark, d) -> DataFrame:
+    """Value files and the wavelength files of both spectrometers."""
+    axes = [(name, "micrometres\n" + "\n".join(map(repr, values)) + "\n") for name, values in AXES.items()]
+    return library_files(spark, d).unionByName(spark.createDataFrame(axes, "file_name string, value string"))
+
+
+def on_sensor(spark, d) -> tuple[DataFrame, DataFrame]:
+    targets = spark.createDataFrame(list(enumerate(SENSOR_NM)), "target_index int, target_nm double")
+    return SRC.library_on_axis(library_tree(spark, d), [f"m{i}" for i in range(10)], "set1", targets)
+
+
+@query("io2_library_on_sensor", """WITH s AS (SELECT 'm' || label AS mineral, sample, spectrometer, CASE WHEN spectrometer = 'ASD' THEN 400 + 33.0::DOUBLE * b ELSE 410 + 31.5::DOUBLE * b END AS wl, refl[b + 1] AS value FROM libtext CROSS JOIN range(64) r(b) WHERE reason IS NULL AND refl[b + 1] >= -0.2 AND NOT (spectrometer = 'BECK' AND b = 20)),
+ g AS (SELECT DISTINCT 'm' || label AS mineral, sample, spectrometer, i, 410.0::DOUBLE + 71.5::DOUBLE * i AS t FROM libtext CROSS JOIN range(32) r(i) WHERE reason IS NULL),
+ n AS (SELECT g.*, max(s.wl) FILTER (WHERE s.wl <= g.t + 1e-7) AS w0, arg_max(s.value, s.wl) FILTER (WHERE s.wl <= g.t + 1e-7) AS v0, min(s.wl) FILTER (WHERE s.wl >= g.t - 1e-7) AS w1, arg_min(s.value, s.wl) FILTER (WHERE s.wl >= g.t - 1e-7) AS v1 FROM g LEFT JOIN s ON s.sample = g.sample GROUP BY ALL)
+ SELECT mineral, sample, spectrometer, CAST(i AS INTEGER) AS target_index, round(CASE WHEN w1 - w0 < 1e-6 THEN v0 WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * (t - w0) / (w1 - w0) END, 5) + 0.0 AS value FROM n""")
+def io2_sensor(spark, d):
+    good, _ = on_sensor(spark, d)
+    return good.select("mineral", "sample", "spectrometer", "target_index", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@query("io2_library_rejects", "SELECT sample, spectrometer, reason FROM libtext WHERE reason IS NOT NULL")
+def io2_rejects(spark, d):
+    _, rejects = on_sensor(spark, d)
+    return rejects.select("sample", "spectrometer", "reason")
+
+
 @query("io4_fill_values", """SELECT CAST(i AS INTEGER) AS band_index, count(CASE WHEN v >= -0.3 AND i % 16 <> 15 THEN v END) AS n_present, round(sum(CASE WHEN v >= -0.3 AND i % 16 <> 15 THEN v END), 5) + 0.0 AS total FROM (SELECT unnest(range(64)) AS i, unnest(refl) AS v FROM pix) GROUP BY i""")
 def io4(spark, d):
     coded = pix(spark, d).select(F.transform("refl", lambda v: F.when(v >= -0.3, v).otherwise(F.lit(-9999.0))).alias("refl"))

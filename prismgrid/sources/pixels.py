@@ -48,6 +48,14 @@ def read_library_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _spectrometer() -> Column:
+    """Spectrometer whose token the file name holds."""
+    name = F.lit(None).cast("string")
+    for token, known in reversed(list(SPECTROMETERS.items())):
+        name = F.when(F.contains("file_name", F.lit(token)), F.lit(known)).otherwise(name)
+    return name
+
+
 def parse_library(files: DataFrame, minerals: list[str], grids: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
     """Spectra and rejects from library texts (header line, then one value per line).
 
@@ -58,9 +66,7 @@ def parse_library(files: DataFrame, minerals: list[str], grids: DataFrame, colle
     lower = F.lower("file_name")
     names = F.array(*[F.lit(m) for m in sorted(minerals)])
     mineral = F.explode_outer(F.filter(names, lambda m: F.startswith(lower, F.concat(F.lit(f"{collection.lower()}_"), F.lower(m), F.lit("_")))))
-    spectrometer = F.lit(None).cast("string")
-    for token, name in reversed(list(SPECTROMETERS.items())):
-        spectrometer = F.when(F.contains("file_name", F.lit(token)), F.lit(name)).otherwise(spectrometer)
+    spectrometer = _spectrometer()
     lines = F.filter(F.expr(r"slice(split(value, '\r?\n'), 2, size(split(value, '\r?\n')))"), lambda s: F.trim(s) != "")
     values = F.transform(F.transform(lines, lambda s: s.try_cast("double")), lambda v: F.when(v > DELETED, v))
     rows = files.select(
@@ -76,6 +82,37 @@ def parse_library(files: DataFrame, minerals: list[str], grids: DataFrame, colle
     return good, j.where(F.col("reason").isNotNull()).select("mineral", "sample", "spectrometer", "reason")
 
 
+def parse_axes(files: DataFrame) -> DataFrame:
+    """``spectrometer, n_bands, axis_nm`` from wavelength texts (header line, then one value in micrometres per line).
+
+    A file is known as an axis by a spectrometer token and the word "wavelength" in its name, in any case; of
+    several of one spectrometer the first by name counts.  Deleted channels have no wavelength.
+    """
+    kind = _spectrometer()
+    lines = F.filter(F.expr(r"slice(split(value, '\r?\n'), 2, size(split(value, '\r?\n')))"), lambda s: F.trim(s) != "")
+    axis = F.transform(F.transform(lines, lambda s: s.try_cast("double")), lambda v: F.when(v > DELETED, v * 1000.0))
+    rows = files.where(F.contains(F.lower("file_name"), F.lit("wavelength")) & kind.isNotNull()).select(kind.alias("spectrometer"), "file_name", axis.alias("axis_nm"))
+    return rows.groupBy("spectrometer").agg(F.min_by("axis_nm", "file_name").alias("axis_nm")).select("spectrometer", F.size("axis_nm").alias("n_bands"), "axis_nm")
+
+
+def library_on_axis(files: DataFrame, minerals: list[str], collection: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Library spectra resampled to a sensor, and the rejected files.
+
+    Value files meet the wavelength file of their spectrometer among ``files``.  ``targets(target_index, target_nm)``
+    is the sensor's axis; returns ``mineral, sample, spectrometer, target_index, target_nm, value`` (missing outside the
+    sampled range) and ``mineral, sample, spectrometer, reason``.
+    """
+    from ..operators.library import resample
+
+    axes = parse_axes(files)
+    spectra = files.where(~F.contains(F.lower("file_name"), F.lit("wavelength")))
+    good, rejects = parse_library(spectra, minerals, axes.select("spectrometer", "n_bands"), collection)
+    pairs = F.explode(F.arrays_zip(F.col("axis_nm").alias("wavelength_nm"), F.col("refl").alias("value"))).alias("p")
+    long = good.join(F.broadcast(axes.select("spectrometer", "axis_nm")), "spectrometer").select("mineral", "sample", "spectrometer", pairs)
+    long = long.select("mineral", "sample", "spectrometer", F.col("p.wavelength_nm").alias("wavelength_nm"), F.col("p.value").alias("value")).where("wavelength_nm IS NOT NULL")
+    return resample(long, ["mineral", "sample", "spectrometer"], targets), rejects
+
+
 def checksum_manifest(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """``path, bytes, sha256`` of every file below ``path``, by name relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
