@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import running_totals, suffix_minimum
+
 # fixed values
 INTERVAL = (0.025, 0.975)
 FINITE_SHARE = 0.95
@@ -13,23 +15,27 @@ FINITE_SHARE = 0.95
 def adjust_p_values(df: DataFrame, family: list[str], p: str = "p_value", eligible: Column | None = None) -> DataFrame:
     """Benjamini-Hochberg within each family; missing or ineligible rows stay NULL (``q_value``).
 
-    A family is the list of endpoints of one analysis, so the window is over result rows.
+    Equal p-values share the rank of the last of them and so the adjusted value: counts of distinct p-values
+    are enough.  Ranks are running totals and the running minimum from the top is carried over value ranges, so a
+    family of any size is spread over tasks.
     """
     use = F.col(p).isNotNull() if eligible is None else F.col(p).isNotNull() & F.coalesce(eligible, F.lit(False))
-    rows = df.withColumn("_p", F.when(use, F.col(p)))
-    by = Window.partitionBy(*family, F.col("_p").isNull())
-    m = F.count("_p").over(by)
-    rank = F.row_number().over(by.orderBy("_p"))
-    raw = rows.withColumn("_raw", F.col("_p") * m / rank).withColumn("_rank", rank)
-    from_top = by.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(from_top)))
-    return raw.withColumn("q_value", F.when(F.col("_p").isNotNull(), q)).drop("_p", "_raw", "_rank")
+    rows = df.withColumn("_p", F.when(use, F.col(p).cast("double")))
+    # a struct as key keeps families with missing names apart and together
+    rows = rows.withColumn("_f", F.to_json(F.struct(*family)) if family else F.lit(""))
+    counts = rows.where(F.col("_p").isNotNull()).groupBy("_f", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, ["_f"], "_p", ["_n"])
+    size = counts.groupBy("_f").agg(F.sum("_n").alias("_m"))
+    raw = ranked.join(size, "_f").select("_f", "_p", (F.col("_p") * F.col("_m") / F.col("cum__n")).alias("_raw"))
+    low = suffix_minimum(raw, ["_f"], "_p", "_raw").select("_f", "_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("min__raw"))).alias("q_value"))
+    return rows.join(low, ["_f", "_p"], "left").select(*df.columns, "q_value")
 
 
 def adjust_complete_families(df: DataFrame, family: list[str], p: str = "p_value") -> DataFrame:
     """As above, but one missing p-value makes the whole family unavailable."""
-    complete = F.bool_and(F.col(p).isNotNull()).over(Window.partitionBy(*family))
-    return adjust_p_values(df.withColumn("_complete", complete), family, p, F.col("_complete")).drop("_complete")
+    named = df.withColumn("_g", F.to_json(F.struct(*family)) if family else F.lit(""))
+    complete = named.groupBy("_g").agg(F.bool_and(F.col(p).isNotNull()).alias("_complete"))
+    return adjust_p_values(named.join(complete, "_g").drop("_g"), family, p, F.col("_complete")).drop("_complete")
 
 
 def governed_interval(reps: DataFrame, keys: list[str], value: str, scheduled: int) -> DataFrame:

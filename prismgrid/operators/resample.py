@@ -20,6 +20,8 @@ from .stats import _bucket, attach, spearman, value_edges
 MAX_ORDERINGS = 9999
 SLICE = 2048
 BUCKET_ROWS = 50_000
+#: Blocks of a side of a tile of the numerator matrix.
+TILE_BLOCKS = 256
 
 
 def pair_numerators(
@@ -28,7 +30,8 @@ def pair_numerators(
     """AUC numerator for every (positive block, negative block) of a key: ``p_block, n_block, u``.
 
     Scores are cut into buckets.  Pairs in different buckets follow from block-by-bucket counts, pairs in
-    one bucket from that bucket's distinct scores, so no task sees a whole key and no pixel pair is formed.
+    one bucket from that bucket's distinct scores.  Blocks are cut into groups of about ``TILE_BLOCKS``, and a task
+    multiplies one group's positives by one group's negatives, so no task sees a whole key and no pixel pair is formed.
     The number of buckets follows the largest key unless ``steps`` fixes it at ``2**steps``.
     """
     counts = (
@@ -48,28 +51,44 @@ def pair_numerators(
     )
 
     def product(pdf: pd.DataFrame, axis: str, ties: float) -> pd.DataFrame:
-        blk, names = pd.factorize(pdf["_blk"], sort=True)
+        is_pos = pdf["_side"].to_numpy() == 0
+        # blocks of either side have their own numbers: a tile holds some blocks as positives, some as negatives
+        sides = [pd.factorize(pdf["_blk"][m], sort=True) for m in (is_pos, ~is_pos)]
         val, levels = pd.factorize(pdf[axis], sort=True)
-        p, n = pdf["_p"].to_numpy(float), pdf["_n"].to_numpy(float)
-        order = np.argsort(val, kind="stable")
-        u, carried = np.zeros((len(names), len(names))), np.zeros(len(names))
+        weights = (pdf["_p"].to_numpy(float)[is_pos], pdf["_n"].to_numpy(float)[~is_pos])
+        cells = []
+        for (blk, _), w, m in zip(sides, weights, (is_pos, ~is_pos), strict=True):
+            order = np.argsort(val[m], kind="stable")
+            cells.append((val[m][order], blk[order], w[order]))
+        p_names, n_names = (np.asarray(names) for _, names in sides)
+        u, carried = np.zeros((len(p_names), len(n_names))), np.zeros(len(n_names))
         # slices of the sorted levels keep the dense part small; negatives below carry over
         for start in range(0, len(levels), SLICE):
-            lo, hi = np.searchsorted(val[order], [start, start + SLICE])
-            rows = order[lo:hi]
             size = min(SLICE, len(levels) - start)
-            pos, neg = np.zeros((size, len(names))), np.zeros((size, len(names)))
-            np.add.at(pos, (val[rows] - start, blk[rows]), p[rows])
-            np.add.at(neg, (val[rows] - start, blk[rows]), n[rows])
+            dense = []
+            for (v, blk, w), names in zip(cells, (p_names, n_names), strict=True):
+                lo, hi = np.searchsorted(v, [start, start + SLICE])
+                dense.append(np.bincount((v[lo:hi] - start) * len(names) + blk[lo:hi], w[lo:hi], size * len(names)).reshape(size, -1))
+            pos, neg = dense
             u += pos.T @ (carried + np.cumsum(neg, axis=0) - neg + ties * neg)
             carried += neg.sum(axis=0)
         i, j = np.nonzero(u)
         head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**head, "p_block": np.asarray(names)[i], "n_block": np.asarray(names)[j], "u": u[i, j]})[[f.name for f in out.fields]]
+        return pd.DataFrame({**head, "p_block": p_names[i], "n_block": n_names[j], "u": u[i, j]})[[f.name for f in out.fields]]
+
+    sizes = counts.groupBy(*keys).agg(F.ceil(F.countDistinct("_blk") / F.lit(float(TILE_BLOCKS))).cast("int").alias("_g"))
+
+    def tiled(df: DataFrame, by: list[str], axis: str, ties: float) -> DataFrame:
+        own = attach(df, sizes, keys).withColumn("_own", F.pmod(F.hash("_blk"), F.col("_g")))
+        every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+        cols = [*dict.fromkeys([*by, axis]), "_blk", "_p", "_n"]
+        pos = own.where("_p > 0").select(*cols, F.lit(0).alias("_side"), F.col("_own").alias("_i"), every.alias("_j"))
+        neg = own.where("_n > 0").select(*cols, F.lit(1).alias("_side"), every.alias("_i"), F.col("_own").alias("_j"))
+        both = pos.unionByName(neg)
+        return both.groupBy(*by, "_i", "_j").applyInPandas(lambda pdf: product(pdf, axis, ties), out)
 
     across = b.groupBy(*keys, "_b", "_blk").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    far = across.groupBy(*keys).applyInPandas(lambda pdf: product(pdf, "_b", 0.0), out)
-    near = b.groupBy(*keys, "_b").applyInPandas(lambda pdf: product(pdf, "_s", 0.5), out)
+    far, near = tiled(across, keys, "_b", 0.0), tiled(b, [*keys, "_b"], "_s", 0.5)
     return far.unionByName(near).groupBy(*keys, "p_block", "n_block").agg(F.sum("u").alias("u"))
 
 

@@ -85,6 +85,20 @@ def running_totals(
     )
 
 
+def suffix_minimum(df: DataFrame, keys: list[str], value: str, column: str, steps: int = 6) -> DataFrame:
+    """Smallest ``column`` over the rows of the key with the same or a larger ``value``: adds ``min_<column>``.
+
+    Values are cut into ranges; the minima of the ranges above are carried down, so no key is one task.
+    """
+    df = cut(df)
+    b = attach(df, value_edges(df, keys, value, steps), keys).withColumn("_b", _bucket(F.col(value), F.col("_edges"), steps)).drop("_edges")
+    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = b.groupBy(*keys, "_b").agg(F.min(column).alias("_m")).select(*keys, "_b", F.min("_m").over(above).alias("_up"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = F.least(F.min(column).over(inside), F.col("_up"))
+    return b.join(carried, [*keys, "_b"]).select(*df.columns, lowest.alias(f"min_{column}"))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
