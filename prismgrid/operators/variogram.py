@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # fixed values: pixel lags and the four directions
 LAGS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128]
 DIRECTIONS = [(0, 1), (1, 0), (1, 1), (1, -1)]
@@ -75,73 +75,83 @@ def empirical_semivariogram(
     )
 
 
-def profile_fit(distance: np.ndarray, gamma: np.ndarray) -> tuple[float, float, float]:
-    """Least squares of ``nugget + sill * (1 - exp(-d / scale))`` with both amounts non-negative.
+#: Candidates of the first search and of each closer one, and how often it is repeated.
+FIRST_SCALES, ZOOM_SCALES, ZOOMS = 800, 33, 6
+
+
+def _best_scales(rows: DataFrame, keys: list[str], candidates: int) -> DataFrame:
+    """The best of evenly spaced log scales in ``[lo, hi]`` of each key: ``keys, q, lo, hi, best(s, nugget, sill)``.
 
-    For a given scale the two amounts have a closed form, so only the scale is searched.
+    One row per key and candidate; for a scale the two amounts have a closed form from five sums over the lags.
     """
-    def solve(scale: float) -> tuple[float, float, float]:
-        g = 1.0 - np.exp(-distance / scale)
-        gm, ym = g.mean(), gamma.mean()
-        var = ((g - gm) ** 2).sum()
-        sill = ((g - gm) * (gamma - ym)).sum() / var if var > 0 else 0.0
-        nugget = ym - sill * gm
-        options = [(max(nugget, 0.0), max(sill, 0.0))] if nugget >= 0 and sill >= 0 else [
-            (0.0, max((g * gamma).sum() / (g * g).sum(), 0.0) if (g * g).sum() > 0 else 0.0), (max(ym, 0.0), 0.0)]
-        errors = [((gamma - n - s * g) ** 2).sum() for n, s in options]
-        k = int(np.argmin(errors))
-        return errors[k], *options[k]
-
-    scales = np.geomspace(distance[distance > 0].min() / 50.0, distance.max() * 200.0, 800)
-    k = int(np.argmin([solve(s)[0] for s in scales]))
-    lo, hi = math.log(scales[max(0, k - 1)]), math.log(scales[min(len(scales) - 1, k + 1)])
-    ratio = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-        if solve(math.exp(a))[0] <= solve(math.exp(b))[0]:
-            hi = b
-        else:
-            lo = a
-    scale = math.exp((lo + hi) / 2)
-    _, nugget, sill = solve(scale)
-    return nugget, sill, scale
+    c = F.col
+    each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("s", c("lo") + (c("hi") - c("lo")) * c("i") / F.lit(float(candidates - 1)))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("g", "y", "gg", "gy", "yy", "gc", "cc")])
+
+    def add(t, p):
+        g = 1.0 - F.exp(-p["d"] / F.exp("s"))
+        return F.struct((t["g"] + g).alias("g"), (t["y"] + p["y"]).alias("y"), (t["gg"] + g * g).alias("gg"), (t["gy"] + g * p["y"]).alias("gy"), (t["yy"] + p["y"] * p["y"]).alias("yy"), (t["gc"] + g * p["c"]).alias("gc"), (t["cc"] + p["c"] * p["c"]).alias("cc"))
+
+    each = each.withColumn("t", F.aggregate("q", zero, add)).withColumn("n", F.size("q").cast("double"))
+    t = {k: c(f"t.{k}") for k in ("g", "y", "gg", "gy", "yy", "gc", "cc")}
+    # the free fit by values less their mean, as a large nugget would hide small errors
+    spread = t["gg"] - t["g"] * t["g"] / c("n")
+    each = each.withColumn("b", F.when(spread > 0, t["gc"] / spread).otherwise(0.0)).withColumn("a", (t["y"] - c("b") * t["g"]) / c("n"))
+    # neither amount may be negative: else the better of no nugget and no sill
+    slope = F.when(t["gg"] > 0, F.greatest(t["gy"] / t["gg"], F.lit(0.0))).otherwise(0.0)
+    flat = F.greatest(t["y"] / c("n"), F.lit(0.0))
+
+    def error(a, b):
+        return t["yy"] + c("n") * a * a + b * b * t["gg"] - a * t["y"] * 2.0 - b * t["gy"] * 2.0 + a * b * t["g"] * 2.0
+
+    def option(a, b):
+        return F.struct(error(a, b).alias("e"), a.alias("nugget"), b.alias("sill"))
+
+    free = (c("a") >= 0) & (c("b") >= 0)
+    edge = F.least(option(F.lit(0.0), slope), option(flat, F.lit(0.0)))
+    each = each.withColumn("o", F.when(free, F.struct((t["cc"] - c("b") * t["gc"]).alias("e"), c("a").alias("nugget"), c("b").alias("sill"))).otherwise(edge))
+    best = F.min_by(F.struct("s", c("o.nugget").alias("nugget"), c("o.sill").alias("sill")), F.struct(c("o.e"), "i"))
+    return each.groupBy(*keys).agg(*[F.first(x).alias(x) for x in ("q", "lo", "hi", "field_variance")], best.alias("best"))
 
 
 def fit_exponential(points: DataFrame, variances: DataFrame, keys: list[str]) -> DataFrame:
     """Exponential fit per field with the stated fallbacks: few lags, no sill, range past the last lag.
 
-    ``points`` from ``empirical_semivariogram`` (at most 14 per field), ``variances(keys, field_variance)``.
+    Least squares of ``nugget + sill * (1 - exp(-d / scale))`` with both amounts non-negative.  The scale is searched
+    over candidate rows of all fields at once, each round closer around the best.  ``points`` from
+    ``empirical_semivariogram`` (at most 14 per field), ``variances(keys, field_variance)``.
     The practical range is ``-scale * ln(0.05)``; a fallback takes the first lag at 95 percent of the
     field variance, else the largest lag.
     """
-    j = points.join(variances, keys)
-    types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", nugget double, sill double, scale double, practical_range double, method string, reason string"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("lag_pixels")
-        p = p[np.isfinite(p["semivariance"])]
-        d, g, var = p["distance"].to_numpy(float), p["semivariance"].to_numpy(float), float(pdf["field_variance"].iloc[0])
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-
-        def fallback(reason: str) -> pd.DataFrame:
-            reached = np.flatnonzero(g >= 0.95 * var)
-            at = d[reached[0]] if reached.size else d[-1]
-            name = "first_lag_at_95pct_variance" if reached.size else "largest_evaluated_lag"
-            return pd.DataFrame({**head, "nugget": [np.nan], "sill": [np.nan], "scale": [np.nan], "practical_range": [float(at)],
-                                 "method": [f"empirical_fallback_{name}"], "reason": [reason]})
-
-        if len(d) < 3:
-            return fallback("fewer_than_three_lags")
-        nugget, sill, scale = profile_fit(d, g)
-        reach = -scale * math.log(0.05)
-        if not np.all(np.isfinite([nugget, sill, scale, reach])) or sill <= 0:
-            return fallback("nonfinite_or_nonpositive_sill")
-        if reach > d.max():
-            return fallback("fitted_practical_range_beyond_largest_evaluated_lag")
-        return pd.DataFrame({**head, "nugget": [nugget], "sill": [sill], "scale": [scale], "practical_range": [reach],
-                             "method": ["exponential_bounded_least_squares"], "reason": [None]})
-
-    out = j.groupBy(*keys).applyInPandas(fit, schema)
-    clean = {c: F.when(~F.isnan(c), F.col(c)) for c in ("nugget", "sill", "scale")}
-    return out.withColumns(clean)
+    c = F.col
+    finite = c("semivariance").isNotNull() & ~F.isnan("semivariance")
+    lags = F.array_sort(F.collect_list(F.when(finite, F.struct(c("distance").alias("d"), c("semivariance").alias("y")))))
+    fields = cut(points.groupBy(*keys).agg(lags.alias("q")).join(variances, keys).where(F.size("q") > 0))
+    mean = F.aggregate("q", F.lit(0.0), lambda m, p: m + p["y"]) / F.size("q")
+    fields = fields.withColumn("_mean", mean).withColumn("q", F.transform("q", lambda p: F.struct(p["d"].alias("d"), p["y"].alias("y"), (p["y"] - F.col("_mean")).alias("c")))).drop("_mean")
+    positive = F.transform(F.filter("q", lambda p: p["d"] > 0), lambda p: p["d"])
+    search = fields.where(F.size("q") >= 3).withColumn("lo", F.log(F.array_min(positive) / 50.0)).withColumn("hi", F.log(F.array_max(positive) * 200.0))
+    search = search.withColumn("floor", c("lo")).withColumn("top", c("hi"))
+    bounds = search.select(*keys, "floor", "top")
+    found = _best_scales(search.drop("floor", "top"), keys, FIRST_SCALES)
+    for k in range(ZOOMS):
+        step = (c("hi") - c("lo")) / F.lit(float((FIRST_SCALES if k == 0 else ZOOM_SCALES) - 1))
+        near = found.join(bounds, keys).withColumn("_lo", F.greatest("floor", c("best.s") - step)).withColumn("hi", F.least("top", c("best.s") + step))
+        found = _best_scales(near.select(*keys, "q", "field_variance", c("_lo").alias("lo"), "hi"), keys, ZOOM_SCALES)
+    fitted = found.select(*keys, F.exp("best.s").alias("_scale"), c("best.nugget").alias("_nugget"), c("best.sill").alias("_sill"))
+    j = fields.join(fitted, keys, "left").withColumn("_reach", c("_scale") * F.lit(-math.log(0.05)))
+    last = F.element_at("q", -1)["d"]
+    reached = F.filter("q", lambda p: p["y"] >= c("field_variance") * 0.95)
+    reason = (
+        F.when(F.size("q") < 3, "fewer_than_three_lags")
+        .when(c("_sill").isNull() | F.isnan("_sill") | (c("_sill") <= 0) | F.isnan("_reach"), "nonfinite_or_nonpositive_sill")
+        .when(c("_reach") > last, "fitted_practical_range_beyond_largest_evaluated_lag")
+    )
+    good = reason.isNull()
+    hit = F.size(reached) > 0
+    fallback = F.when(hit, "empirical_fallback_first_lag_at_95pct_variance").otherwise("empirical_fallback_largest_evaluated_lag")
+    return j.select(
+        *keys, *[F.when(good, c(f"_{n}")).alias(n) for n in ("nugget", "sill", "scale")],
+        F.when(good, c("_reach")).when(hit, F.get(reached, 0)["d"]).otherwise(last).alias("practical_range"),
+        F.when(good, "exponential_bounded_least_squares").otherwise(fallback).alias("method"), reason.alias("reason"),
+    )

@@ -40,10 +40,30 @@ def a28_thin(spark, d):
     return rounded(semivariogram(spark, d, 5000).drop("distance"), "semivariance")
 
 
-@query("a29_variogram_fit")
+def _fit_sql() -> str:
+    """The zooming search over scales, one row per site and candidate, as CTEs that end in ``fit(site, s, nugget, sill)``."""
+    out = """pts AS MATERIALIZED (SELECT *, y - avg(y) OVER (PARTITION BY site) AS c FROM (SELECT site, lag * 30.0::DOUBLE AS d, 0.5 * avg(sq) AS y FROM vord GROUP BY site, lag)), fv AS (SELECT site, var_pop(score) AS fv FROM ev GROUP BY site),
+ b0 AS (SELECT site, ln(min(d) / 50) AS bottom, ln(max(d) * 200) AS top, ln(min(d) / 50) AS lo, ln(max(d) * 200) AS hi FROM pts GROUP BY site HAVING count(*) >= 3)"""
+    for k in range(V.ZOOMS + 1):
+        m = V.FIRST_SCALES if k == 0 else V.ZOOM_SCALES
+        out += f""",
+ t{k} AS (SELECT e.site, bottom, top, lo, hi, i, s, count(*)::DOUBLE AS n, sum(g) AS sg, sum(y) AS sy, sum(g * g) AS sgg, sum(g * y) AS sgy, sum(y * y) AS syy, sum(g * c) AS sgc, sum(c * c) AS scc FROM (SELECT e.*, p.y, p.c, 1 - exp(-p.d / exp(s)) AS g FROM (SELECT b.*, i, lo + (hi - lo) * i / {m - 1}::DOUBLE AS s FROM b{k} b CROSS JOIN range({m}) r(i)) e JOIN pts p ON p.site = e.site) e GROUP BY ALL),
+ a{k} AS (SELECT *, (sy - b * sg) / n AS a, CASE WHEN sgg > 0 THEN greatest(sgy / sgg, 0) ELSE 0 END AS slope, greatest(sy / n, 0) AS flat FROM (SELECT *, CASE WHEN sgg - sg * sg / n > 0 THEN sgc / (sgg - sg * sg / n) ELSE 0 END AS b FROM t{k})),
+ o{k} AS (SELECT *, CASE WHEN free THEN ef WHEN es <= el THEN es ELSE el END AS e, CASE WHEN free THEN a WHEN es <= el THEN 0 ELSE flat END AS nugget, CASE WHEN free THEN b WHEN es <= el THEN slope ELSE 0 END AS sill FROM (SELECT *, a >= 0 AND b >= 0 AS free, scc - b * sgc AS ef, syy + slope * slope * sgg - 2 * slope * sgy AS es, syy + n * flat * flat - 2 * flat * sy AS el FROM a{k})),
+ b{k + 1} AS (SELECT site, bottom, top, greatest(bottom, s - (hi - lo) / {m - 1}::DOUBLE) AS lo, least(top, s + (hi - lo) / {m - 1}::DOUBLE) AS hi, s, nugget, sill FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY e, i) AS r FROM o{k}) WHERE r = 1)"""
+    for k in range(1, V.ZOOMS + 1):
+        out = out.replace(f"SELECT b.*, i, lo + (hi - lo) * i / {V.ZOOM_SCALES - 1}::DOUBLE AS s FROM b{k} b", f"SELECT b.site, bottom, top, lo, hi, i, lo + (hi - lo) * i / {V.ZOOM_SCALES - 1}::DOUBLE AS s FROM b{k} b")
+    return out + f", fit AS (SELECT site, exp(s) AS scale, nugget, sill, -exp(s) * ln(0.05::DOUBLE) AS reach FROM b{V.ZOOMS + 1})"
+
+
+@query("a29_variogram_fit", f"""WITH {_fit_sql()}, r AS (SELECT p.site, count(*) AS n, max(d) AS last, min(d) FILTER (WHERE y >= 0.95::DOUBLE * fv) AS hit FROM pts p JOIN fv USING (site) GROUP BY p.site),
+ j AS (SELECT r.*, f.*, CASE WHEN n < 3 THEN 'fewer_than_three_lags' WHEN sill IS NULL OR sill <= 0 THEN 'nonfinite_or_nonpositive_sill' WHEN reach > last THEN 'fitted_practical_range_beyond_largest_evaluated_lag' END AS reason FROM r LEFT JOIN fit f USING (site))
+ SELECT site, CASE WHEN reason IS NULL THEN round(nugget, 3) + 0.0 END AS nugget, CASE WHEN reason IS NULL THEN round(sill, 3) + 0.0 END AS sill, CASE WHEN reason IS NULL THEN round(scale, 3) + 0.0 END AS scale, round(CASE WHEN reason IS NULL THEN reach ELSE coalesce(hit, last) END, 3) + 0.0 AS practical_range,
+ CASE WHEN reason IS NULL THEN 'exponential_bounded_least_squares' WHEN hit IS NOT NULL THEN 'empirical_fallback_first_lag_at_95pct_variance' ELSE 'empirical_fallback_largest_evaluated_lag' END AS method, reason FROM j""")
 def a29(spark, d):
     v = ev(spark, d).groupBy("site").agg(F.var_pop("score").alias("field_variance"))
-    return rounded(V.fit_exponential(semivariogram(spark, d, None), v, ["site"]), "nugget", "sill", "scale", "practical_range")
+    out = V.fit_exponential(semivariogram(spark, d, None), v, ["site"])
+    return out.select("site", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("nugget", "sill", "scale", "practical_range")], "method", "reason")
 
 
 # ---- patches -------------------------------------------------------------------------------------------
