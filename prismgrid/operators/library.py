@@ -108,6 +108,17 @@ def valid_bands(library: DataFrame, training: DataFrame, width: int, refl: str =
     return gaps.where("gaps = 0").select("band_index").join(bands_with_data(training, width, refl), "band_index")
 
 
+def valid_bands_by(library: DataFrame, training: DataFrame, keys: list[str], width: int, refl: str = "refl") -> DataFrame:
+    """Bands of every fit at once: ``keys, band_index`` present in every endmember and in a training pixel of the key.
+
+    Which bands a pixel has is an array of flags, so pixels are aggregated as arrays and never laid out by band.
+    """
+    gaps = long_spectra(library, [], refl).groupBy("band_index").agg(F.count_if(F.col("value").isNull() | F.isnan("value")).alias("gaps"))
+    counts = [F.count_if(F.get(refl, i).isNotNull() & ~F.isnan(F.get(refl, i))).alias(f"_{i}") for i in range(width)]
+    seen = training.groupBy(*keys).agg(*counts).select(*keys, F.posexplode(F.array(*[F.col(f"_{i}") for i in range(width)])).alias("band_index", "_n"))
+    return seen.where("_n > 0").join(gaps.where("gaps = 0").select("band_index"), "band_index").select(*keys, "band_index")
+
+
 def shoulders(spectra: DataFrame, keys: list[str], lo_nm: Column, hi_nm: Column, center: Column | None = None) -> DataFrame:
     """Absorption and both shoulders of a long spectrum ``(keys, wavelength_nm, value)`` in a window.
 

@@ -431,7 +431,7 @@ def x16(spark, d):
 
     names, s = strict_scores(spark, d)
     a = score_rows(s, names, ["scene", "vec_id", "label"]).select("scene", "vec_id", "label", "mineral", F.col("mf").alias("strict"))
-    j = a.join(mf_long(spark, d).select("vec_id", "mineral", F.col("mf").alias("full_")), ["vec_id", "mineral"]).withColumn("ref", (F.col("label") == F.col("mineral")).cast("int"))
+    j = a.join(mf_long(spark, d, [0, 1]).select("vec_id", "mineral", F.col("mf").alias("full_")), ["vec_id", "mineral"]).withColumn("ref", (F.col("label") == F.col("mineral")).cast("int"))
     return rounded(P.strict_against_full(j, ["scene", "mineral"], "strict", "full_"), "strict_auc", "full_auc", "delta")
 
 

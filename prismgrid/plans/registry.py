@@ -106,6 +106,39 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: Views that several others read: computed once.
+MATERIALIZED: set[str] = set()
+
+
+def filter_views(tag: str, pixels: str, values: str, targets: str) -> None:
+    """Matched filter of any number of bands as views ending in ``mf{tag}``, the inverse by Gauss-Jordan elimination.
+
+    ``pixels``: vec_id, row_i, col_i, label; ``values``: vec_id, band_index, value; ``targets``: mineral, band_index, value.
+    """
+    VIEWS.update({
+        f"val{tag}": values,
+        f"mean{tag}": f"SELECT band_index, avg(value) AS mean, row_number() OVER (ORDER BY band_index) - 1 AS r, count(*) OVER () AS nb FROM val{tag} GROUP BY band_index",
+        f"cen{tag}": f"SELECT v.vec_id, m.r, v.value - m.mean AS x FROM val{tag} v JOIN mean{tag} m USING (band_index)",
+        f"cov{tag}": f"SELECT a.r AS i, b.r AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM cen{tag} a JOIN cen{tag} b USING (vec_id) GROUP BY ALL",
+        f"aug{tag}": f"""SELECT i, j, nb, c + CASE WHEN i = j THEN 0.01::DOUBLE * (SELECT avg(c) FROM cov{tag} WHERE i = j) ELSE 0 END AS v FROM cov{tag} CROSS JOIN (SELECT DISTINCT nb FROM mean{tag})
+          UNION ALL SELECT r, nb + CAST(c AS BIGINT), nb, CASE WHEN r = c THEN 1.0::DOUBLE ELSE 0 END FROM mean{tag} CROSS JOIN (SELECT r AS c FROM mean{tag})""",
+        f"elim{tag}": f"""SELECT 0::BIGINT AS k, i, j, nb, v FROM aug{tag} UNION ALL SELECT k + 1, i, j, nb, CASE WHEN i = k THEN v / lead_v ELSE v - own * top / lead_v END FROM (SELECT *, max(v) FILTER (WHERE i = k AND j = k) OVER () AS lead_v,
+          max(v) FILTER (WHERE i = k) OVER (PARTITION BY j) AS top, max(v) FILTER (WHERE j = k) OVER (PARTITION BY i) AS own FROM elim{tag}) WHERE k < nb""",
+        f"inv{tag}": f"SELECT i, j - nb AS j, v FROM elim{tag} WHERE k = nb AND j >= nb",
+        f"tgt{tag}": targets,
+        f"dir{tag}": f"SELECT mineral, i.j AS r, sum((t.value - m.mean) * i.v) AS w FROM tgt{tag} t JOIN mean{tag} m USING (band_index) JOIN inv{tag} i ON i.i = m.r GROUP BY ALL",
+        f"eta{tag}": f"SELECT mineral, sum(d.w * (t.value - m.mean)) AS eta FROM dir{tag} d JOIN mean{tag} m USING (r) JOIN tgt{tag} t USING (mineral, band_index) GROUP BY mineral",
+        f"rx{tag}": f"SELECT c.vec_id, sum(c.x * i.v * o.x) AS rx FROM cen{tag} c JOIN inv{tag} i ON i.i = c.r JOIN cen{tag} o ON o.vec_id = c.vec_id AND o.r = i.j GROUP BY c.vec_id",
+        f"mf{tag}": f"""SELECT p.vec_id, p.row_i, p.col_i, p.label, s.mineral, s.s / e.eta AS mf, sqrt(greatest(x.rx - s.s * s.s / e.eta, 0)) / sqrt((SELECT max(nb) - 1 FROM mean{tag})) AS infeas
+          FROM (SELECT c.vec_id, d.mineral, sum(c.x * d.w) AS s FROM cen{tag} c JOIN dir{tag} d USING (r) GROUP BY ALL) s JOIN eta{tag} e USING (mineral) JOIN rx{tag} x USING (vec_id) JOIN ({pixels}) p USING (vec_id)""",
+    })
+    MATERIALIZED.update({f"val{tag}", f"mean{tag}", f"cen{tag}", f"cov{tag}", f"inv{tag}", f"dir{tag}", f"mf{tag}"})
+
+
+filter_views("all", "SELECT vec_id, row_i, col_i, label FROM pix", "SELECT vec_id, band_index, value FROM band_values",
+             "SELECT label AS mineral, unnest(range(64)) AS band_index, unnest(refl) AS value FROM medoid")
+
+
 def with_views(sql: str) -> str:
     """Prefix the CTEs a query needs, in order."""
     import re
@@ -121,13 +154,15 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not need:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({VIEWS[n]})" for n in VIEWS if n in need)
     body = sql.strip()
+    recursive = body[:14].upper() == "WITH RECURSIVE" or any(n.startswith("elim") for n in need)
+    start = "WITH RECURSIVE" if recursive else "WITH"
     if body[:14].upper() == "WITH RECURSIVE":
-        return f"WITH RECURSIVE {ctes},\n{body[14:]}"
+        return f"{start} {ctes},\n{body[14:]}"
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"{start} {ctes},\n{body[5:]}"
+    return f"{start} {ctes}\n{body}"
 
 
 # ---- the same views on Spark ---------------------------------------------------------------------

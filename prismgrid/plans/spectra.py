@@ -11,7 +11,7 @@ from ..functions import spectral as S
 from ..functions.arrays import literal_array
 from ..operators import detect, library as L, mask as M, moments as B, stats
 from .registry import (
-    N_BANDS, WAVELENGTHS, bands, ev, library, pix, qa, query, r6, rounded, table,
+    N_BANDS, VIEWS, WAVELENGTHS, bands, ev, filter_views, library, pix, qa, query, r6, rounded, table,
 )
 
 WINDOWS = [(1340.0, 1440.0), (1800.0, 1950.0)]  # absorption windows of the stand-in sensor
@@ -370,7 +370,7 @@ def mf_scores(spark, d, used: list[int]) -> tuple[list, DataFrame]:
     return names, p.withColumn("scores", col)
 
 
-def mf_long(spark, d, used: list[int] = [0, 1]) -> DataFrame:
+def mf_long(spark, d, used: list[int] = list(range(N_BANDS))) -> DataFrame:
     names, df = mf_scores(spark, d, used)
     k = len(names)
     rows = F.explode(F.array(*[
@@ -381,12 +381,12 @@ def mf_long(spark, d, used: list[int] = [0, 1]) -> DataFrame:
 
 @query("s4_matched_filter", "SELECT vec_id, mineral, round(mf, 6) + 0.0 AS mf, round(infeas, 6) + 0.0 AS infeas FROM mf2")
 def s4(spark, d):
-    return rounded(mf_long(spark, d).select("vec_id", "mineral", "mf", "infeas"), "mf", "infeas")
+    return rounded(mf_long(spark, d, [0, 1]).select("vec_id", "mineral", "mf", "infeas"), "mf", "infeas")
 
 
-@query("s4_matched_filter_all_bands")
+@query("s4_matched_filter_all_bands", "SELECT vec_id, mineral, round(mf, 6) + 0.0 AS mf, round(infeas, 6) + 0.0 AS infeas FROM mfall")
 def s4_full(spark, d):
-    return rounded(mf_long(spark, d, list(range(N_BANDS))).select("vec_id", "mineral", "mf", "infeas"), "mf", "infeas")
+    return rounded(mf_long(spark, d).select("vec_id", "mineral", "mf", "infeas"), "mf", "infeas")
 
 
 def gapped(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -397,17 +397,22 @@ def gapped(spark, d) -> tuple[DataFrame, DataFrame]:
     return p.withColumn("refl", drop), m.withColumn("refl", lacking)
 
 
-@query("s4_valid_bands", """SELECT label, CAST(b AS INTEGER) AS band_index FROM (SELECT DISTINCT label FROM pix) CROSS JOIN range(64) r(b) WHERE b % 16 <> 15 AND b <> 21 AND (b <> 7 OR label <> 3)""")
+# the same pixels and medoids with gaps, in SQL
+VIEWS["gapval"] = "SELECT vec_id, label, band_index, CASE WHEN band_index % 16 <> 15 AND (band_index <> 7 OR label <> 3) THEN value END AS value FROM band_values"
+VIEWS["gaplib"] = "SELECT label AS mineral, band_index, CASE WHEN band_index <> 21 OR label <> 2 THEN value END AS value FROM (SELECT label, unnest(range(64)) AS band_index, unnest(refl) AS value FROM medoid)"
+_WHOLE = "SELECT band_index FROM gaplib GROUP BY band_index HAVING count(value) = count(*)"
+filter_views("gap", "SELECT vec_id, row_i, col_i, label FROM pix WHERE label <> 3",
+             f"SELECT vec_id, band_index, value FROM gapval WHERE label <> 3 AND band_index IN ({_WHOLE}) AND band_index IN (SELECT band_index FROM gapval WHERE label <> 3 GROUP BY band_index HAVING count(value) > 0)",
+             f"SELECT mineral, band_index, value FROM gaplib WHERE band_index IN ({_WHOLE})")
+
+
+@query("s4_valid_bands", f"SELECT label, CAST(band_index AS INTEGER) AS band_index FROM gapval WHERE band_index IN ({_WHOLE}) GROUP BY label, band_index HAVING count(value) > 0")
 def s4_bands(spark, d):
     p, m = gapped(spark, d)
-    out = None
-    for r in M.bounded_rows(p.select("label").distinct(), 100):  # one fit for each label
-        one = L.valid_bands(m, p.where(F.col("label") == r["label"]), N_BANDS).select(F.lit(r["label"]).alias("label"), "band_index")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return L.valid_bands_by(m, p, ["label"], N_BANDS)
 
 
-@query("s4_gapped_matched_filter")
+@query("s4_gapped_matched_filter", "SELECT vec_id, mineral, round(mf, 6) + 0.0 AS mf, round(infeas, 6) + 0.0 AS infeas FROM mfgap")
 def s4_gapped(spark, d):
     p, m = gapped(spark, d)
     train = p.where("label <> 3")
@@ -433,7 +438,7 @@ def a3(spark, d):
 
 # ---- detection -----------------------------------------------------------------------------------------
 
-FLOOR_SQL = """(SELECT mineral, count(*) AS n, quantile_cont(mf, 0.9) AS floor FROM mf2 WHERE infeas < 1 AND mf > 0 GROUP BY mineral)"""
+FLOOR_SQL = """(SELECT mineral, count(*) AS n, quantile_cont(mf, 0.9) AS floor FROM mfall WHERE infeas < 1 AND mf > 0 GROUP BY mineral)"""
 
 
 def gated(spark, d) -> DataFrame:
@@ -441,9 +446,9 @@ def gated(spark, d) -> DataFrame:
     return m.withColumn("gated", F.when(F.col("infeas") < GATE, F.col("mf")))
 
 
-@query("q8_feasibility_gate", "SELECT mineral, count(*) AS n, count(CASE WHEN infeas < 1 THEN mf END) AS n_kept, round(sum(CASE WHEN infeas < 1 THEN mf END), 4) + 0.0 AS kept_sum FROM mf2 GROUP BY mineral")
+@query("q8_feasibility_gate", "SELECT mineral, count(*) AS n, count(CASE WHEN infeas < 1 THEN mf END) AS n_kept, round(sum(CASE WHEN infeas < 1 THEN mf END), 4) + 0.0 AS kept_sum FROM mfall GROUP BY mineral")
 def q8(spark, d):
-    names, df = mf_scores(spark, d, [0, 1])
+    names, df = mf_scores(spark, d, list(range(N_BANDS)))
     k = len(names)
     mf, inf = F.slice("scores", 1, k), F.slice("scores", k + 1, k)
     kept = df.select(F.posexplode(M.gate_infeasible(mf, inf, GATE)).alias("p", "v"))
@@ -456,7 +461,7 @@ def a10(spark, d):
     return rounded(detect.detection_floors(gated(spark, d), ["mineral"], "gated", 0.9), "floor")
 
 
-DET_SQL = f"""(SELECT m.*, f.floor, CASE WHEN m.infeas < 1 AND m.mf >= f.floor THEN m.mf / f.floor END AS strength FROM mf2 m LEFT JOIN {FLOOR_SQL} f USING (mineral))"""
+DET_SQL = f"""(SELECT m.*, f.floor, CASE WHEN m.infeas < 1 AND m.mf >= f.floor THEN m.mf / f.floor END AS strength FROM mfall m LEFT JOIN {FLOOR_SQL} f USING (mineral))"""
 DOM_SQL = f"""(SELECT vec_id, row_i, col_i, label, coalesce(arg_max(mineral, strength), -1) AS code, max(strength) AS strength FROM {DET_SQL} GROUP BY vec_id, row_i, col_i, label)"""
 
 
@@ -501,9 +506,9 @@ def a22_tiers(spark, d):
     return rounded(detect.counts_for(tiers(spark, d), [], "tier", [0, 1, 2, 3]), "fraction")
 
 
-@query("w5_representative_spectra", """WITH f AS (SELECT mineral, quantile_cont(mf, 0.98) AS fl FROM mf2 WHERE infeas < 1 AND mf > 0 GROUP BY mineral),
+@query("w5_representative_spectra", """WITH f AS (SELECT mineral, quantile_cont(mf, 0.98) AS fl FROM mfall WHERE infeas < 1 AND mf > 0 GROUP BY mineral),
  t AS (SELECT mineral, vec_id FROM (SELECT m.mineral, m.vec_id, row_number() OVER (PARTITION BY m.mineral ORDER BY m.mf DESC, m.row_i, m.col_i) AS rn
-   FROM mf2 m JOIN f USING (mineral) WHERE m.infeas < 1 AND m.mf >= f.fl) WHERE rn <= 20)
+   FROM mfall m JOIN f USING (mineral) WHERE m.infeas < 1 AND m.mf >= f.fl) WHERE rn <= 20)
  SELECT t.mineral, CAST(v.band_index AS INTEGER) AS band_index, round(avg(v.value), 6) + 0.0 AS value FROM t JOIN band_values v USING (vec_id) GROUP BY t.mineral, v.band_index""")
 def w5(spark, d):
     top = detect.strongest(gated(spark, d), ["mineral"], "gated", 0.98, 20, ["row_i", "col_i"])
