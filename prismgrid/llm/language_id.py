@@ -25,7 +25,7 @@ NGRAMS = 20_000
 LONGEST = 5
 #: Words that count fully towards the confidence of a text, and words a worker remembers before it starts anew.
 CERTAIN_WORDS = 8
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 CACHE_CELLS = 1 << 23
 LONGEST_KEPT = 64
 #: Shortest n-grams that tell a language's words from other letters, and words that a text's familiar share is
@@ -66,8 +66,8 @@ class Model:
     usual: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)
     vectors: np.ndarray | None = None
-    shares: dict[str, int] = field(default_factory=dict)
-    share_rows: np.ndarray | None = None
+    shares: dict[int, dict[str, float]] = field(default_factory=dict)
+    flags: dict[int, bytes] = field(default_factory=dict)
 
     def score(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams."""
@@ -80,29 +80,33 @@ class Model:
                 return self.logs[found].mean(0)
         return self.logs[0]
 
-    def share(self, word: str) -> np.ndarray:
-        """In each language 1 for a word seen there, else the share of its word and long n-grams seen there."""
-        place = self.shares.get(word)
-        if place is not None:
-            return self.share_rows[place]
-        at = self.tables[0].get(word)
-        whole = self.seen[at if at is not None else 0]
-        grams = [self.tables[n].get(g, 0) for n in range(TELLING, LONGEST + 1) for g in ngrams(word, n)]
-        own = np.where(whole, 1.0, self.seen[grams].sum(0) / (len(grams) + 1)).astype(np.float32)
-        if self.share_rows is None:
-            self.share_rows = np.zeros((min(CACHE_WORDS, CACHE_CELLS // len(self.languages)), len(self.languages)), np.float32)
-        if len(self.shares) >= len(self.share_rows):
-            self.shares.clear()
-        if len(word) <= LONGEST_KEPT:
-            self.share_rows[len(self.shares)] = own
-            self.shares[word] = len(self.shares)
+    def share(self, word: str, at: int) -> float:
+        """1 for a word seen in language number ``at``, else the share of its word and long n-grams seen there."""
+        if at not in self.flags:
+            self.flags[at], self.shares[at] = self.seen[:, at].astype(np.uint8).tobytes(), {}
+        known, flags = self.shares[at], self.flags[at]
+        own = known.get(word)
+        if own is None:
+            own = 1.0
+            if not flags[self.tables[0].get(word, 0)]:
+                padded, total, count = f" {word} ", 0, 1
+                for n in range(TELLING, LONGEST + 1):
+                    place = self.tables[n].get
+                    for i in range(len(padded) - n + 1):
+                        total += flags[place(padded[i : i + n], 0)]
+                        count += 1
+                own = total / count
+            if len(known) >= CACHE_WORDS // max(1, len(self.shares)):
+                known.clear()
+            if len(word) <= LONGEST_KEPT:
+                known[word] = own
         return own
 
     def familiar(self, text: str | None, lang: str) -> tuple[float, int]:
         """Mean share of the text's words that ``lang`` knows, and how many words there are."""
         words, at = Counter(words_of(text)), self.languages.index(lang)
         n = sum(words.values())
-        return (sum(float(self.share(w)[at]) * k for w, k in words.items()) / n if n else 0.0), n
+        return (sum(self.share(w, at) * k for w, k in words.items()) / n if n else 0.0), n
 
     def belongs(self, text: str | None, lang: str, least: float) -> bool:
         """Whether the text is as familiar as ``least`` times the usual of ``lang``, however many languages there are."""
