@@ -22,12 +22,17 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long")
 
 
-def permutation_key(key: Column, block: Column) -> Column:
-    """Place of a row in the permutation of a block: 60 bits of an MD5 digest."""
-    name = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), block.cast("string"))
+def permutation_key(key: Column, block: Column, tie: Column) -> Column:
+    """Place of a row in the permutation of a block: 60 bits of an MD5 digest, of the row's hash where it has no key."""
+    name = F.concat(F.coalesce(key.cast("string"), F.concat(F.lit("~"), tie.cast("string"))), F.lit("|"), block.cast("string"))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns that can be hashed (maps cannot); it orders rows that share a key."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def _midpoints(low: float, high: float, levels: int) -> list[float]:
     if not levels:
         return []
@@ -74,13 +79,15 @@ def exponent(sources: DataFrame, total: int, budget: int, evenness: float | None
 
 
 def plan(docs: DataFrame, budget: int | None = None, evenness: float | None = 0.5, max_repeats: float | None = 4.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``source, n, weight, allotted, blocks, cut``: what every source contributes to ``budget`` tokens (default: all).
+    """``source, n, weight, allotted, blocks, cut, cut_tie, copies``: what every source contributes to ``budget`` tokens (default: all).
 
-    A source gives ``blocks`` whole permutations of its rows and of one more those whose key is at most ``cut``:
-    rows in the order of their keys as long as the tokens left are enough.  The cut comes from sums over 65,536
-    key ranges; only the range it falls into is looked at row by row, so no source is ordered in one task.
+    A source gives ``blocks`` whole permutations of its rows and of one more those before the row at ``(cut, cut_tie)``:
+    rows in the order of their keys, rows that share a key in the order of their hashes, as long as the tokens left are
+    enough.  Of equal rows that stand at the cut, ``copies`` belong to it.  The cut comes from sums over 65,536
+    key ranges, then over the keys of one range and 65,536 ranges of hashes, then over hashes, so no source and
+    no key is ordered in one task.  Rows without a key are placed by their hash.
     """
-    slim = stored(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), tokens_of(F.col(text)).alias("tokens")).where("tokens > 0"))
+    slim = stored(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), tokens_of(F.col(text)).alias("tokens"), row_hash(docs).alias("tie")).where("tokens > 0"))
     sources = stored(slim.groupBy("source").agg(F.sum("tokens").alias("n")))
     total = sources.agg(F.sum("n")).collect()[0][0] or 0
     budget = total if budget is None else budget
@@ -92,25 +99,31 @@ def plan(docs: DataFrame, budget: int | None = None, evenness: float | None = 0.
     weights = stored(weights.select("source", "n", "weight", "allotted", "blocks", "rest"))
 
     rows = _with_plan(slim, weights.select("source", "blocks", "rest"), F.col("source"))
-    rows = rows.withColumn("at", permutation_key(F.col("key"), F.col("blocks"))).withColumn("bucket", F.shiftright("at", KEY_BITS - BUCKET_BITS))
-    cells = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    # at most 65,536 rows of a source
-    run = F.sum("t").over(_ordered("source", by="bucket"))
-    edges = cells.withColumn("through", run).where("through > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("through") - F.col("t")).alias("before"))).alias("e"))
-    edges = stored(edges.select("source", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
-    near = _with_plan(rows, edges, F.col("source")).where("bucket = edge")
-    through = F.col("before") + F.sum("tokens").over(_ordered("source", by="at"))
-    inside = near.withColumn("through", through).where("through <= rest").groupBy("source").agg(F.max("at").alias("last"))
-    cuts = edges.join(inside, edges["source"].eqNullSafe(inside["source"]), "left").select(
-        edges["source"].alias("s"), F.coalesce("last", F.shiftleft("edge", KEY_BITS - BUCKET_BITS) - 1).alias("cut"))
-    return stored(weights.join(cuts, weights["source"].eqNullSafe(cuts["s"])).select("source", "n", "weight", "allotted", "blocks", "cut"))
-
-
-def _ordered(*keys: str, by: str):
+    rows = rows.withColumn("at", permutation_key(F.col("key"), F.col("blocks"), F.col("tie"))).withColumn("bucket", F.shiftright("at", KEY_BITS - BUCKET_BITS))
+    rows = rows.withColumn("lot", F.shiftright("tie", 64 - BUCKET_BITS)).withColumn("before", F.lit(0).cast("long"))
+    first = _crossing(rows, ["bucket"])
+    near = _with_plan(rows.drop("before"), first.select("source", F.col("bucket").alias("_bucket"), "before"), F.col("source")).where("bucket = _bucket")
+    second = _crossing(near, ["at", "lot"])
+    last = _with_plan(near.drop("before"), second.select("source", F.col("at").alias("_at"), F.col("lot").alias("_lot"), "before"), F.col("source"))
+    third = _crossing(last.where("at = _at and lot = _lot"), ["at", "tie"])
+    copies = F.expr("cast((rest - before) div (t div c) as int)")
+    cuts = third.select(F.col("source").alias("s"), F.col("at").alias("cut"), F.col("tie").alias("cut_tie"), copies.alias("copies"))
+    return stored(weights.join(cuts, weights["source"].eqNullSafe(cuts["s"])).select("source", "n", "weight", "allotted", "blocks", "cut", "cut_tie", "copies"))
+
+
+def _crossing(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The first cell of each source, in the order of ``by``, with which its tokens exceed ``rest``.
+
+    ``rows(source, tokens, rest, before, *by)``; gives ``source, rest, *by``, the cell's tokens ``t`` and rows ``c``, and the
+    tokens ``before`` it.
+    """
     from pyspark.sql import Window
 
-    # equal keys fall on the same side of the cut
-    return Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = rows.groupBy("source", "rest", "before", *by).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"))
+    ordered = Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = cells.withColumn("through", F.col("before") + F.sum("t").over(ordered)).where("through > rest")
+    best = through.groupBy("source", "rest").agg(F.min(F.struct(*by, "t", "c", (F.col("through") - F.col("t")).alias("before"))).alias("e"))
+    return stored(best.select("source", "rest", *[F.col(f"e.{x}").alias(x) for x in (*by, "t", "c", "before")]))
 
 
 def _with_plan(rows: DataFrame, per_source: DataFrame, source: Column) -> DataFrame:
@@ -124,15 +137,22 @@ def mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "text
     """``row, block, at, n_tokens, weight``: each row of ``docs`` (as a struct) once for every block it is drawn in.
 
     ``at`` is its place in the mixture from 0 to 1; rows in that order hold the sources at their weights
-    throughout.  Texts are not shuffled.  Rows without tokens are never drawn, a null source is a source like any
-    other, equal rows are drawn alike; an empty table gives none.
+    throughout.  Texts are not shuffled, except one row for each source whose cut falls among equal rows.  Rows without
+    tokens are never drawn, a null source is a source like any other; rows that share a key, have none or are equal
+    are drawn one by one, so every source keeps its tokens within its longest row; an empty table gives none.
     """
-    rows = docs.select(F.struct("*").alias("row"), tokens_of(F.col(text)).alias("n_tokens")).where("n_tokens > 0")
+    rows = docs.select(F.struct("*").alias("row"), tokens_of(F.col(text)).alias("n_tokens"), row_hash(docs).alias("tie")).where("n_tokens > 0")
     met = _with_plan(rows, plan, F.col("row")[source].cast("string"))
-    drawn = F.col("blocks") + (permutation_key(F.col("row")[key], F.col("blocks")) <= F.col("cut")).cast("int")
-    met = met.withColumn("drawn", drawn).where("drawn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1)))
-    spread, part = permutation_key(F.col("row")[key], F.col("block")), F.col("allotted") / F.col("n")
+    met = met.withColumn("last", permutation_key(F.col("row")[key], F.col("blocks"), F.col("tie")))
+    inside = (F.col("last") < F.col("cut")) | ((F.col("last") == F.col("cut")) & (F.col("tie") < F.col("cut_tie")))
+    drawn = met.withColumn("drawn", F.col("blocks") + inside.cast("int")).where("drawn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1)))
+    if plan.where("copies > 0").limit(1).count():
+        # equal rows at the cut: one stands for those that still belong to the last block
+        edge = met.where("last = cut and tie = cut_tie and copies > 0").withColumn("_source", F.col("row")[source]).dropDuplicates(["_source"]).drop("_source")
+        edge = edge.withColumn("drawn", F.col("blocks") + 1).withColumn("block", F.explode(F.array_repeat("blocks", F.col("copies"))))
+        drawn = drawn.unionByName(edge.select(*drawn.columns))
+    spread, part = permutation_key(F.col("row")[key], F.col("block"), F.col("tie")), F.col("allotted") / F.col("n")
     # the keys of the last block end at the cut and fill what is left of the source's part
     last = spread / (F.col("cut") + 1) * (part - F.col("blocks"))
     at = (F.col("block") + F.when(F.col("block") < F.col("blocks"), spread / F.lit(float(1 << KEY_BITS))).otherwise(last)) / part
-    return met.select("row", "block", at.alias("at"), "n_tokens", "weight")
+    return drawn.select("row", "block", at.alias("at"), "n_tokens", "weight")

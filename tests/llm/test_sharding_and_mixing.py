@@ -2,8 +2,12 @@
 
 import hashlib
 import math
+import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+from texts import prose
+
 from prismgrid.llm import mixing, sharding
 
 
@@ -97,3 +101,18 @@ def test_mix_of_odd_tables(odd_documents, no_documents):
     assert got and all((r.text or "").strip() for r in got) and got[0].weight == "?"
     assert {r.source for r in got} >= {"b", "c"}
     assert mixing.mix(no_documents, mixing.plan(no_documents)).count() == 0
+
+
+def test_sources_keep_their_tokens_whatever_the_keys(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(1, 40)), "good") for i in range(400)]
+    rows += [(None, prose(rng, 5), "keyless") for _ in range(300)] + [(7, prose(rng, rng.randint(1, 9)), "one key") for _ in range(300)]
+    rows += [(3, "the same five words here", "equal") for _ in range(200)] + [(None, "keyless and equal", None) for _ in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.plan(docs, budget=9_000)
+    wanted = {r["source"]: r["allotted"] for r in plan.collect()}
+    drawn = mixing.mix(docs, plan).groupBy("row.source").agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("longest"), F.min("at").alias("lo"), F.max("at").alias("hi")).collect()
+    assert len(drawn) == 5
+    for r in drawn:
+        assert wanted[r["source"]] - r["longest"] < r["t"] <= wanted[r["source"]], r
+        assert 0 <= r["lo"] <= r["hi"] <= 1
