@@ -115,8 +115,15 @@ def segmented(names: DataFrame, lexicon: DataFrame) -> DataFrame:
     return names.join(known, "name", "left").mapInArrow(split, "name string, words array<string>")
 
 
-def _names(of: Column) -> Column:
-    return F.explode(F.regexp_extract_all(F.lower(of), F.lit(_NAME), 0)).alias("name")
+def _names(of: Column, without: Sequence[str]) -> Column:
+    found = F.regexp_extract_all(F.lower(of), F.lit(_NAME), 0)
+    return F.explode(F.filter(found, lambda n: ~n.isin(list(without))) if without else found).alias("name")
+
+
+def own_names(rules: Sequence[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Names of hosts and of paths that rules are made of."""
+    parts = [rule.lower().partition("/")[::2] for _, rule in rules]
+    return tuple(sorted({n for p in parts for n in re.findall(_NAME, p[i])}) for i in (0, 1))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Sequence[str] = UNWANTED, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html", rounds: int = 0) -> DataFrame:
@@ -124,7 +131,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Seq
 
     The word model counts the words of all pages.  Names (runs of letters) of hosts and paths are split into
     words; pages whose host has an ``unwanted`` word are the examples of naive Bayes to block, all others to
-    allow.  ``block_score`` is the log odds to block; a fitting rule decides the verdict before it.
+    allow.  ``block_score`` is the log odds to block; a fitting rule decides the verdict before it.  The last label of a
+    host (its top-level domain) and names that rules are made of take no part in naive Bayes: labels that come from rules
+    would otherwise say no more than the rules, and condemn every domain that no rule allows.
 
     With ``rounds`` pages outside the list are unlabelled instead: examples to allow are those that an allow
     rule decides and whose host is not flagged, and in each round the hosts of all pages are labelled anew:
@@ -138,9 +147,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), unwanted: Seq
     rows = pages.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")))
     hosts = stored(urls.groupBy("host").agg(F.sum("pages").alias("pages")))
-    host_names = stored(hosts.select("host", _names(F.col("host"))))
+    in_hosts, in_paths = own_names(rules)
+    host_names = stored(hosts.select("host", _names(F.regexp_replace("host", r"\.[^.]*$", ""), in_hosts)))
     paths = urls.select("path").distinct()
-    path_names = stored(paths.select("path", _names(F.col("path"))))
+    path_names = stored(paths.select("path", _names(F.col("path"), in_paths)))
     lexicon = stored(word_counts(pages.select(F.col(html).cast("string").alias("text"))))
     names = host_names.select("name").unionByName(path_names.select("name")).distinct()
     flag = F.arrays_overlap("words", F.array(*[F.lit(w) for w in unwanted])) if unwanted else F.lit(False)

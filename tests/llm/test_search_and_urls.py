@@ -58,9 +58,14 @@ def _judged(pages, rules):
     total = sum(lexicon.values())
     split = {}
 
-    def names(x):
+    # the top-level domain and what rules are made of say nothing of a page
+    stop = [{n for _, r in rules for n in re.findall("[a-z]+", r.split("/", 1)[i])} for i in (0, 1)]
+
+    def names(x, of_path=False):
         out = []
-        for n in re.findall("[a-z]+", x.lower()):
+        for n in re.findall("[a-z]+", (x if of_path or "." not in x else x.rsplit(".", 1)[0]).lower()):
+            if n in stop[of_path]:
+                continue
             if n not in split:
                 split[n] = url_filter.segment(n, lexicon, total)
             out += split[n]
@@ -77,14 +82,14 @@ def _judged(pages, rules):
     for _, host, path in parts:
         bad = bool(set(names(host)) & set(url_filter.UNWANTED))
         pages_of[bad] += 1
-        counts[bad].update([("host", w) for w in names(host)] + [("path", w) for w in names(path)])
+        counts[bad].update([("host", w) for w in names(host)] + [("path", w) for w in names(path, True)])
     n = len(set(counts[True]) | set(counts[False]))
     size = {b: sum(c.values()) for b, c in counts.items()}
     odds = lambda t: math.log((counts[True][t] + 1) / (size[True] + n + 1)) - math.log((counts[False][t] + 1) / (size[False] + n + 1))
     out = []
     for key, host, path in parts:
         fits = [(len(r), r, v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
-        score = math.log((pages_of[True] + 1) / (pages_of[False] + 1)) + sum(odds(("host", w)) for w in names(host)) + sum(odds(("path", w)) for w in names(path))
+        score = math.log((pages_of[True] + 1) / (pages_of[False] + 1)) + sum(odds(("host", w)) for w in names(host)) + sum(odds(("path", w)) for w in names(path, True))
         best = max(fits, default=None)
         out.append((key, host, path, best[1] if best else None, best[2] if best else ("block" if score > 0 else "allow"), round(score, 6)))
     return out
@@ -125,3 +130,18 @@ def test_words_that_occur_with_blocked_hosts_block_others(spark):
     got = {r.host: r.verdict for r in url_filter.judge(df, [("allow", "river-house.example.org/")], rounds=3).collect()}
     assert [got[h] for h in hosts[1:3]] == ["block", "block"] and got["river-house.example.org"] == "allow"
     assert url_filter.judge(df.where("false"), RULES, rounds=3).count() == 0
+
+
+def test_innocent_domains_without_a_rule_are_not_condemned(spark):
+    # the registered rules and rounds on the given pages: at most one in twenty innocent pages of any top-level domain is blocked
+    from oracle import DATA
+    from prismgrid.llm.queries import QUERIES
+
+    unwanted = ("casino", "adult", "pills", "spam")
+    pages = QUERIES["op2_url_filter"](spark, f"{DATA}/sf0.1").where("rule IS NULL").collect()
+    plain = [r for r in pages if not any(w in r.host for w in (*unwanted, "bets", "track"))]
+    for end in {r.host.rsplit(".", 1)[-1] for r in plain}:
+        own = [r for r in plain if r.host.endswith("." + end)]
+        assert sum(r.verdict == "block" for r in own) <= 0.05 * len(own), end
+    bad = [r for r in pages if any(w in r.host for w in unwanted)]
+    assert sum(r.verdict == "block" for r in bad) >= 0.9 * len(bad)
