@@ -134,10 +134,6 @@ def external_component(auc_lower: Column, balanced_lower: Column, auc_double: Co
     return F.when(known, (auc_lower > CHANCE) & (balanced_lower > CHANCE) & (auc_double > CHANCE))
 
 
-def gate_status(gate: Column) -> Column:
-    return F.when(gate.isNull(), "unavailable").when(gate, "pass").otherwise("fail")
-
-
 def pair_gate(spearman_lower: Column, balanced_lower: Column, iou: Column, iou_null_upper: Column) -> dict[str, Column]:
     """Three-part gate of one date pair: ``evaluable`` and ``passed``."""
     known = spearman_lower.isNotNull() & balanced_lower.isNotNull() & iou.isNotNull() & iou_null_upper.isNotNull()

@@ -453,13 +453,11 @@ def x9_tails(spark, d):
     return rounded(out, "iou_null_95", "boundary_null_05")
 
 
-@query("g4_complete_orderings", """WITH b AS (SELECT DISTINCT 'three' AS site, s_suppkey % 3 AS block FROM supplier UNION ALL SELECT DISTINCT 'eight', s_suppkey % 8 FROM supplier),
- n AS (SELECT site, count(*) AS blocks, least(factorial(count(*)::INTEGER), 9999)::BIGINT AS orders FROM b GROUP BY site) SELECT site, orders AS n_orders, orders AS n_distinct, orders * blocks AS n_rows FROM n""")
+@query("g4_complete_orderings", """SELECT site, n AS n_orders, n AS n_distinct, n * nb AS n_rows FROM (SELECT site, count(*) AS nb, least(factorial(least(count(*), 12)::INTEGER), 9999)::BIGINT AS n FROM sidx GROUP BY site)""")
 def g4_complete(spark, d):
     from ..operators import resample as R
 
-    s = table(spark, d, "supplier")
-    b = s.select(F.lit("three").alias("site"), (F.col("s_suppkey") % 3).alias("block_id")).unionByName(s.select(F.lit("eight").alias("site"), (F.col("s_suppkey") % 8).alias("block_id"))).distinct()
+    b = sparse_blocks(spark, d).select("site", "block_id").distinct()
     o = R.block_orderings(b, ["site"], 9_999, 5)
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "source"))), lambda p: p["source"]), ",")
     per = o.groupBy("site", "rep").agg(order.alias("o"), F.count(F.lit(1)).alias("n"))
