@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,11 +80,17 @@ def pair_numerators(
 
     def tiled(df: DataFrame, by: list[str], axis: str, ties: float) -> DataFrame:
         own = attach(df, sizes, keys).withColumn("_own", F.pmod(F.hash("_blk"), F.col("_g")))
-        every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
         cols = [*dict.fromkeys([*by, axis]), "_blk", "_p", "_n"]
-        pos = own.where("_p > 0").select(*cols, F.lit(0).alias("_side"), F.col("_own").alias("_i"), every.alias("_j"))
-        neg = own.where("_n > 0").select(*cols, F.lit(1).alias("_side"), every.alias("_i"), F.col("_own").alias("_j"))
-        both = pos.unionByName(neg)
+        others = F.sequence(F.lit(0), F.col("_g") - 1)
+
+        def side(n: int, held: Column, i, j) -> Column:
+            made = F.transform(others, lambda x: F.struct(F.lit(n).alias("_side"), i(x).alias("_i"), j(x).alias("_j")))
+            return F.when(held, made).otherwise(F.array().cast("array<struct<_side:int,_i:int,_j:int>>"))
+
+        mine = F.col("_own")
+        # one explode for both sides: a union of the two would count as grouped already
+        places = F.concat(side(0, F.col("_p") > 0, lambda x: mine, lambda x: x), side(1, F.col("_n") > 0, lambda x: x, lambda x: mine))
+        both = own.withColumn("_t", F.explode(places)).select(*cols, "_t.*")
         return both.groupBy(*by, "_i", "_j").applyInPandas(lambda pdf: product(pdf, axis, ties), out)
 
     across = b.groupBy(*keys, "_b", "_blk").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))

@@ -46,11 +46,15 @@ def checked_small(df: DataFrame) -> DataFrame:
 
 
 def value_edges(df: DataFrame, keys: list[str], value: str, steps: int) -> DataFrame:
-    """Approximate equi-depth edges per key: one array of ``2**steps - 1`` values."""
+    """Approximate equi-depth edges per key: one array of ``2**steps - 1`` values.
+
+    They depend on the order in which partial summaries meet, so they are materialised: every reader, and a task that
+    is run again, sees the same edges.
+    """
     n = 2**steps
-    return df.groupBy(*keys).agg(
+    return cut(df.groupBy(*keys).agg(
         F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_edges")
-    )
+    ))
 
 
 def running_totals(
