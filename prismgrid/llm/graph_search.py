@@ -180,7 +180,9 @@ def neighbour_graph(packed: DataFrame, first: DataFrame, dim: int, k: int = NEIG
         behind = behind.join(hubs, "at", "left").select("at", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), member)
         ahead = edges.join(graph.select(F.col("id").alias("to"), "v16", "kth"), "to").select(F.col("from").alias("at"), F.col("to").alias("id"), "v16", "kth", "fresh")
         ahead = ahead.join(hubs, "at", "left").select("at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), member)
-        meetings = behind.unionByName(ahead).groupBy("at", "part").agg(F.collect_list("member").alias("members")).where("exists(members, x -> x.fresh) and size(members) > 1")
+        # dealt out explicitly: the union of two inputs that are each dealt out by ``at`` must not count as dealt out
+        both = behind.unionByName(ahead).repartition(shuffle_partitions(graph.sparkSession), "at", "part")
+        meetings = both.groupBy("at", "part").agg(F.collect_list("member").alias("members")).where("exists(members, x -> x.fresh) and size(members) > 1")
         offers = _meet(meetings.select("members"), dim).groupBy("id").agg(F.collect_list(F.struct("d", F.col("other").alias("id"))).alias("offers"))
         known = graph.select("id", "v16", "links").join(offers, "id", "left")
         graph = stored(_merged(known.select("id", "v16", "links", F.coalesce("offers", empty).alias("offers")), k))
