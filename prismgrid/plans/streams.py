@@ -10,7 +10,8 @@ from .registry import N_BANDS, query, r6, rounded, table
 
 
 def stream(spark, d: str, name: str):
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """The table as a stream, whether it is one file or a folder of part files: a pattern may name either, a plain path no file."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}[.]parquet")
 
 
 @query("st1_running_moments", """SELECT label, count(*) AS n, round(avg(refl[1]), 6) + 0.0 AS mean_0, round(covar_samp(refl[1], refl[3]), 6) + 0.0 AS cov_02 FROM pix GROUP BY label""")
