@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import block_weights
+from ..functions.draws import block_weights, weighted_rows
 from ..functions.rules import ratio
 from ..session import cut
 from .agree import overlap_counts, overlap_ratios
@@ -49,7 +49,7 @@ def boundary_bootstrap(
     """
     cells = cut(boundary_cells(sampled, [*keys, "block_id"], a, b))
     w = block_weights(sampled.select(*keys, "block_id").distinct(), keys, replicates, seed)
-    rows = cells.join(w, [*keys, "block_id"]).drop("block_id")
+    rows = weighted_rows(cells, w, [*keys, "block_id"]).drop("block_id")
     return boundary_distance(rows, [*keys, "rep"], res_x, res_y, weight="w")
 
 

@@ -458,9 +458,8 @@ def g4_complete(spark, d):
     from ..operators import resample as R
 
     b = sparse_blocks(spark, d).select("site", "block_id").distinct()
-    o = R.block_orderings(b, ["site"], 9_999, 5)
-    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "source"))), lambda p: p["source"]), ",")
-    per = o.groupBy("site", "rep").agg(order.alias("o"), F.count(F.lit(1)).alias("n"))
+    o = R.ordering_lists(b, ["site"], 9_999, 5)
+    per = o.select("site", "rep", F.array_join("sources", ",").alias("o"), F.size("targets").cast("bigint").alias("n"))
     return per.groupBy("site").agg(F.count(F.lit(1)).alias("n_orders"), F.countDistinct("o").alias("n_distinct"), F.sum("n").alias("n_rows"))
 
 

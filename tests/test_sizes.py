@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from prismgrid.operators import blocks as K
+from prismgrid.functions import draws as D
+from prismgrid.operators import blocks as K, resample as R, stats
 
 
 def plan(df) -> str:
@@ -16,3 +17,39 @@ def test_halo_cells_are_not_broadcast(spark):
     assert "Broadcast" not in plan(out)
     # the middle block sees 6 x 6 cells, an edge block 6 x 5, a corner block 5 x 5
     assert sorted(r["count"] for r in out.groupBy("fold").count().collect()) == [25] * 4 + [30] * 4 + [36]
+
+
+def test_streams_read_a_folder_of_files(spark, tmp_path):
+    from prismgrid.plans.streams import stream
+
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "folder.parquet"))
+    q = stream(spark, str(tmp_path), "folder").writeStream.format("memory").queryName("folder_rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("folder_rows").count() == 10
+
+
+def some_blocks(spark, keys=3, n=9):
+    return spark.range(keys * n).select((F.col("id") % keys).alias("k"), F.format_string("b%02d", (F.col("id") / keys).cast("int")).alias("block_id"))
+
+
+def test_draws_are_not_broadcast(spark):
+    b = some_blocks(spark)
+    w = D.block_weights(b, ["k"], 50, 7)
+    # one row for each block, the replicates inside
+    assert w.count() == 27 and set(w.columns) == {"k", "block_id", "n_blocks", "draws"}
+    rows = D.weighted_rows(b, w, ["k", "block_id"])
+    want = D.block_draws(b, ["k"], 50, 7).groupBy("k", "rep", "block_id").agg(F.count(F.lit(1)).alias("w"))
+    assert {tuple(r) for r in rows.select("k", "rep", "block_id", "w").collect()} == {tuple(r) for r in want.select("k", "rep", "block_id", "w").collect()}
+
+
+def test_orderings_are_arrays_until_the_end(spark):
+    b = some_blocks(spark)
+    o = R.ordering_lists(b, ["k"], 60, 5)
+    assert o.count() == 180 and o.select("k", "sources").distinct().count() == 180
+    assert "BroadcastHashJoin" not in plan(D.block_permutations(b, ["k"], 60, 5))
+
+
+def test_edges_that_are_not_broadcast_are_materialised(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_BROADCAST_ROWS", 3)
+    small = stats.checked_small(spark.range(100).groupBy((F.col("id") % 10).alias("k")).agg(F.max("id").alias("v")))
+    assert "HashAggregate" not in plan(small) and small.count() == 10
