@@ -53,3 +53,17 @@ def test_edges_that_are_not_broadcast_are_materialised(spark, monkeypatch):
     monkeypatch.setattr(stats, "MAX_BROADCAST_ROWS", 3)
     small = stats.checked_small(spark.range(100).groupBy((F.col("id") % 10).alias("k")).agg(F.max("id").alias("v")))
     assert "HashAggregate" not in plan(small) and small.count() == 10
+
+
+def test_strict_sql_scores_complete_blocks_only():
+    import duckdb
+
+    import __spark_entry__ as entry
+    from oracle import DATA
+
+    con = duckdb.connect()
+    # the second scene ends in its eleventh row: two rows of blocks and a remainder
+    copies = f"SELECT vec_id + 500 * i AS vec_id, embedding, label FROM '{DATA}/sf0.001/embeddings.parquet' CROSS JOIN range(2) r(i)"
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM ({copies}) WHERE vec_id < 756")
+    rows = con.execute("SELECT scene, count(*) FROM (" + entry.oracle_sql()["x27_strict_maps"] + ") GROUP BY scene ORDER BY scene").fetchall()
+    assert rows == [(0, 20), (1, 10)], rows
