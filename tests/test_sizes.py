@@ -67,3 +67,11 @@ def test_strict_sql_scores_complete_blocks_only():
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM ({copies}) WHERE vec_id < 756")
     rows = con.execute("SELECT scene, count(*) FROM (" + entry.oracle_sql()["x27_strict_maps"] + ") GROUP BY scene ORDER BY scene").fetchall()
     assert rows == [(0, 20), (1, 10)], rows
+
+
+def test_cells_are_not_broadcast_to_their_grid(spark):
+    cells = spark.range(144).select((F.col("id") % 2).alias("site"), (F.col("id") / 12).cast("int").alias("row_i"), (F.col("id") % 12).cast("int").alias("col_i"))
+    out = K.in_complete_blocks(cells, K.grid_shape(cells, ["site"]), ["site"], 5)
+    # the side that is kept is the cells, so only the grids can be broadcast
+    assert "LeftOuter" in plan(out) and "BuildLeft" not in plan(out)
+    assert out.count() == 100
