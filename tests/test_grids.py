@@ -105,6 +105,28 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1))
 
 
+def test_far_chunks_do_not_meet_and_repeated_rows_count(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 8)
+    rng = np.random.default_rng(5)
+    n = 128
+    mean = np.repeat(np.round(rng.uniform(0, [99, 4, 4], (n // 2, 3)), 0), 2, axis=0)
+    lab = [str(v) for v in rng.integers(0, 3, n)]
+    df = spark.createDataFrame([(i, lab[i], mean[i].tolist(), mean[i][::-1].tolist()) for i in range(n)], "id long, label string, rgb_mean array<double>, rgb_std array<double>")
+    near = {"rgb_mean": 10.0}
+    met = P.chunk_pairs(P.packs(df, "id", "label", ["rgb_mean"], near), ["rgb_mean"], near).collect()
+    ij = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    dist = {p: np.sqrt(((mean[p[0]] - mean[p[1]]) ** 2).sum()) for p in ij}
+    seen = {(min(i, j), max(i, j)) for r in met for i in r.ia for j in r.ib if i != j}
+    # all that lie within reach of each other meet, most others do not
+    assert {p for p in ij if dist[p] <= 10} <= seen and len(seen) < len(ij) / 2
+    cross = [p for p in ij if lab[p[0]] != lab[p[1]]]
+    q = P.pair_quantile(df, "id", "label", "rgb_mean", P.L2, 0.05, P.vector_diameter(df, "rgb_mean", 3), True).first()
+    bar = np.quantile([dist[p] for p in cross], 0.05)
+    assert q.n_pairs == len(cross) and q.threshold == pytest.approx(bar)
+    want = graph.components(spark.createDataFrame([p for p in cross if dist[p] <= bar], "i long, j long")).collect()
+    assert sorted(graph.components(P.ambiguous_links(df, "id", "label", 0.05, 3)).collect()) == sorted(want)
+
+
 def test_components_chain_star_and_isolated(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
     c = graph.components(spark.createDataFrame(edges, "i long, j long"))
