@@ -14,6 +14,8 @@ from .stats import attach, exact_quantiles, running_totals, value_edges
 
 #: Score levels that a task holds as dense rows over blocks.
 SLICE = 2048
+#: Folds whose margins one task fits; the blocks of a scene travel once for each such part.
+FOLDS_PER_TASK = 64
 
 
 def block_score_counts(obs: DataFrame, keys: list[str], score: str = "score", ref: str = "ref", block: str = "block_id") -> DataFrame:
@@ -167,6 +169,96 @@ def robust_margin(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     )
 
 
+def _quantile(ordered: np.ndarray, q: float) -> float:
+    """Linear-interpolated quantile of sorted values, as ``stats.exact_quantiles`` states it."""
+    rank = q * (len(ordered) - 1)
+    low = int(np.floor(rank))
+    lo, hi = ordered[low], ordered[int(np.ceil(rank))]
+    return float(lo + (hi - lo) * (rank - low))
+
+
+def _balanced_threshold(score: np.ndarray, ref: np.ndarray, block: np.ndarray) -> tuple[float, float]:
+    """Highest score with the best block-balanced Youden J, and that J; NaN without both classes."""
+    size = int(block.max()) + 1
+    gain = []
+    for one in (ref == 1, ref == 0):
+        per = np.bincount(block[one], minlength=size)
+        if not one.any():
+            return np.nan, np.nan
+        gain.append((one, 1.0 / np.maximum(per, 1)[block], float((per > 0).sum())))
+    distinct, level = np.unique(-score, return_inverse=True)
+    run = [np.cumsum(np.bincount(level[one], share[one], len(distinct))) / n for one, share, n in gain]
+    j = np.round(run[0] - run[1], 12)
+    best = int(np.argmax(j))
+    return float(-distinct[best]), float(j[best])
+
+
+def fold_margins(obs: DataFrame, training: DataFrame, keys: list[str], a: str, b: str, ref: str | None = None) -> DataFrame:
+    """Median and interquartile range of two scores over the training blocks of each fold; ``reason`` when unusable.
+
+    With ``ref`` also ``threshold`` and ``youden_j`` of the scaled margins, as ``balanced_youden`` defines them.
+    A margin differs from fold to fold, but its rows are not copied to the folds that train on them: blocks travel as
+    arrays, once for each ``FOLDS_PER_TASK`` folds, and a task takes each fold's training cells from its scene.
+    """
+    shared = [k for k in keys if k in training.columns]
+    use = F.col(a).isNotNull() & F.col(b).isNotNull()
+    if ref:
+        use = use & F.col(ref).isNotNull()
+    cells = obs.where(use).select(
+        *keys, "block_id", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), (F.col(ref) if ref else F.lit(0)).cast("double").alias("r")
+    )
+    blocks = cells.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("a", "b", "r")).alias("_c"))
+    blocks = cut(blocks.select(*keys, "block_id", *[F.col(f"_c.{c}").alias(c) for c in ("a", "b", "r")]))
+    lists = training.groupBy(*shared, "fold").agg(F.collect_list("block_id").alias("_blocks"))
+    place = F.row_number().over(Window.partitionBy(*shared).orderBy("fold")) - 1
+    lists = cut(lists.withColumn("_part", F.floor(place / FOLDS_PER_TASK)))
+    parts = lists.select(*shared, "_part").distinct()
+    blocks = blocks.join(parts, shared)
+    lists = lists.join(blocks.select(*keys).distinct(), shared)
+    names = lists.columns
+    lists = lists.toDF(*[f"r_{c}" for c in names])
+    doubles = ["a_med", "a_iqr", "b_med", "b_iqr", *(["threshold", "youden_j"] if ref else [])]
+    out = T.StructType(
+        [blocks.schema[k] for k in keys]
+        + [training.schema["fold"], T.StructField("n_scale", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in doubles]
+    )
+
+    def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if not left.empty and not right.empty:
+            right.columns = names
+            place = {x: i for i, x in enumerate(left["block_id"])}
+            block = np.repeat(np.arange(len(left)), left["a"].map(len).to_numpy())
+            x, y, r = (np.concatenate([np.asarray(v, float) for v in left[c]]) for c in ("a", "b", "r"))
+            by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+            for fold, own in zip(right["fold"], right["_blocks"], strict=True):
+                member = np.zeros(len(left), bool)
+                member[[place[o] for o in own if o in place]] = True
+                use = member[block]
+                if not use.any():
+                    continue
+                sx, sy = x[by_x][use[by_x]], y[by_y][use[by_y]]
+                mx, my = _quantile(sx, 0.5), _quantile(sy, 0.5)
+                ix, iy = (_quantile(s, 0.75) - _quantile(s, 0.25) for s in (sx, sy))
+                row = [fold, int(use.sum()), mx, ix, my, iy]
+                if ref:
+                    fitted = (np.nan, np.nan)
+                    if ix != 0 and iy != 0:
+                        fitted = _balanced_threshold((x[use] - mx) / ix - (y[use] - my) / iy, r[use], block[use])
+                    row += fitted
+                made.append(row)
+        frame = pd.DataFrame(made, columns=["fold", "n_scale", *doubles])
+        for k in keys:
+            frame[k] = left[k].iloc[0] if len(frame) else None
+        return frame[out.names]
+
+    fits = blocks.groupBy(*keys, "_part").cogroup(lists.groupBy(*[f"r_{k}" for k in keys], "r__part")).applyInPandas(fit, out)
+    reason = F.when(F.col("a_iqr") == 0, "zero_first_iqr").when(F.col("b_iqr") == 0, "zero_second_iqr").alias("reason")
+    fitted = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in doubles[4:]]
+    return fits.select(*keys, "fold", "n_scale", *doubles[:4], reason, *fitted)
+
+
 def apply_margin(df: DataFrame, scale: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Scaled first score minus scaled second score; NULL where the scale is unavailable."""
     m = (F.col(a) - F.col("a_med")) / F.col("a_iqr") - (F.col(b) - F.col("b_med")) / F.col("b_iqr")

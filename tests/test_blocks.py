@@ -120,3 +120,47 @@ def test_exponential_fit_recovers_parameters_and_falls_back(spark):
     got = {r.f: r for r in V.fit_exponential(pts, var, ["f"]).collect()}
     assert got["fit"].scale == pytest.approx(2, rel=1e-4) and got["fit"].practical_range == pytest.approx(2 * np.log(20), rel=1e-4)
     assert got["few"].reason == "fewer_than_three_lags" and got["few"].practical_range == 2.0 and got["few"].nugget is None
+
+
+def margin_rows(spark):
+    sampled, training = setup(spark)
+    # integer second score, so that scales are exact
+    return sampled.withColumn("b", ((F.col("row_i") * 5 + F.col("col_i") * 3) % 7).cast("double")), training
+
+
+def test_fold_margins_equal_brute_force(spark):
+    rows, training = margin_rows(spark)
+    obs = [(r.block_id, r.score, r.b, r.ref) for r in rows.collect() if r.score is not None]
+    train = {}
+    for r in training.collect():
+        train.setdefault(r.fold, set()).add(r.block_id)
+    got = {r.fold: r for r in C.fold_margins(rows, training, ["site"], "score", "b", "ref").collect()}
+    assert set(got) == set(train)
+    for fold, own in train.items():
+        t = [o for o in obs if o[0] in own]
+        x, y = np.array([o[1] for o in t]), np.array([o[2] for o in t])
+        (a1, am, a3), (b1, bm, b3) = (np.quantile(v, [0.25, 0.5, 0.75]) for v in (x, y))
+        r = got[fold]
+        assert r.n_scale == len(t) and np.allclose([r.a_med, r.a_iqr, r.b_med, r.b_iqr], [am, a3 - a1, bm, b3 - b1])
+        margin = (x - r.a_med) / r.a_iqr - (y - r.b_med) / r.b_iqr
+        assert np.isclose(r.threshold, youden([(o[0], m, o[3]) for o, m in zip(t, margin, strict=True)]))
+
+
+def test_margin_rows_are_not_copied_to_folds(spark, monkeypatch):
+    rows, training = margin_rows(spark)
+    made = []
+    for module in (C, P):
+        keep = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, keep=keep: made.append(keep(df)) or made[-1])
+    sensors = {"native": ("score", "b"), "degraded": ("b", "score")}
+    out = P.evaluate_margin_pair(rows, training, ["site"], sensors)
+    n = rows.where("score IS NOT NULL").count()
+    assert out.count() > 0
+    # nothing that is materialised holds more rows than both branches, however many folds train on a row
+    assert max(df.count() for df in made) <= 2 * n
+
+
+def test_margin_without_spread_has_a_reason_and_no_threshold(spark):
+    rows, training = margin_rows(spark)
+    r = C.fold_margins(rows.withColumn("b", F.lit(1.0)), training, ["site"], "score", "b", "ref").first()
+    assert r.reason == "zero_second_iqr" and r.threshold is None and r.b_iqr == 0
