@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .stats import running_totals, suffix_minimum
 
 # fixed values
@@ -17,12 +18,13 @@ def adjust_p_values(df: DataFrame, family: list[str], p: str = "p_value", eligib
 
     Equal p-values share the rank of the last of them and so the adjusted value: counts of distinct p-values
     are enough.  Ranks are running totals and the running minimum from the top is carried over value ranges, so a
-    family of any size is spread over tasks.
+    family of any size is spread over tasks.  Rows meet their rank by the p-value itself: they are materialised, as a mean
+    that is computed again may end in another last bit and would miss it.
     """
     use = F.col(p).isNotNull() if eligible is None else F.col(p).isNotNull() & F.coalesce(eligible, F.lit(False))
     rows = df.withColumn("_p", F.when(use, F.col(p).cast("double")))
     # a struct as key keeps families with missing names apart and together
-    rows = rows.withColumn("_f", F.to_json(F.struct(*family)) if family else F.lit(""))
+    rows = cut(rows.withColumn("_f", F.to_json(F.struct(*family)) if family else F.lit("")))
     counts = rows.where(F.col("_p").isNotNull()).groupBy("_f", "_p").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, ["_f"], "_p", ["_n"])
     size = counts.groupBy("_f").agg(F.sum("_n").alias("_m"))
