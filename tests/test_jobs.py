@@ -1,5 +1,7 @@
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,26 @@ def test_running_frequency_counts_a_member_once(spark, tmp_path):
     run()
     got = {r.px: (r.n_detected, r.n_valid, r.frequency) for r in ST.latest_frequency(spark, out, ["px"]).collect()}
     assert got == {1: (1, 2, 0.5), 2: (0, 0, None)}
+
+
+def test_member_block_metrics_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    cells = [(m, i, j, f"b{i // 3}") for m in range(3) for i in range(6) for j in range(3)]
+    # the second block of member 2 has no value at all
+    rows = [("s", m, i, j, b, None if (m == 2 and b == "b1") or (i + j + m) % 5 == 0 else float(rng.integers(0, 4))) for m, i, j, b in cells]
+    m = spark.createDataFrame(rows, "site string, member int, row_i int, col_i int, block_id string, score double")
+    m = m.withColumn("valid", F.col("score").isNotNull()).withColumn("detected", F.coalesce(F.col("score") >= 2, F.lit(False)))
+    base = m.where("member = 0").select("site", "row_i", "col_i", F.col("score").alias("score0"), F.col("valid").alias("valid0"), F.col("detected").alias("detected0"))
+    out = E.member_block_metrics(m, base, ["site", "row_i", "col_i"], ["site", "member"])
+    own = {(r[1], r[2], r[3]): r[5] for r in rows}
+    got = {(r.member, r.block_id): r for r in out.collect()}
+    assert len(got) == 6
+    for (member, block), r in got.items():
+        pairs = [(own[member, i, j], own[0, i, j]) for mm, i, j, b in cells if mm == member and b == block]
+        both = pd.DataFrame([p for p in pairs if None not in p], columns=["a", "b"])
+        assert (r.n_valid, r.n_joint) == (sum(a is not None for a, _ in pairs), len(both))
+        want = both["a"].rank().corr(both["b"].rank()) if len(both) > 1 else None
+        assert r.rank_correlation is None if want is None or want != want else abs(r.rank_correlation - want) < 1e-9
+    # the rank correlation needs no second reading of the members
+    p = out._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("LogicalRDD") + p.count("LocalRelation") <= 2 and "percentile_approx" not in p
