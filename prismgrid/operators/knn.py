@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import ratio
 from ..session import cut
-from .regrid import boundary_cells
-from .stats import attach, exact_quantiles
+from . import edges
+from .stats import attach
 
 
 def _bucket(v: Column | str, size: float) -> Column:
@@ -162,31 +165,40 @@ def copy_audit(ortho: DataFrame, native: DataFrame, mapping: DataFrame, keys: li
     )
 
 
-def directed_distances(cells: DataFrame, keys: list[str], res_x: float, res_y: float, start: str, end: str) -> DataFrame:
-    """Distance in metres from each ``start`` boundary cell to the nearest ``end`` boundary cell."""
-    p = cells.withColumn("x", (F.col("col_i") + 0.5) * res_x).withColumn("y", (F.col("row_i") + 0.5) * res_y)
-    p = p.withColumn("cell_id", F.shiftleft(F.col("row_i").cast("bigint"), 32) + F.col("col_i"))
-    return nearest(p.where(F.col(start)), p.where(F.col(end)).withColumnRenamed("cell_id", "_sid0"), keys, ["cell_id"], "_sid0", math.hypot(res_x, res_y))
-
-
 def boundary_distance(
     cells: DataFrame, keys: list[str], res_x: float, res_y: float, weight: str | None = None
 ) -> DataFrame:
     """Larger of the two directed 95th percentiles of nearest-boundary distance; missing without boundary.
 
-    ``cells(keys, row_i, col_i, on_a, on_b)`` from ``boundary_cells``; ``weight`` counts a cell repeatedly.
+    ``cells(keys, row_i, col_i, on_a, on_b)`` from ``boundary_cells``; ``weight`` counts a cell repeatedly.  A task holds
+    the boundary cells of one key (a scene, at a shift or in a replicate) as arrays.
     """
-    cells = cut(cells)
-    out = None
-    for start, end, name in (("on_a", "on_b", "_ab"), ("on_b", "on_a", "_ba")):
-        d = directed_distances(cells, keys, res_x, res_y, start, end)
-        if weight:
-            w = cells.select(*keys, (F.shiftleft(F.col("row_i").cast("bigint"), 32) + F.col("col_i")).alias("cell_id"), weight)
-            d = d.join(w, [*keys, "cell_id"])
-        q = exact_quantiles(d, keys, "distance", {name: 0.95}, weight=weight).drop("n")
-        out = q if out is None else attach(out, q, keys)
-    return out.select(*keys, F.greatest("_ab", "_ba").alias("boundary_m"))
+    rows = cells.where("on_a OR on_b").select(*keys, "row_i", "col_i", "on_a", "on_b", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+
+    def distance(p: pd.DataFrame) -> float:
+        a, b = p["on_a"].to_numpy(bool), p["on_b"].to_numpy(bool)
+        return edges.symmetric_distance(p["row_i"].to_numpy(), p["col_i"].to_numpy(), a, b, res_x, res_y, p["_w"].to_numpy())
+
+    return _per_key(rows, keys, distance)
 
 
 def symmetric_boundary_distance(df: DataFrame, keys: list[str], a: str, b: str, res_x: float, res_y: float) -> DataFrame:
-    return boundary_distance(boundary_cells(df, keys, a, b), keys, res_x, res_y)
+    """``boundary_distance`` of two 0/1 maps over jointly present cells, each key's cells moved once."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, "row_i", "col_i", F.col(a).cast("int").alias("_a"), F.col(b).cast("int").alias("_b"))
+
+    def distance(p: pd.DataFrame) -> float:
+        row, col = p["row_i"].to_numpy(np.int64), p["col_i"].to_numpy(np.int64)
+        on_a, on_b = edges.boundary(row, col, [p["_a"].to_numpy(), p["_b"].to_numpy()])
+        return edges.symmetric_distance(row, col, on_a, on_b, res_x, res_y)
+
+    return _per_key(rows, keys, distance)
+
+
+def _per_key(rows: DataFrame, keys: list[str], distance: Callable[[pd.DataFrame], float]) -> DataFrame:
+    """``keys, boundary_m`` of the keys that have one."""
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("boundary_m", T.DoubleType())])
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return p[keys].head(1).assign(boundary_m=distance(p))
+
+    return rows.groupBy(*keys).applyInPandas(run, schema).where(F.col("boundary_m").isNotNull() & ~F.isnan("boundary_m"))

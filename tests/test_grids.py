@@ -149,3 +149,96 @@ def test_a_window_reads_only_the_swath_it_points_into(spark, tmp_path):
     assert "LessThanOrEqual(src_row,4" in plan and part.count() == 9  # printed plans are cut short
     assert {r.col_i: r.v for r in G.glt_gather(glt, part, ["site"], ["v"]).collect()} == {0: 23.0, 1: 45.0, 2: None}
     assert G.swath_window(glt.where("src_x = 0"), swath).count() == 0
+
+
+def brute_distance(on_a, on_b, w=None):
+    """Larger of the two directed 95th percentiles over lists of boundary cells, by all pairs."""
+    def directed(p, q):
+        d = [min(np.hypot((r - i) * 20.0, (c - j) * 30.0) for i, j in q) for r, c in p]
+        return np.quantile(np.repeat(d, [1 if w is None else w[x] for x in p]), 0.95)
+
+    return max(directed(on_a, on_b), directed(on_b, on_a)) if on_a and on_b else None
+
+
+def brute_boundary(grid, one, other):
+    near = lambda r, c: [grid[x] for x in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if x in grid and None not in grid[x]]
+    on = lambda k: [x for x, v in grid.items() if None not in v and v[k] == 1 and any(n[k] == 0 for n in near(*x))]
+    return on(one), on(other)
+
+
+def two_maps(spark, seed=1, n=12):
+    rng = np.random.default_rng(seed)
+    grid = {(r, c): tuple(None if rng.random() < 0.1 else int(rng.random() < p) for p in (0.2, 0.3)) for r in range(n) for c in range(n) if (r, c) != (5, 5)}
+    df = spark.createDataFrame([("s", r, c, a, b, float(r * c % 7) if a is not None else None, float(c % 5)) for (r, c), (a, b) in grid.items()],
+                               "site string, row_i int, col_i int, a int, b int, x double, y double")
+    return grid, df
+
+
+def generated(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+
+def test_nearest_boundary_cells_equal_brute_force(monkeypatch):
+    from prismgrid.operators import edges
+
+    rng = np.random.default_rng(3)
+    for pairs in (3, 2_000_000):
+        monkeypatch.setattr(edges, "PAIRS", pairs)
+        for n, m, span in ((1, 1, 3), (40, 3, 200), (3, 60, 10**6), (80, 80, 9)):
+            t, s = rng.integers(-span, span, (n, 2)), rng.integers(-span, span, (m, 2))
+            got = edges.nearest_distances(t[:, 0], t[:, 1], s[:, 0], s[:, 1], 30.0, 20.0)
+            want = np.sqrt((((t[:, 0, None] - s[:, 0]) * 20.0) ** 2 + ((t[:, 1, None] - s[:, 1]) * 30.0) ** 2).min(1))
+            assert np.allclose(got, want, rtol=1e-12)
+    v, w = rng.integers(0, 9, 50).astype(float), rng.integers(1, 5, 50)
+    assert edges.weighted_quantile(v, w, 0.95) == pytest.approx(np.quantile(np.repeat(v, w), 0.95))
+
+
+def test_boundary_distance_moves_a_cell_once(spark):
+    grid, df = two_maps(spark)
+    out = knn.symmetric_boundary_distance(df, ["site"], "a", "b", 30.0, 20.0)
+    assert generated(out) == 0
+    assert out.first().boundary_m == pytest.approx(brute_distance(*brute_boundary(grid, 0, 1)))
+    on_a, on_b = brute_boundary(grid, 0, 1)
+    weight = {x: 1 + (x[0] + x[1]) % 3 for x in grid}
+    cells = G.boundary_cells(df, ["site"], "a", "b").withColumn("w", 1 + (F.col("row_i") + F.col("col_i")) % 3)
+    assert knn.boundary_distance(cells, ["site"], 30.0, 20.0, "w").first().boundary_m == pytest.approx(brute_distance(on_a, on_b, weight))
+
+
+def test_registration_shifts_without_a_copy_of_the_cells(spark):
+    from prismgrid.operators import compare_dates as CD
+
+    grid, df = two_maps(spark, 2)
+    out = CD.registration_sensitivity(df, ["site"], "x", "y", "a", "b", 30.0, 20.0)
+    assert generated(out) == 0
+    rows = out.collect()
+    assert len(rows) == 9
+    for r in rows:
+        moved = {x: (v[0], grid.get((x[0] - r.dy, x[1] - r.dx), (None, None))[1]) for x, v in grid.items()}
+        joint = [v for v in moved.values() if None not in v]
+        assert r.iou == pytest.approx(sum(v == (1, 1) for v in joint) / sum(1 in v for v in joint))
+        assert r.n_joint == sum(grid[x][0] is not None and (x[0] - r.dy, x[1] - r.dx) in grid for x in grid)
+        assert r.boundary_m == pytest.approx(brute_distance(*brute_boundary(moved, 0, 1)))
+
+
+def test_boundary_null_without_a_copy_of_the_cells(spark):
+    from prismgrid.operators import blocks as K, compare_dates as CD, resample as R
+
+    grid, df = two_maps(spark, 5)
+    b = K.in_complete_blocks(df, K.grid_shape(df, ["site"]), ["site"], 4)
+    out = CD.boundary_null(b, ["site"], "a", "b", 30.0, 20.0, 4, 6, 5)
+    got = {r.rep: r.boundary_m for r in out.collect()}
+    orders = {}
+    for r in R.block_orderings(b.select("site", "block_id").distinct(), ["site"], 6, 5).collect():
+        orders.setdefault(r.rep, {})[r.target] = r.source
+    place = lambda name: (int(name[1:5]) * 4, int(name[7:11]) * 4)
+    assert len(orders) == 6
+    for rep, order in orders.items():
+        on_a, on_b = [], []
+        for target, source in order.items():
+            (tr, tc), (sr, sc) = place(target), place(source)
+            cells = {(tr + i, tc + j): (grid[tr + i, tc + j][0], grid[sr + i, sc + j][1]) for i in range(4) for j in range(4) if (tr + i, tc + j) in grid and (sr + i, sc + j) in grid}
+            x, y = brute_boundary(cells, 0, 1)
+            on_a, on_b = on_a + x, on_b + y
+        assert got.get(rep) == pytest.approx(brute_distance(on_a, on_b))
+    # cells travel in blocks: no join by cell
+    assert "cell#" not in out._jdf.queryExecution().optimizedPlan().toString().split("CoGroup")[0]
