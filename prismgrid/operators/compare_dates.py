@@ -16,7 +16,7 @@ from .agree import overlap_ratios
 from .knn import boundary_distance
 from .packets import moved_boundaries, permuted, rank_correlation
 from .regrid import boundary_cells
-from .resample import block_orderings
+from .resample import ordering_lists
 
 
 def registration_sensitivity(
@@ -88,7 +88,7 @@ def boundary_null(
     sampled: DataFrame, keys: list[str], a: str, b: str, res_x: float, res_y: float, side: int, replicates: int, seed
 ) -> DataFrame:
     """Boundary distance per ordering of the repeat blocks laid over the anchor blocks; blocks are packed, no cell is copied to orderings."""
-    orders = block_orderings(sampled.select(*keys, "block_id").distinct(), keys, replicates, seed)
+    orders = ordering_lists(sampled.select(*keys, "block_id").distinct(), keys, replicates, seed)
     fields = [a, b, "row_i", "col_i"]
     return permuted(sampled, orders, keys, fields, side, moved_boundaries(a, b, side, res_x, res_y), ["boundary_m"]).where("boundary_m IS NOT NULL")
 
