@@ -75,3 +75,17 @@ def test_cells_are_not_broadcast_to_their_grid(spark):
     # the side that is kept is the cells, so only the grids can be broadcast
     assert "LeftOuter" in plan(out) and "BuildLeft" not in plan(out)
     assert out.count() == 100
+
+
+def test_members_are_counted_before_they_meet_the_patches(spark):
+    from prismgrid.operators import pairs as P
+
+    patches = spark.createDataFrame([(1,), (2,)], "patch_id long")
+    pairs = spark.createDataFrame([(1, 2), (1, 9)], "i long, j long")
+    members = spark.createDataFrame([(0, 1), (0, 7), (1, 7), (1, None), (2, 2)], "cluster_id long, patch_id long")
+    out = P.contract_violations(patches, pairs, members)
+    got = sorted((r.check, r.patch_id if r.patch_id is not None else -1) for r in out.collect())
+    assert got == [("duplicate_membership", 7), ("member_without_patch", -1), ("member_without_patch", 7), ("pair_without_patch", 9)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join LeftAnti" in line]
+    assert len(joins) == 2 and all("Aggregate" in lines[i + 1] for i in joins)
