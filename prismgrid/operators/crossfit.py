@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,10 +12,12 @@ from pyspark.sql import types as T
 
 from ..session import cut
 from .stats import _bucket as bucket_of
-from .stats import attach, exact_quantiles, running_totals, value_edges
+from .stats import attach, dealt, exact_quantiles, running_totals, value_edges
 
 #: Score levels that a task holds as dense rows over blocks.
 SLICE = 2048
+#: Score counts of a bucket, and the most halvings that make buckets of a key.
+BUCKET_ROWS, MAX_STEPS = 50_000, 4
 #: Folds whose margins one task fits; the blocks of a scene travel once for each such part.
 FOLDS_PER_TASK = 64
 
@@ -60,18 +64,23 @@ def balanced_youden(rows: DataFrame, keys: list[str], steps: int = 4) -> DataFra
     )
 
 
-def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str], steps: int = 4) -> DataFrame:
+def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str], steps: int | None = None) -> DataFrame:
     """Threshold per held-out block from its training blocks: ``keys, fold, n_training_blocks, threshold, youden_j``.
 
     ``training``: ``keys, fold, block_id`` and optionally ``w`` (multiplicity of a drawn block); further columns, as a
     replicate, tell lists of a fold apart.  Score counts are not copied to the folds that train on them: scores
     are cut into buckets, and a task multiplies one bucket's counts (score x block) by the weights (block x fold).
     Sums of the buckets above come with each fold, so a task returns the bucket's best threshold of every fold.
+    The list of a fold travels once for each bucket, so their number follows the largest key (up to ``2**MAX_STEPS``) unless
+    ``steps`` fixes it, and the number of tasks follows the lists.
     """
     t = training if "w" in training.columns else training.withColumn("w", F.lit(1))
     shared = [k for k in keys if k in t.columns]
     extra = [c for c in t.columns if c not in {*keys, "fold", "block_id", "w"}]
     counts = cut(block_score_counts(obs, keys))
+    largest, n_rows = (x or 1 for x in counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).collect()[0])
+    if steps is None:
+        steps = min(MAX_STEPS, max(1, math.ceil(math.log2(max(2.0, largest / BUCKET_ROWS)))))
     rows = attach(counts, value_edges(counts, keys, "score", steps), keys)
     rows = rows.select(
         *keys, "block_id", F.col("score").cast("double").alias("score"), bucket_of(F.col("score"), F.col("_edges"), steps).alias("_b"),
@@ -79,13 +88,14 @@ def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str], steps:
         F.when(F.col("neg") > 0, F.col("neg") / F.col("block_neg")).otherwise(0.0).alias("wn"),
     )
     fold = [*keys, *extra, "fold"]
-    blocks = counts.groupBy(*keys, "block_id").agg(F.first("block_pos").alias("p"), F.first("block_neg").alias("n"))
-    lists = blocks.join(t, [*shared, "block_id"]).groupBy(*fold).agg(
+    blocks = cut(counts.groupBy(*keys, "block_id").agg(F.first("block_pos").alias("p"), F.first("block_neg").alias("n")))
+    lists = cut(blocks.join(t, [*shared, "block_id"]).groupBy(*fold).agg(
         F.sum(F.when(F.col("p") > 0, F.col("w")).otherwise(0)).alias("_np"),
         F.sum(F.when(F.col("n") > 0, F.col("w")).otherwise(0)).alias("_nn"),
         F.sum("w").alias("n_training_blocks"),
         F.collect_list(F.struct("block_id", F.col("w").cast("double").alias("w"))).alias("_l"),
-    ).where("_np > 0 AND _nn > 0")
+    ).where("_np > 0 AND _nn > 0"))
+    listed = lists.agg(F.sum(F.size("_l"))).collect()[0][0] or 1
     sums = rows.groupBy(*keys, "_b", "block_id").agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn")).join(t, [*shared, "block_id"])
     sums = sums.groupBy(*fold, "_b").agg(F.sum(F.col("wp") * F.col("w")).alias("wp"), F.sum(F.col("wn") * F.col("w")).alias("wn"))
     above = Window.partitionBy(*fold).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +143,8 @@ def fold_thresholds(obs: DataFrame, training: DataFrame, keys: list[str], steps:
 
     # other names: both sides of the cogroup come from the same rows
     sides = sides.toDF(*[f"r_{c}" for c in names])
-    found = rows.groupBy(*keys, "_b").cogroup(sides.groupBy(*[f"r_{k}" for k in keys], "r__b")).applyInPandas(best, out)
+    left, right, size = [*keys, "_b"], [*[f"r_{k}" for k in keys], "r__b"], n_rows + listed * 2**steps
+    found = dealt(rows, size, left).groupBy(*left).cogroup(dealt(sides, size, right).groupBy(*right)).applyInPandas(best, out)
     return found.groupBy(*fold, "n_training_blocks").agg(F.max_by("score", F.struct("_j", "score")).alias("threshold"), F.max("_j").alias("youden_j"))
 
 

@@ -89,3 +89,36 @@ def test_members_are_counted_before_they_meet_the_patches(spark):
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [i for i, line in enumerate(lines) if "Join LeftAnti" in line]
     assert len(joins) == 2 and all("Aggregate" in lines[i + 1] for i in joins)
+
+
+def test_tasks_follow_the_rows_however_well_they_compress(spark, monkeypatch):
+    from prismgrid.operators import crossfit as C
+
+    cells = spark.range(2 * 900).select(
+        (F.col("id") % 2).alias("site"), (F.floor(F.col("id") / 2) / 30).cast("int").alias("row_i"), (F.floor(F.col("id") / 2) % 30).cast("int").alias("col_i"),
+        (F.pmod(F.hash("id"), F.lit(97)) / 7.0).alias("score"), F.pmod(F.hash("id", F.lit(1)), F.lit(2)).alias("ref"))
+    grid = K.grid_shape(cells, ["site"])
+    obs = K.in_complete_blocks(cells, grid, ["site"], 6)
+    folds = K.training_pairs(K.complete_blocks(grid, ["site"], 6), ["site"], 1)
+    want = sorted(map(tuple, C.fold_thresholds(obs, folds, ["site"], steps=4).drop("youden_j").collect()))
+    pairs = sorted(map(tuple, R.pair_numerators(obs, ["site"]).collect()))
+    monkeypatch.setattr(stats, "TASK_ROWS", 50)
+    steps, edges = [], C.value_edges
+    monkeypatch.setattr(C, "value_edges", lambda df, keys, value, n: steps.append(n) or edges(df, keys, value, n))
+    got, tiles = C.fold_thresholds(obs, folds, ["site"]), R.pair_numerators(obs, ["site"])
+    # tasks are dealt by number, which Spark does not put together again by compressed bytes
+    assert plan(got).count("REPARTITION_BY_NUM") == 2 and plan(tiles).count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, got.drop("youden_j").collect())) == want and sorted(map(tuple, tiles.collect())) == pairs
+    # a small key has two buckets, so the list of a fold travels twice and not sixteen times
+    assert steps == [1]
+
+
+def test_a_bootstrap_is_joined_from_materialised_block_tables(spark):
+    oof = spark.range(400).select(
+        (F.col("id") % 2).alias("k"), F.format_string("b%02d", (F.col("id") % 9).cast("int")).alias("block_id"),
+        (F.pmod(F.hash("id"), F.lit(31)) / 3.0).alias("score"), F.pmod(F.hash("id", F.lit(1)), F.lit(2)).alias("ref"), (F.col("id") % 2).cast("int").alias("pred"))
+    out = R.bootstrap_metrics(oof, ["k"], 20, 7)
+    p = plan(out)
+    # the last join reads two tables; no window, draw or cogroup before it shares its tasks
+    assert "Window" not in p and "FlatMapCoGroups" not in p and "Generate" not in p
+    assert out.count() == 40
