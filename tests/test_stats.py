@@ -107,3 +107,26 @@ def test_a_fit_uses_bands_of_all_endmembers_and_some_pixel(spark):
     pixels = spark.createDataFrame([([None, 1.0, None, 2.0],), ([None, None, None, 1.0],), (None,)], "refl array<double>")
     members = spark.createDataFrame([([1.0, 1.0, 1.0, float("nan")],), ([1.0, 2.0, 1.0, 1.0],)], "refl array<double>")
     assert [r.band_index for r in L.valid_bands(members, pixels, 4).collect()] == [1]
+
+
+def test_many_keys_are_merged_at_once(spark, monkeypatch):
+    from prismgrid.operators import moments as B
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 2))
+    # 1,500 keys with four states each, one key missing: one round, however many states there are
+    rows = [((i % 1500) or None, 1, v.tolist(), [0.0] * 4) for i, v in enumerate(x)] + [(7, 0, None, None)]
+    states = spark.createDataFrame(rows, "k long, n long, mean array<double>, m2 array<double>").repartition(5)
+    out = B.merge_moments(states, ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == 1500
+    for k in (None, 1, 7, 1499):
+        own = x[(k or 0) :: 1500]
+        assert got[k].n == 4 and np.allclose(got[k].mean, own.mean(0)) and np.allclose(np.reshape(got[k].m2, (2, 2)), np.cov(own.T) * 3)
+    # bins of a few keys give the same
+    monkeypatch.setattr(B, "MAX_BIN", 100)
+    again = {r.k: r for r in B.merge_moments(states, ["k"]).collect()}
+    assert again == got
+    whole = B.merge_moments(states.drop("k"), []).collect()
+    assert len(whole) == 1 and whole[0].n == 6000 and np.allclose(np.reshape(whole[0].m2, (2, 2)), np.cov(x.T) * 5999)
