@@ -112,48 +112,45 @@ def bilinear_regrid(
     return targets.join(got, ids, "left")
 
 
-def _overlaps(targets: DataFrame, target: Grid, source: Grid) -> DataFrame:
-    """Source cells under each target cell with the overlap area as share of the target."""
-    def span(index: Column, t0: float, ts: float, s0: float, ss: float, n: int) -> Column:
-        a = (F.lit(t0) + index * ts - s0) / ss
-        b = (F.lit(t0) + (index + 1) * ts - s0) / ss
+def _overlaps(source: DataFrame, grid: Grid, target: Grid, keys: list[str], values: list[str]) -> DataFrame:
+    """Target cells that each source cell reaches (mostly one) with the overlap area as share of the target: ``keys, row_i, col_i, values, _w``.
+
+    Sums over a target are then taken where the source is scanned: no list of source cells is made for a target, and
+    no join has to bring the two together.
+    """
+    def span(index: Column, s0: float, ss: float, t0: float, ts: float) -> Column:
+        a = (F.lit(s0) + index * ss - t0) / ts
+        b = (F.lit(s0) + (index + 1) * ss - t0) / ts
         lo, hi = F.least(a, b), F.greatest(a, b)
-        first = F.greatest(F.lit(0).cast("bigint"), F.floor(lo))
-        last = F.least(F.lit(n - 1).cast("bigint"), F.ceil(hi) - 1)
-        cells = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
         return F.transform(
-            cells, lambda i: F.struct(i.cast("int").alias("i"), ((F.least(hi, i + 1.0) - F.greatest(lo, i.cast("double"))) / (hi - lo)).alias("w"))
+            F.sequence(F.floor(lo), F.ceil(hi) - 1), lambda t: F.struct(t.cast("int").alias("i"), (F.least(hi, t + 1.0) - F.greatest(lo, t.cast("double"))).alias("w"))
         )
 
-    rows = span(F.col("row_i"), target.y0, target.dy, source.y0, source.dy, source.n_rows)
-    cols = span(F.col("col_i"), target.x0, target.dx, source.x0, source.dx, source.n_cols)
-    t = targets.withColumn("_rs", rows).withColumn("_cs", cols)
-    t = t.select(*targets.columns, F.explode("_rs").alias("_ro"), "_cs").select(*targets.columns, "_ro", F.explode("_cs").alias("_co"))
-    return t.select(
-        *targets.columns, F.col("_ro.i").alias("_r"), F.col("_co.i").alias("_c"), (F.col("_ro.w") * F.col("_co.w")).alias("_w")
-    ).where("_w > 1e-12")
+    rows = span(F.col("row_i"), grid.y0, grid.dy, target.y0, target.dy)
+    cols = span(F.col("col_i"), grid.x0, grid.dx, target.x0, target.dx)
+    cells = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r["i"].alias("row_i"), c["i"].alias("col_i"), (r["w"] * c["w"]).alias("_w")))))
+    # outer: an inner explode would be computed a second time, as a filter before it
+    met = source.where(_inside(F.col("row_i"), F.col("col_i"), grid)).select(*keys, *values, F.explode_outer(cells).alias("_t"))
+    return met.select(*keys, *values, "_t.*").where("_w > 1e-12")
 
 
 def area_average(targets: DataFrame, source: DataFrame, target: Grid, grid: Grid, keys: list[str], value: str) -> DataFrame:
     """Area-weighted mean of the present source values under each target cell."""
     ids = [*keys, "row_i", "col_i"]
-    src = source.where(F.col(value).isNotNull()).select(*keys, F.col("row_i").alias("_r"), F.col("col_i").alias("_c"), F.col(value).alias("_val"))
-    got = _overlaps(targets.select(*ids), target, grid).join(src, [*keys, "_r", "_c"]).groupBy(*ids).agg(
-        (F.sum(F.col("_w") * F.col("_val")) / F.sum("_w")).alias(value)
-    )
+    src = source.where(F.col(value).isNotNull())
+    got = _overlaps(src, grid, target, keys, [value]).groupBy(*ids).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value))
     return targets.join(got, ids, "left")
 
 
 def block_footprint(targets: DataFrame, blocks_of_cells: DataFrame, target: Grid, grid: Grid, keys: list[str]) -> DataFrame:
     """Block of each target cell when it lies fully inside one complete block; flags otherwise.
 
-    ``blocks_of_cells(keys, row_i, col_i, block_id)`` lists the source cells of complete blocks.
+    ``blocks_of_cells(keys, row_i, col_i, block_id)`` lists the source cells of complete blocks.  Cells are first summed for
+    each target and block, by hash: least and greatest of names need sorted rows, and then have few to sort.
     """
     ids = [*keys, "row_i", "col_i"]
-    src = blocks_of_cells.select(*keys, F.col("row_i").alias("_r"), F.col("col_i").alias("_c"), "block_id")
-    got = _overlaps(targets.select(*ids), target, grid).join(src, [*keys, "_r", "_c"]).groupBy(*ids).agg(
-        F.sum("_w").alias("_cov"), F.min("block_id").alias("_lo"), F.max("block_id").alias("_hi")
-    )
+    per_block = _overlaps(blocks_of_cells, grid, target, keys, ["block_id"]).groupBy(*ids, "block_id").agg(F.sum("_w").alias("_w"))
+    got = per_block.groupBy(*ids).agg(F.sum("_w").alias("_cov"), F.min("block_id").alias("_lo"), F.max("block_id").alias("_hi"))
     full = F.coalesce(F.col("_cov") > 1 - 1e-9, F.lit(False))
     one = full & (F.col("_lo") == F.col("_hi"))
     return targets.join(got, ids, "left").select(

@@ -242,3 +242,35 @@ def test_boundary_null_without_a_copy_of_the_cells(spark):
         assert got.get(rep) == pytest.approx(brute_distance(on_a, on_b))
     # cells travel in blocks: no join by cell
     assert "cell#" not in out._jdf.queryExecution().optimizedPlan().toString().split("CoGroup")[0]
+
+
+def test_sums_over_targets_are_taken_from_the_source_cells(spark):
+    rng = np.random.default_rng(6)
+    value = rng.normal(size=(12, 10))
+    value[rng.random(value.shape) < 0.2] = np.nan
+    fine, wide = G.Grid(5.0, 1.0, 9.0, -0.5, 12, 10), G.Grid(4.0, 3.3, 10.0, -1.7, 5, 4)
+    cells = [("s", i, j, None if np.isnan(value[i, j]) else float(value[i, j]), f"b{i // 4}") for i in range(12) for j in range(10)]
+    src = spark.createDataFrame(cells, "site string, row_i int, col_i int, v double, block_id string")
+    targets = spark.createDataFrame([("s", i, j) for i in range(5) for j in range(4)] + [("t", 0, 0)], "site string, row_i int, col_i int")
+
+    def overlap(t0, ts, i, s0, ss, k):
+        (a, b), (c, d) = sorted((t0 + i * ts, t0 + (i + 1) * ts)), sorted((s0 + k * ss, s0 + (k + 1) * ss))
+        return max(0.0, min(b, d) - max(a, c)) / (b - a)
+
+    mean = G.area_average(targets, src.drop("block_id"), wide, fine, ["site"], "v")
+    foot = G.block_footprint(targets, src.drop("v"), wide, fine, ["site"])
+    got = {(r.site, r.row_i, r.col_i): r.v for r in mean.collect()}
+    block = {(r.site, r.row_i, r.col_i): (r.block_id, r.crosses_boundary, r.incomplete_support) for r in foot.collect()}
+    assert len(got) == len(block) == 21 and got["t", 0, 0] is None and block["t", 0, 0] == (None, False, True)
+    for i in range(5):
+        for j in range(4):
+            w = np.array([[overlap(10.0, -1.7, i, 9.0, -0.5, r) * overlap(4.0, 3.3, j, 5.0, 1.0, c) for c in range(10)] for r in range(12)])
+            present = np.where(np.isnan(value), 0.0, w)
+            want = (present * np.nan_to_num(value)).sum() / present.sum() if present.sum() > 1e-9 else None
+            assert got["s", i, j] == (pytest.approx(want) if want is not None else None)
+            full = w.sum() > 1 - 1e-9
+            names = {f"b{r // 4}" for r in np.flatnonzero(w.sum(1) > 1e-9)}
+            assert block["s", i, j] == (min(names) if full and len(names) == 1 else None, full and len(names) > 1, not full)
+    # the only join brings the sums to the targets: source cells are not looked up one by one
+    for df in (mean, foot):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
