@@ -43,6 +43,15 @@ def test_unusable_vectors_take_no_part(spark):
     assert topk.top_k(df, df.where("false")).count() == 0
 
 
+def test_trees_and_queries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    df = spark.createDataFrame([(i, [0.5] * 8) for i in range(200)], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, df.where("vec_id % 50 = 0"), 5)
+    # equal vectors compress to next to nothing: no size that Spark sees may make them a broadcast or one task
+    assert "BroadcastExchange" not in out._jdf.queryExecution().toString()
+    assert sorted(r["n"] for r in out.groupBy("query_id").count().selectExpr("count AS n").collect()) == [5] * 4
+
+
 def test_boxes_are_tight_and_hold_all_rows():
     vectors = np.random.default_rng(3).integers(-100, 100, (500, 4))
     order, low, high, child, span = topk.build_tree(vectors, 16)
