@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import col
+from ..session import cut
+from .drawn import counted_above, drawn_quantile, packed_values
 from .stats import exact_quantiles, top_rows
 
 # fixed values: indicator minerals of the ordinal tier, most acidic first
@@ -80,7 +82,7 @@ def counts_for(df: DataFrame, keys: list[str], code: str, codes: list[int]) -> D
 
 def calibrated_detection(
     scores: DataFrame,
-    draws: DataFrame,
+    weights: DataFrame,
     keys: list[str],
     q: float,
     max_infeas: float | None,
@@ -90,19 +92,24 @@ def calibrated_detection(
 ) -> DataFrame:
     """Threshold per (keys, rep): quantile of the gated positive scores in the drawn blocks, by multiplicity.
 
-    ``draws(keys, rep, block, w)``.  Returns thresholds with ``n_calibration`` pixels, each counted as often as
-    its block was drawn.  Draws whose blocks hold no positive score have no threshold, a reason, and no detections.
+    ``weights(keys, block, draws)``, an array by replicate as ``block_weights`` makes it.  Returns thresholds with
+    ``n_calibration`` pixels, each counted as often as its block was drawn, and ``n_detected``, the gated scores of the key at or
+    above the threshold, drawn or not.  Draws whose blocks hold no positive score have no threshold, a reason, and no detections.
     """
     ok = F.col(score).isNotNull() & F.col(infeas).isNotNull() & (F.col(score) > 0)
     if max_infeas is not None:
         ok = ok & (F.col(infeas) < max_infeas)
-    cal = scores.where(ok).select(*keys, block, score).join(draws, [*keys, block])
-    counts = cal.groupBy(*keys, "rep").agg(F.sum("w").cast("bigint").alias("n_calibration"))
-    thr = exact_quantiles(cal, [*keys, "rep"], score, {"threshold": q}, weight="w").drop("n")
-    every = draws.select(*keys, "rep").distinct()
-    out = every.join(counts, [*keys, "rep"], "left").join(thr, [*keys, "rep"], "left")
-    reason = F.when(F.col("n_calibration").isNull(), "no_positive_calibration_scores")
-    return out.withColumns({"reason": reason, "n_calibration": F.coalesce("n_calibration", F.lit(0))})
+    weights = cut(weights.select(*keys, block, "draws"))
+    packed = packed_values(scores.where(ok), weights, keys, block, score)
+    thr = cut(drawn_quantile(packed, keys, q, "threshold"))
+    # thresholds are positive, so the packed scores hold all detections
+    found = counted_above(packed, thr, keys, "threshold", "n_detected")
+    last = weights.groupBy(*keys).agg(F.first(F.size("draws") - 1).alias("_last"))
+    every = last.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("rep")).hint("merge")
+    out = every.join(thr, [*keys, "rep"], "left").join(found, [*keys, "rep"], "left")
+    reason = F.when(F.col("n").isNull(), "no_positive_calibration_scores")
+    counts = {c: F.coalesce(n, F.lit(0)) for c, n in (("n_calibration", F.col("n")), ("n_detected", F.col("n_detected")))}
+    return out.withColumns({"reason": reason, **counts}).drop("n")
 
 
 def opacity(strength: Column, vmax: Column) -> Column:

@@ -130,3 +130,27 @@ def test_many_keys_are_merged_at_once(spark, monkeypatch):
     assert again == got
     whole = B.merge_moments(states.drop("k"), []).collect()
     assert len(whole) == 1 and whole[0].n == 6000 and np.allclose(np.reshape(whole[0].m2, (2, 2)), np.cov(x.T) * 5999)
+
+
+def test_drawn_quantiles_are_exact_and_no_value_travels_by_replicate(spark):
+    from prismgrid.functions.draws import block_weights
+    from prismgrid.operators import detect
+
+    rng = np.random.default_rng(5)
+    rows = [(k, f"b{b}", None if rng.random() < 0.1 else float(rng.integers(-20, 60)) / 4 + 3 * b, float(rng.random())) for k in (1, 2) for b in range(6) for _ in range(40)]
+    # a key without any positive score, and blocks that hold none
+    rows += [(3, "b0", -1.0, 0.1), (3, "b1", None, 0.2), (2, "b7", -2.0, 0.0), (1, "b8", 5.0, None)]
+    df = spark.createDataFrame(rows, "site int, block_id string, score double, infeas double")
+    w = block_weights(df.select("site", "block_id").distinct(), ["site"], 25, 4)
+    draws = {(r.site, r.block_id): r.draws for r in w.collect()}
+    got = {(r.site, r.rep): r for r in detect.calibrated_detection(df, w, ["site"], 0.9, 0.8).collect()}
+    assert len(got) == 75
+    for (k, rep), r in got.items():
+        gated = [(s, draws[k, b][rep]) for site, b, s, i in rows if site == k and s is not None and i is not None and s > 0 and i < 0.8]
+        v = np.repeat([s for s, _ in gated], [c for _, c in gated])
+        assert r.n_calibration == len(v)
+        if not len(v):
+            assert (r.threshold, r.reason, r.n_detected) == (None, "no_positive_calibration_scores", 0)
+            continue
+        assert r.threshold == pytest.approx(np.quantile(v, 0.9), abs=1e-12) and r.reason is None
+        assert r.n_detected == sum(s >= r.threshold for s, _ in gated)
