@@ -274,3 +274,46 @@ def test_sums_over_targets_are_taken_from_the_source_cells(spark):
     # the only join brings the sums to the targets: source cells are not looked up one by one
     for df in (mean, foot):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_pairs_are_read_leaf_by_leaf(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "LEAF", 8)
+    monkeypatch.setattr(P, "ANGLE_LEAF", 4)
+    rng = np.random.default_rng(8)
+    n = 900
+    v = np.round(rng.uniform(1, 9, (n, 3)), 1)
+    v[700:] = v[:200]  # equal vectors, of their own and of other labels
+    mean, std = rng.uniform(0, 50, (n, 2)), rng.uniform(0, 50, (n, 2))
+    lab = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b"], n))
+    one = lambda x: pa.array([x.ravel().tolist()], pa.list_(pa.float64()))
+    names = {"ia": pa.array([list(range(n))]), "ib": pa.array([list(range(n))]), "la": pa.array([lab.tolist()]), "lb": pa.array([lab.tolist()]), "same": pa.array([True])}
+    cols = {f"{k}_{s}": one(m) for k, m in (("m", mean), ("s", std), ("v", v), ("t", np.ones((n, 1)))) for s in "ab"}
+    batch = pa.RecordBatch.from_pydict(names | cols)
+    x, y = np.triu_indices(n, 1)
+    dm, ds, ang = P.l2(mean[x], mean[y]), P.l2(std[x], std[y]), P.angle_deg(v[x], v[y])
+    thr = {"m": 6.0, "s": 7.0}
+    strips = list(P._close_strips(batch, thr, {}))
+    assert sum(s.products["m"][0].size for s in strips) < 0.4 * n * n / 2
+    got = sorted(tuple(sorted((int(s.ia[i]), int(s.ib[j])))) for s in strips for i, j in zip(*P._close(s, thr)[:2]))
+    assert got == sorted(zip(*(z[(dm <= 6) & (ds <= 7) & (lab[x] != lab[y])].tolist() for z in (x, y))))
+    # leaves that lie nearer as a whole are counted without a look
+    ((whole, of),) = P._angle_strips(batch, "v", "t", 20.0, 20.5)
+    below = seen = 0
+    for s in of:
+        under, _ = P._split(s, "v", P.ANGLE, 20.0, 20.5)
+        below, seen = below + int(under.sum()), seen + under.size
+    assert whole > 0 and seen + whole < n * n / 2 and whole + below == int((ang < 20.0).sum())
+
+    monkeypatch.setattr(P, "CHUNK", 64)
+    monkeypatch.setattr(P, "SAMPLE", 60)
+    rows = [(i, str(lab[i]), [float(e) for e in mean[i]], [float(e) for e in std[i]], [float(e) for e in v[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, label string, rgb_mean array<double>, rgb_std array<double>, swir_mean array<double>")
+    inside = ang[lab[x] == lab[y]]
+    for q in (0.6, 0.0, 0.999):
+        r = P.pair_quantile(df, "id", "label", "swir_mean", P.ANGLE, q, 180.0, False).first()
+        assert (r.n_pairs, r.threshold) == (len(inside), pytest.approx(np.quantile(inside, q), abs=1e-9))
+    pairs, t = P.ambiguous_pairs(df, "id", "label", 0.1, 2, above=15.0)
+    want = (dm <= t["rgb_mean"]) & (ds <= t["rgb_std"]) & (lab[x] != lab[y]) & (ang > 15.0)
+    assert sorted((r.i, r.j) for r in pairs.collect()) == sorted(zip(x[want].tolist(), y[want].tolist()))
