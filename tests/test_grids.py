@@ -317,3 +317,23 @@ def test_pairs_are_read_leaf_by_leaf(spark, monkeypatch):
     pairs, t = P.ambiguous_pairs(df, "id", "label", 0.1, 2, above=15.0)
     want = (dm <= t["rgb_mean"]) & (ds <= t["rgb_std"]) & (lab[x] != lab[y]) & (ang > 15.0)
     assert sorted((r.i, r.j) for r in pairs.collect()) == sorted(zip(x[want].tolist(), y[want].tolist()))
+
+
+def test_ranked_pairs_are_found_once_and_ties_share_no_task(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 10)
+    made = spark.sparkContext.accumulator(0)
+
+    def found(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(6)
+    # most pairs have one angle
+    rows = [(i, i + 1 + k, float(rng.integers(0, 3)) if i < 4 else 1.0) for i in range(40) for k in range(5)]
+    pairs = spark.createDataFrame(rows, "i long, j long, angle_deg double").repartition(4).mapInArrow(found, "i bigint, j bigint, angle_deg double")
+    got = P.ranked_pairs(pairs)
+    parts = {r.p for r in got.where("angle_deg = 1").select(F.spark_partition_id().alias("p")).collect()}
+    assert [(r.i, r.j) for r in got.orderBy("rank").collect()] == [(i, j) for i, j, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))]
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, 201))
+    assert made.value == 200 and len(parts) > 3
